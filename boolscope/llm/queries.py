@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, simhash
 
 QUERIES = {
     "op6_line_dedup": line_dedup.query,
+    "op8_simhash": simhash.query,
 }
 
 ORACLES = {
