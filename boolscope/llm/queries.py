@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, simhash
+from . import line_dedup, quality_rules, simhash
 
 QUERIES = {
     "op6_line_dedup": line_dedup.query,
+    "op7_quality_rules": quality_rules.query,
     "op8_simhash": simhash.query,
 }
 
