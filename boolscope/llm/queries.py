@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, simhash
+from . import line_dedup, quality_rules, simhash, url_rules, warc
 
 QUERIES = {
+    "op1_url_rules": url_rules.query,
+    "op2_warc": warc.query,
     "op6_line_dedup": line_dedup.query,
     "op7_quality_rules": quality_rules.query,
     "op8_simhash": simhash.query,
 }
 
 ORACLES = {
+    "op2_warc": warc.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
 }
