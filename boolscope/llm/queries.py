@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, simhash, url_rules, warc
+from . import language_crf, line_dedup, quality_rules, simhash, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_url_rules": url_rules.query,
     "op2_warc": warc.query,
+    "op3_toxicity": toxicity.query,
+    "op5_language_crf": language_crf.query,
     "op6_line_dedup": line_dedup.query,
     "op7_quality_rules": quality_rules.query,
     "op8_simhash": simhash.query,
