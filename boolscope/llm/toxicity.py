@@ -18,7 +18,8 @@ from .common import crc32_mod, save, text_of
 
 #: Labelled rows that are learned from, about; of more, those with the smallest hashes.
 MAX_LABELLED = 20_000
-MIN_TOXIC, MIN_PRECISION, MAX_TERMS = 12, 0.8, 5_000
+#: A term of the lexicon is in so many toxic texts, and so many times as frequent in them as in others.
+MIN_TOXIC, MIN_RATIO, MAX_TERMS = 8, 8.0, 5_000
 PREFIXES = range(3, 8)
 MIN_CLEAN, MAX_EXCEPTIONS = 5, 5_000
 
@@ -83,29 +84,41 @@ class Lexicon:
         before = WORD.findall(text, max(0, at - 60), at)
         return f"{before[-1] if before else ''} {word}", f"{word} {after[0] if after else ''}"
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """The largest weight, the sum of weights by length, and the matches, each between 0 and some."""
+    def features(self, text: str) -> tuple[float, ...]:
+        """FEATURES numbers: the largest weight, the sum of weights plain and by length, the matches, and the length."""
         text = fold(text)
         found = self.matches(text)
         if self.exceptions and found:
             found = {at: w for at, w in found.items() if not self.exceptions.intersection(self.phrases(text, at))}
-        if not found:
-            return 0.0, 0.0, 0.0
-        words = len(text) / 6 + 20
-        return max(found.values()), 20 * sum(found.values()) / words, log(1 + len(found))
+        total, n = sum(found.values()), len(text) / 6
+        return max(found.values(), default=0.0), log(1 + total), 20 * total / (n + 20), log(1 + len(found)), log(20 + n) - 3 if found else 0.0
+
+
+FEATURES = 5
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition: in how many toxic and other texts each whole word and each beginning of a word is found."""
-    counts: tuple[Counter, Counter] = Counter(), Counter()
+    """Per partition: of each whole word and each beginning of a word, the toxic texts, and uses in toxic and other texts."""
+    uses, texts, words = (Counter(), Counter()), Counter(), [0, 0]
     for b in batches:
         for text, toxic in zip(b["text"], b["toxic"]):
-            words = set(WORD.findall(fold(text.as_py())))
-            counts[toxic.as_py()].update({f"{w} " for w in words if len(w) > 2} | {w[:k] for w in words for k in PREFIXES if len(w) >= k})
-    terms = list(counts[0].keys() | counts[1].keys())
+            y, found = toxic.as_py(), WORD.findall(fold(text.as_py()))
+            words[y] += len(found)
+            counts: Counter = Counter()
+            for w, n in Counter(found).items():
+                if len(w) > 2:
+                    counts[f"{w} "] += n
+                for k in PREFIXES:
+                    if len(w) >= k:
+                        counts[w[:k]] += n
+            uses[y].update(counts)
+            if y:
+                texts.update(counts.keys())
+    terms = ["", *(uses[0].keys() | uses[1].keys())]
+    uses[0][""], uses[1][""] = words
     for at in range(0, len(terms), 100_000):
         part = terms[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([counts[1][t] for t in part], pa.int64()), pa.array([counts[0][t] for t in part], pa.int64())], ["term", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([c[t] for t in part], pa.int64()) for c in (texts, uses[1], uses[0]))], ["term", "texts", "toxic", "clean"])
 
 
 def _phrases(terms: dict[str, float]):
@@ -125,8 +138,8 @@ def _features(terms: dict[str, float], exceptions: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms, exceptions)
         for b in batches:
-            x = np.array([lexicon.features(t.as_py()) for t in b["text"]]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b["toxic"], *(pa.array(x[:, i]) for i in range(3))], ["toxic", "x0", "x1", "x2"])
+            x = np.array([lexicon.features(t.as_py()) for t in b["text"]]).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([b["toxic"], *(pa.array(x[:, i]) for i in range(FEATURES))], ["toxic", *(f"x{i}" for i in range(FEATURES))])
 
     return run
 
@@ -148,25 +161,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 def learn(labelled: DataFrame) -> tuple[dict[str, float], set[str], list[float]]:
     """(terms, exceptions, weights) from (text, toxic 0 or 1); rows with other labels are ignored.
 
-    A term's weight is its log-odds between toxic and other texts; terms need MIN_TOXIC toxic texts and MIN_PRECISION,
-    and MAX_TERMS are kept. A match is excused in phrases of two words that MIN_CLEAN clean texts and hardly any toxic
-    ones hold. The driver gets only these bounded lists and three numbers per labelled row, about MAX_LABELLED.
+    A term's weight is the logarithm of its frequency in toxic texts over that in others; terms need MIN_TOXIC toxic
+    texts, or a hundredth of them, and MIN_RATIO, and MAX_TERMS are kept. A match is excused in phrases of two words that MIN_CLEAN clean texts and hardly any toxic
+    ones hold. The driver gets only these bounded lists and FEATURES numbers per labelled row, about MAX_LABELLED.
     """
     rows = save(labelled.where("toxic in (0, 1)").select(text_of(labelled).alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxic")
     total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     if not toxic or not clean:  # nothing to tell apart
-        return {}, set(), [0.0, 0.0, 0.0, log((toxic + 0.5) / (clean + 0.5))]
-    kind = "term string, toxic long, clean long"
-    counts = rows.mapInArrow(_terms, kind).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    found = counts.where((F.col("toxic") >= min(MIN_TOXIC, max(2, toxic // 10))) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean")))).select("term", odds.alias("w"), "toxic")
-    found = found.where("w > 0").orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "term").limit(MAX_TERMS)
+        return {}, set(), [*[0.0] * FEATURES, log((toxic + 0.5) / (clean + 0.5))]
+    counts = rows.mapInArrow(_terms, "term string, texts long, toxic long, clean long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("texts", "toxic", "clean")))
+    counts = save(counts.where("toxic > 0"), "terms")
+    words = counts.where("term = ''").first()
+    ratio = (F.col("toxic") + 0.5) / (words["toxic"] + 1) / ((F.col("clean") + 0.5) / (words["clean"] + 1)) if words else F.lit(0.0)
+    found = counts.where((F.col("term") != "") & (F.col("texts") >= max(MIN_TOXIC, toxic // 100)) & (ratio >= MIN_RATIO)).select("term", F.log(ratio).alias("w"), "texts")
+    found = found.orderBy(F.desc(F.col("w") * F.sqrt("texts")), "term").limit(MAX_TERMS)
     terms = {r["term"]: r["w"] for r in found.collect()}
-    said = rows.mapInArrow(_phrases(terms), kind).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    said = rows.mapInArrow(_phrases(terms), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     said = said.where((F.col("clean") >= MIN_CLEAN) & (F.col("clean") >= 9 * F.col("toxic") * clean / toxic)).orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS)
     exceptions = {r["term"] for r in said.collect()}
-    x = rows.mapInArrow(_features(terms, exceptions), "toxic int, x0 double, x1 double, x2 double").collect()
+    x = rows.mapInArrow(_features(terms, exceptions), "toxic int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).collect()
     a = np.array([tuple(r) for r in x])
     return terms, exceptions, _logistic(a[:, 1:], a[:, 0]).tolist()
 
@@ -175,8 +189,8 @@ def _scores(terms: dict[str, float], exceptions: set[str], weights: list[float])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, w = Lexicon(terms, exceptions), np.array(weights)
         for b in batches:
-            x = np.array([lexicon.features(t.as_py()) for t in b["text"]]).reshape(-1, 3)
-            p = 1 / (1 + np.exp(-np.clip(x @ w[:3] + w[3], -30, 30)))
+            x = np.array([lexicon.features(t.as_py()) for t in b["text"]]).reshape(-1, FEATURES)
+            p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(p)], ["id", "score"])
 
     return run
