@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_crf, line_dedup, quality_rules, simhash, toxicity, url_rules, warc
+from . import language_crf, line_dedup, packing, quality_rules, simhash, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_url_rules": url_rules.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.query,
     "op7_quality_rules": quality_rules.query,
     "op8_simhash": simhash.query,
+    "op9_packing": packing.query,
 }
 
 ORACLES = {
