@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_crf, line_dedup, packing, quality_rules, simhash, toxicity, url_rules, warc
+from . import decontaminate, language_crf, line_dedup, packing, quality_rules, simhash, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_url_rules": url_rules.query,
     "op2_warc": warc.query,
     "op3_toxicity": toxicity.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_language_crf": language_crf.query,
     "op6_line_dedup": line_dedup.query,
     "op7_quality_rules": quality_rules.query,
