@@ -97,14 +97,26 @@ class Lexicon:
 FEATURES = 5
 
 
+#: Terms that a task counts before it passes counts on.
+HELD = 150_000
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition: of each whole word and each beginning of a word, the toxic texts, and uses in toxic and other texts."""
-    uses, texts, words = (Counter(), Counter()), Counter(), [0, 0]
+    """Of each whole word and each beginning of a word: the toxic texts, and uses in toxic and other texts. The empty
+    term counts words. Counts are partial: a task passes them on whenever it holds HELD terms."""
+    uses, texts = (Counter(), Counter()), Counter()
+
+    def counted() -> pa.RecordBatch:
+        terms = list(uses[0].keys() | uses[1].keys())
+        out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (texts, uses[1], uses[0]))], ["term", "texts", "toxic", "clean"])
+        for c in (*uses, texts):
+            c.clear()
+        return out
+
     for b in batches:
         for text, toxic in zip(b["text"], b["toxic"]):
             y, found = toxic.as_py(), WORD.findall(fold(text.as_py()))
-            words[y] += len(found)
-            counts: Counter = Counter()
+            counts = Counter({"": len(found)})
             for w, n in Counter(found).items():
                 if len(w) > 2:
                     counts[f"{w} "] += n
@@ -114,11 +126,9 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             uses[y].update(counts)
             if y:
                 texts.update(counts.keys())
-    terms = ["", *(uses[0].keys() | uses[1].keys())]
-    uses[0][""], uses[1][""] = words
-    for at in range(0, len(terms), 100_000):
-        part = terms[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([c[t] for t in part], pa.int64()) for c in (texts, uses[1], uses[0]))], ["term", "texts", "toxic", "clean"])
+            if len(uses[0]) + len(uses[1]) > HELD:
+                yield counted()
+    yield counted()
 
 
 def _phrases(terms: dict[str, float]):
