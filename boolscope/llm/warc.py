@@ -138,8 +138,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     where all ids are null all are responses. Null ids and urls are written as such. Extra columns are ignored; an
     empty table gives no archive.
 
-    The dictionary is trained on the records of at most SAMPLE_RECORDS responses of up to SAMPLE_MAX_BYTES, those
-    with the smallest hashes; it only changes sizes. The smallest ids per digest are pre-aggregated without payloads.
+    The dictionary is trained on the records of about SAMPLE_RECORDS pages of up to SAMPLE_MAX_BYTES, chosen by a
+    hash; it only changes sizes. The smallest ids per digest are pre-aggregated without payloads.
     Where their table isn't small, payloads are shuffled once, by digest, and a digest that many pages share is
     split by the adaptive skew join.
     """
@@ -148,7 +148,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     rows = rows.withColumn("copy_key", F.when(F.octet_length("payload") >= MIN_REVISIT_BYTES, F.col("digest")))
     firsts = rows.where("copy_key is not null").groupBy("copy_key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    sample = rows.where(F.octet_length("payload") <= SAMPLE_MAX_BYTES).orderBy(F.xxhash64("id", "digest")).limit(SAMPLE_RECORDS)
+    share = min(1.0, SAMPLE_RECORDS / max(1, pages.count()))
+    sample = rows.where((F.octet_length("payload") <= SAMPLE_MAX_BYTES) & (F.pmod(F.xxhash64("id", "url"), F.lit(1 << 30)) < round(share * (1 << 30)))).orderBy("id", "digest")
     dictionary = train([record(r["id"], r["url"], bytes(r["payload"]), r["digest"], None) for r in sample.collect()])
     rows = rows.join(firsts, "copy_key", "left")
     rows = rows.select("id", "url", "payload", "digest", F.when(F.coalesce(F.col("id") != F.col("first"), F.lit(True)), F.col("first")).alias("first"))
