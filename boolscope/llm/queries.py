@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_crf, line_dedup, packing, quality_rules, simhash, toxicity, url_rules, warc
+from . import decontaminate, language_crf, line_dedup, packing, quality_rules, simhash, suffix_dedup, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_url_rules": url_rules.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.query,
     "op8_simhash": simhash.query,
     "op9_packing": packing.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 
 ORACLES = {
