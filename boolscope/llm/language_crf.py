@@ -20,27 +20,39 @@ MAX_LABELLED, MAX_LANGUAGES = 400, 200
 CHAIN = 64
 BITS, LEXICON = 16, 2_000
 #: Words that a task keeps the scores of, and words in a padded block.
-CACHE, BLOCK = 400_000, 300_000
+CACHE, BLOCK = 150_000, 200_000
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
+STRIP = ".,;:!?\"'()[]{}|#*$%&<>-"
+
+
 def words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def features(word: str, lexicon: frozenset[str] = frozenset()) -> list[int]:
-    """Hashed features of a word: beginnings, endings and inner n-grams of 1 to 3 letters, and itself if the lexicon has it.
-    None for a word without a letter."""
-    word = word.strip(".,;:!?\"'()[]{}|#*$%&<>-")
-    if not LETTER.search(word):
-        return []
-    w, n = word[:40], len(word)  # beginnings and n-grams of very long words say nothing new
-    out = {f"<{w[:k]}" for k in (1, 2, 3) if n >= k} | {f"{word[-k:]}>" for k in (1, 2, 3) if n >= k}
-    out |= {w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1)}
-    if word in lexicon:
-        out.add(f"={word}")
-    return sorted(zlib.crc32(x.encode("utf-8", "replace")) >> (32 - BITS) for x in out)
+def features(cores: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) pairs of many words at once.
+
+    A word's features are the n-grams of 1 to 3 letters of <word>, those of 4 at its beginning and end (so that
+    beginnings and endings of up to 3 letters are features), all hashed, and itself if it is in the lexicon.
+    """
+    codes = np.frombuffer("".join(f"<{w}>" for w in cores).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word = np.repeat(np.arange(len(cores)), np.fromiter(map(len, cores), np.int64, len(cores)) + 2)
+    found, h = [], np.zeros(len(codes), np.uint64)
+    for n in range(1, 5):
+        last = len(codes) - n + 1
+        h = (h[:last] * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[n - 1 :] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n))
+        inside = word[:last] == word[n - 1 :]
+        if n == 4:
+            inside &= (codes[:last] == ord("<")) | (codes[n - 1 :] == ord(">"))
+        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        found.append((word[:last][inside], (mixed[inside] >> np.uint64(64 - BITS)).astype(np.int64)))
+    known = [(i, lexicon[w]) for i, w in enumerate(cores) if w in lexicon]
+    if known:
+        found.append((np.array([i for i, _ in known]), (1 << BITS) + np.array([x for _, x in known])))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 def forward_backward(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +84,16 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -
 
 
 class Model:
-    """Languages, feature weights (features, languages), transition weights, and the lexicon's words."""
+    """Languages, feature weights (features, languages), transition weights, and the lexicon's words by number."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, moves: np.ndarray, lexicon: frozenset[str]):
+    def __init__(self, languages: list[str], weights: np.ndarray, moves: np.ndarray, lexicon: dict[str, int]):
         self.languages, self.weights, self.moves, self.lexicon = languages, weights, moves, lexicon
 
-    def word_scores(self, word: str) -> np.ndarray | None:
-        found = features(word, self.lexicon)
-        if not found:
-            return None
-        s = self.weights[found].sum(0)
-        return np.exp(np.clip(s - s.max(), -30, 0))
+    def word_scores(self, cores: list[str]) -> np.ndarray:
+        """A row of positive scores per word, 1 at most."""
+        of, feature = features(cores, self.lexicon)
+        s = np.stack([np.bincount(of, self.weights[feature, j], len(cores)) for j in range(len(self.languages))], 1)
+        return np.exp(np.clip(s - s.max(1, keepdims=True), -30, 0))
 
 
 def learn(texts: list[tuple[str, str]], rounds: int = 40) -> Model:
@@ -92,16 +103,18 @@ def learn(texts: list[tuple[str, str]], rounds: int = 40) -> Model:
     k = len(languages)
     counts = {y: Counter() for y in languages}
     for text, y in texts:
-        counts[y].update(w.strip(".,;:!?") for w in set(words(text)))
-    lexicon = frozenset(w for c in counts.values() for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if n > 2)
+        counts[y].update({w.strip(STRIP) for w in words(text)})
+    common = dict.fromkeys(w for c in counts.values() for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON] if n > 2)
+    lexicon = {w: i for i, w in enumerate(common)}
     ids: dict[str, int] = {}
     chains, gold = [], []
     for text, y in texts:
-        row = [ids.setdefault(w, len(ids)) for w in words(text) if LETTER.search(w)]
+        row = [ids.setdefault(w.strip(STRIP), len(ids)) for w in words(text) if LETTER.search(w)]
         for at in range(0, len(row), CHAIN):
             chains.append(row[at : at + CHAIN])
             gold.append(languages.index(y))
-    weights, moves = np.zeros((1 << BITS, k), np.float32), np.eye(k) * 2.0
+    size = (1 << BITS) + len(lexicon)
+    weights, moves = np.zeros((size, k), np.float32), np.eye(k) * 2.0
     if not chains or k < 2:
         return Model(languages, weights, moves, lexicon)
     order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
@@ -109,21 +122,21 @@ def learn(texts: list[tuple[str, str]], rounds: int = 40) -> Model:
     grid, mask = np.zeros((len(order), sizes[0]), np.int64), np.arange(sizes[0]) < sizes[:, None]
     grid[mask] = np.concatenate([chains[i] for i in order])
     y = np.repeat(np.array([gold[i] for i in order])[:, None], sizes[0], 1)
-    used = [features(w, lexicon) for w in ids]
-    of, feature = np.repeat(np.arange(len(used)), [len(f) for f in used]), np.concatenate([np.array(f, np.int64) for f in used])
+    of, feature = features(list(ids), lexicon)
+    used = len(ids)
     speed_w, speed_m = np.full_like(weights, 1e-2), np.full((k, k), 1e-2)
     total = sizes.sum()
     for step in range(rounds):
-        s = np.zeros((len(used), k))
+        s = np.zeros((used, k))
         for j in range(k):
-            s[:, j] = np.bincount(of, weights[feature, j], len(used))
+            s[:, j] = np.bincount(of, weights[feature, j], used)
         e = np.exp(np.clip(s - s.max(1, keepdims=True), -30, 0))
         got, pairs = forward_backward(e[grid], np.exp(moves - moves.max()), sizes)
         if step == rounds // 2:
             y = np.where(got.max(2) > 0.9, got.argmax(2), y)
         right = np.eye(k)[y] - got
-        g = np.column_stack([np.bincount(grid[mask], right[..., j][mask], len(used)) for j in range(k)]) / total
-        gw = np.column_stack([np.bincount(feature, g[of, j], 1 << BITS) for j in range(k)]) - 1e-6 * weights
+        g = np.column_stack([np.bincount(grid[mask], right[..., j][mask], used) for j in range(k)]) / total
+        gw = np.column_stack([np.bincount(feature, g[of, j], size) for j in range(k)]) - 1e-6 * weights
         both = mask[:, 1:]
         seen = np.zeros((k, k))
         np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
@@ -136,29 +149,28 @@ def learn(texts: list[tuple[str, str]], rounds: int = 40) -> Model:
 
 
 class Scores(dict):
-    """Row of each word in a table of scores, made when first asked for; row 0 is for words without a letter."""
+    """Row of each word in a table of scores; row 0 is for words without a letter."""
 
     def __init__(self, model: Model):
-        self.model, self.table = model, np.ones((1024, len(model.languages)), np.float32)
-        self.n = 1
-
-    def __missing__(self, word: str) -> int:
-        s = self.model.word_scores(word)
-        if s is None:
-            self[word] = 0
-            return 0
-        if self.n == len(self.table):
-            self.table = np.concatenate([self.table, np.ones_like(self.table)])
-        self.table[self.n] = s
-        self[word] = self.n
-        self.n += 1
-        return self.n - 1
+        self.model, self.table = model, np.ones((1, len(model.languages)), np.float32)
+
+    def add(self, texts: list[list[str]]) -> None:
+        new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in self]
+        cores = [w.strip(STRIP) for w in new]
+        lettered = [i for i, w in enumerate(cores) if LETTER.search(w)]
+        self.update(dict.fromkeys(new, 0))
+        for at in range(0, len(lettered), 20_000):
+            part = lettered[at : at + 20_000]
+            self.update(zip((new[i] for i in part), range(len(self.table), len(self.table) + len(part))))
+            self.table = np.concatenate([self.table, self.model.word_scores([cores[i] for i in part]).astype(np.float32)])
 
 
 def predict(texts: list[str], model: Model, scores: Scores) -> list[tuple[str, float]]:
     """The language with the largest sum of word marginals, and its share of that sum."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-    rows = [np.fromiter(map(scores.__getitem__, words(t)), np.int64) for t in texts]
+    split = [words(t) for t in texts]
+    scores.add(split)
+    rows = [np.array(list(map(scores.__getitem__, t)), np.int64) for t in split]
     rows = [r[r > 0] for r in rows]
     order = sorted((i for i, r in enumerate(rows) if len(r)), key=lambda i: -len(rows[i]))
     moves, at = np.exp(model.moves - model.moves.max()).astype(np.float32), 0
@@ -182,8 +194,8 @@ def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model)
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 400):
+                part = b.slice(at, 400)
                 if len(scores) > CACHE:
                     scores = Scores(model)
                 found = predict(part["text"].to_pylist(), model, scores)
