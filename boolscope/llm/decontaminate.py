@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import save, text_of
 
-WORD = re.compile(r"\w+")
+#: Signs that are taken off both ends of a word.
+SIGNS = ".,;:!?\"'`()[]{}<>|#*$%&_~=+-/\\…“”‘’«»¿¡–—"
 #: Words per block; a passage is two neighbouring blocks, so passages overlap by half.
 BLOCK = 16
 #: Dimensions of the latent space, and extra ones while it is fitted.
@@ -25,11 +26,11 @@ STOP_SHARE = 0.05
 SCALE = 10.0
 MIN_COSINE, MIN_LCS, MIN_ANSWER, SURE_LCS = 0.36, 0.65, 0.6, 0.85
 CHUNK = 64
-MATCH = "id long, item_id long, cosine double, lcs double, answer double"
+MATCH = "id long, th long, item_id long, cosine double, lcs double, answer double"
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [w for x in text.lower().split() if (w := x.strip(SIGNS))]
 
 
 def answer(text: str) -> list[str]:
@@ -78,8 +79,9 @@ def _numbers(number: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = number.get
         for b in batches:
-            made = [np.array([get(w, 0) for w in words(t.as_py())], "<u2").tobytes() for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(made, pa.binary())], ["id", "words"])
+            # as words(), but that signs alone stay as other words
+            made = [np.array([get(w) or get(w.strip(SIGNS), 0) for w in t.as_py().lower().split()], "<u2").tobytes() for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["id"], b["th"], pa.array(made, pa.binary())], ["id", "th", "words"])
 
     return run
 
@@ -120,38 +122,34 @@ def _blocks(flat: np.ndarray, starts: np.ndarray, weight: np.ndarray, other: flo
 
 def _products(weight: np.ndarray, other: float, basis: np.ndarray):
     """Sums of a' (a basis) over all passages a, here the pairs of blocks without overlap, by chunks of rows."""
-    size, rank = basis.shape
+    basis = basis.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros((size, rank)), False
+        total, some = np.zeros(basis.shape), False
         for b in batches:
-            for at in range(0, b.num_rows, 500):
+            for at in range(0, b.num_rows, 100):
                 some = True
-                total += products(*_read(b["words"].slice(at, 500)), weight, other, basis)
-        for at in range(0, size if some else 0, CHUNK):
+                add_products(*_read(b["words"].slice(at, 100)), weight, other, basis, total)
+        for at in range(0, len(basis) if some else 0, CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + CHUNK].tobytes()], pa.binary())], ["at", "rows"])
 
     return run
 
 
-def products(flat: np.ndarray, starts: np.ndarray, weight: np.ndarray, other: float, basis: np.ndarray) -> np.ndarray:
+def add_products(flat: np.ndarray, starts: np.ndarray, weight: np.ndarray, other: float, basis: np.ndarray, out: np.ndarray) -> None:
     term, block, energy, doc = _blocks(flat, starts, weight, other)
-    out = np.zeros(basis.shape)
     if not len(term):
-        return out
-    first = np.concatenate([[0], np.nonzero(np.diff(doc))[0] + 1])[np.cumsum(np.concatenate([[0], np.diff(doc) > 0]))] if len(doc) else doc
-    pair = np.arange(len(doc)) - (np.arange(len(doc)) - first) % 2  # the even block of each pair
+        return
+    pair = np.arange(len(doc)) - (np.arange(len(doc)) - np.searchsorted(doc, doc)) % 2  # the even block of each pair
     row = pair[block]
-    norm = np.sqrt(np.bincount(pair, energy, len(doc)))
-    value = (weight[term] / norm[row]).astype(np.float32)
-    cut = np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1])
-    ahead = np.add.reduceat(basis[term].astype(np.float32) * value[:, None], cut, axis=0)
-    back = ahead[np.cumsum(np.concatenate([[0], np.diff(row) > 0]))] * value[:, None]
+    value = (weight[term] / np.sqrt(np.bincount(pair, energy, len(doc)))[row]).astype(np.float32)[:, None]
+    new = np.concatenate([[True], row[1:] != row[:-1]])
+    ahead = np.add.reduceat(basis[term] * value, np.nonzero(new)[0], axis=0)
     order = np.argsort(term, kind="stable")
+    back = ahead[(np.cumsum(new) - 1)[order]] * value[order]
     term = term[order]
-    cut = np.concatenate([[0], np.nonzero(np.diff(term))[0] + 1])
-    out[term[cut]] += np.add.reduceat(back[order], cut, axis=0)
-    return out
+    cut = np.nonzero(np.concatenate([[True], term[1:] != term[:-1]]))[0]
+    out[term[cut]] += np.add.reduceat(back, cut, axis=0)
 
 
 def _sum(tables: pa.Table) -> pa.Table:
@@ -161,7 +159,9 @@ def _sum(tables: pa.Table) -> pa.Table:
 
 def _product(numbers: DataFrame, bench: tuple[np.ndarray, np.ndarray], scale: float, weight: np.ndarray, other: float, basis: np.ndarray) -> np.ndarray:
     parts = numbers.mapInArrow(_products(weight, other, basis), "at long, rows binary").groupBy("at").applyInArrow(_sum, "at long, rows binary")
-    out = scale * products(*bench, weight, other, basis)
+    out = np.zeros(basis.shape)
+    add_products(*bench, weight, other, basis, out)
+    out *= scale
     for r in parts.collect():  # rows by dimensions of the benchmark's own words: bounded by MAX_TERMS
         got = np.frombuffer(r["rows"]).reshape(-1, basis.shape[1])
         out[r["at"] : r["at"] + len(got)] += got
@@ -233,15 +233,15 @@ def _matches(space: Space):
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 flat, starts = _read(part["words"])
-                ids, found = part["id"].to_pylist(), {}
+                ids, hashes, found = part["id"].to_pylist(), part["th"].to_pylist(), {}
                 for doc, item, block, cosine in space.candidates(flat, starts):
                     if (doc, item) in found:
                         continue
                     whole, last = space.verify(flat[starts[doc] : starts[doc + 1]], item, block)
                     if leaked(whole, last):
-                        found[doc, item] = (ids[doc], space.bench.items[item][0], cosine, whole, last)
+                        found[doc, item] = (ids[doc], hashes[doc], space.bench.items[item][0], cosine, whole, last)
                 rows = list(found.values())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["id", "item_id", "cosine", "lcs", "answer"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["id", "th", "item_id", "cosine", "lcs", "answer"])
 
     return run
 
@@ -271,10 +271,11 @@ def fit(numbers: DataFrame, bench: Benchmark, seed: int = 0) -> Space:
     scale = None
     for step in range(2):
         if scale is None:  # the trace over a random basis tells how much each part weighs
-            own = np.linalg.norm(products(flat, starts, weight, other, basis))
-            both = _product(numbers, (flat, starts), 0.0, weight, other, basis)
-            scale = max(1.0, SCALE * float(np.linalg.norm(both)) / max(own, 1e-9))
-            got = both + scale * products(flat, starts, weight, other, basis)
+            own = np.zeros(basis.shape)
+            add_products(flat, starts, weight, other, basis, own)
+            got = _product(numbers, (flat, starts), 0.0, weight, other, basis)
+            scale = max(1.0, SCALE * float(np.linalg.norm(got) / max(np.linalg.norm(own), 1e-9)))
+            got += scale * own
         else:
             got = _product(numbers, (flat, starts), scale, weight, other, basis)
         if step == 0:
@@ -287,7 +288,8 @@ def fit(numbers: DataFrame, bench: Benchmark, seed: int = 0) -> Space:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, item_id, cosine, lcs, answer): a row per document and benchmark item that it leaks.
+    """(id, th, item_id, cosine, lcs, answer): a row per document and benchmark item that it leaks; th is a hash of the
+    document's text.
 
     Passages of documents whose cosine in the latent space with a passage of an item is MIN_COSINE or more are
     candidates; all passages are held against all items. Around one, the longest common subsequence of words must
@@ -305,16 +307,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     if not bench.items:
         return spark.createDataFrame([], MATCH).withColumnRenamed("id", id_col)
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-    numbers = save(rows.mapInArrow(_numbers(bench.number), "id long, words binary"), "words")
+    rows = rows.select("id", F.xxhash64("text").alias("th"), "text")
+    numbers = save(rows.mapInArrow(_numbers(bench.number), "id long, th long, words binary"), "words")
     return numbers.mapInArrow(_matches(fit(numbers, bench)), MATCH).withColumnRenamed("id", id_col)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that leak an item."""
-    found = save(matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct(), "leaks")
-    return docs.join(found, docs[id_col].eqNullSafe(found["_leak"]), "left_anti")
+    found = matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct()
+    found = save(found, "leaks")
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text_of(docs, text_col)).alias("th"))
+    return rows.join(found, rows["id"].eqNullSafe(found["_id"]) & (rows["th"] == found["_th"]), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return matches(docs, benchmark)
+    return matches(docs, benchmark).drop("th")

@@ -28,7 +28,7 @@ def _key(line: Column, key_line: Column, min_chars: int) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """One row per document: id, n_lines, n_dropped, kept (the text of the lines that stay).
+    """One row per document: id, n_lines, n_dropped, kept (the text of the lines that stay), row (a struct of its columns).
 
     Lines are split at \\n; a key is the line trimmed of ASCII white space with A-Z lower-cased. Keys of at least
     min_chars code points in at least min_docs documents lose all their lines but those of the smallest id.
@@ -39,7 +39,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents per key are counted by (key, id) first, so a line that a third of the documents hold is spread over
     all tasks; the hot side of the join with the dropped keys is split by the adaptive skew join.
     """
-    rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
+    rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"), F.struct("*").alias("row"))
     rank = F.coalesce(F.col("id").cast("long"), F.lit(2**63 - 1))
     lines, key_lines = F.split("text", "\n", -1), F.split(_key_text(F.col("text")), "\n", -1)
     keys = F.array_distinct(F.array_compact(F.zip_with(lines, key_lines, lambda x, k: _key(x, k, min_chars))))
@@ -47,7 +47,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = held.groupBy("a", "b").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("keeper")).where(F.col("n") >= min_docs)
     lost = held.join(common, ["a", "b"]).where(F.col("doc") != F.col("keeper"))
     lost = lost.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
-    # hints only the small side's shape: lost has one row per document that loses a line
     both = rows.withColumn("doc", rank).join(lost, "doc", "left")
     stays = F.transform(
         F.filter(
@@ -56,8 +55,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         lambda x: x["line"],
     )
-    out = both.select("id", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("lost").isNull(), lines).otherwise(stays).alias("stay"))
-    return out.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))
+    out = both.select("id", "row", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("lost").isNull(), lines).otherwise(stays).alias("stay"))
+    return out.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"), F.array_join("stay", "\n").alias("kept"), "row")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with the lines that stay as text, and its code points in size_col if there is such a column."""
+    out = dedup_lines(docs, id_col, text_col)
+    new = {text_col: F.col("kept"), size_col: F.char_length("kept").cast("long")}
+    return out.select(*(new.get(c, F.col("row")[c]).cast(t).alias(c) for c, t in docs.dtypes))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

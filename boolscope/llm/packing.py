@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,8 +19,8 @@ TOKENIZER = "word_bpe_49k.json"
 DIMS, BITS = 4, 8
 #: Tokens per bucket of the range sort, about, and buckets at most.
 BUCKET_TOKENS, MAX_BUCKETS = 3_000_000, 10_000
-#: Words that a task keeps the tokens of.
-CACHE = 500_000
+#: Words that a worker process keeps the tokens of, and signs that end a word.
+CACHE, SIGNS = 600_000, ".,;:!?\"()[]{}#*$%&|"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -56,68 +57,113 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+class Table:
+    """Rows of tokens, end to end."""
+
+    def __init__(self):
+        self.flat, self.starts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint16)])
+
+    def sizes(self, rows: np.ndarray) -> np.ndarray:
+        return self.starts[rows + 1] - self.starts[rows]
+
+    def tokens(self, rows: np.ndarray) -> np.ndarray:
+        sizes = self.sizes(rows)
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[rows] - ends + sizes, sizes)]
+
+
 class Words(dict):
-    """Row of each word in tables of its tokens and of their projected sum.
+    """Row of each word, as split at white space, in tables of its tokens and of their projected sum.
 
-    The tokenizer splits at white space before anything else, so a text's tokens are those of its words; words are
-    kept, as most tokens are in words seen before. ASCII words are lower-cased, as the tokenizer does itself.
+    The tokenizer splits at white space before anything else, so a text's tokens are those of its words, and words are
+    kept, as most have been seen before. It also parts letters from signs, so a new word is a core and the signs after
+    its last letter; cores recur more than words. Cores of letters alone are encoded many at a time: each gives
+    one token that ends a word, its last. ASCII cores are lower-cased, as the tokenizer does itself.
     """
 
     def __init__(self, tokenizer, projection: np.ndarray):
-        self.tokenizer, self.projection = tokenizer, projection
-        self.ids: list[np.ndarray] = []
-        self.flat, self.starts, self.vectors = np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros((0, projection.shape[1]))
+        self.tokenizer, self.projection = tokenizer, projection.astype(np.float32)
+        self.table, self.vectors = Table(), np.zeros((0, projection.shape[1]), np.float32)
+        self.cores, self.core_table = {"": 0}, Table()
+        self.core_table.append(np.zeros(0), np.zeros(1, np.int64))
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def add(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
+        new = [w for w in set(words) if w not in self]
         if not new:
             return
-        n = len(self)
-        self.update(zip(new, range(n, n + len(new))))
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for ids in made for i in ids), np.int64, int(sizes.sum()))
+        self.update(zip(new, range(len(self), len(self) + len(new))))
+        cores, tails = [], []
+        for w in new:
+            core = w.rstrip(SIGNS)
+            if not core or not core[-1].isalpha():
+                core = w
+            cores.append(core.lower() if core.isascii() else core)
+            tails.append(w[len(core) :])
+        self._add_cores([w for w in {*cores, *tails} if w not in self.cores])
+        both = np.array([self.cores[w] for pair in zip(cores, tails) for w in pair], np.int64)
+        sizes, flat = self.core_table.sizes(both).reshape(-1, 2).sum(1), self.core_table.tokens(both)
         ends = np.cumsum(sizes)
-        sums = np.concatenate([np.zeros((1, self.projection.shape[1])), np.cumsum(self.projection[flat], axis=0)])
-        self.vectors = np.concatenate([self.vectors, sums[ends] - sums[ends - sizes]])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
-        self.flat = np.concatenate([self.flat, flat.astype(np.uint16)])
+        sums = np.concatenate([np.zeros((1, self.projection.shape[1])), np.cumsum(self.projection[flat], axis=0, dtype=np.float64)])
+        self.vectors = np.concatenate([self.vectors, (sums[ends] - sums[ends - sizes]).astype(np.float32)])
+        self.table.append(flat, sizes)
+
+    def _add_cores(self, new: list[str]) -> None:
+        plain = [w for w in new if w.isalpha()]
+        other = [w for w in new if not w.isalpha()]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            lines = [" ".join(part[i : i + 200]) for i in range(0, len(part), 200)]
+            flat = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.int64)
+            last = np.nonzero(self.ends[flat])[0]
+            if len(last) != len(part) or (len(last) and last[-1] + 1 != len(flat)):
+                other += part  # letters to us, but not to the tokenizer
+                continue
+            self.cores.update(zip(part, range(len(self.cores), len(self.cores) + len(part))))
+            self.core_table.append(flat, np.diff(last, prepend=-1))
+        if other:
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            self.cores.update(zip(other, range(len(self.cores), len(self.cores) + len(other))))
+            self.core_table.append(np.array([i for ids in made for i in ids], np.int64), np.array([len(ids) for ids in made]))
 
     def rows(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.array(list(map(self.__getitem__, words)), np.int64)
 
-    def tokens(self, rows: np.ndarray) -> np.ndarray:
-        starts, sizes = self.starts[rows], self.starts[rows + 1] - self.starts[rows]
-        if not len(rows):
-            return np.zeros(0, np.uint16)
-        at = np.arange(int(sizes.sum())) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        return self.flat[at]
 
+#: The words that a worker process knows, kept from task to task.
+_KNOWN: dict[tuple, Words] = {}
 
-def _tokenise(path: str, dims: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def known_words(path: str, dims: int) -> Words:
+    found = _KNOWN.get((path, dims))
+    if found is None or len(found) > CACHE:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = found.tokenizer if found is not None else Tokenizer.from_file(path)
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        projection = np.random.default_rng(0).standard_normal((1 << 16, dims))
-        known = Words(tokenizer, projection)
+        found = _KNOWN[path, dims] = Words(tokenizer, np.random.default_rng(0).standard_normal((1 << 16, dims)))
+    return found
+
+
+def _tokenise(path: str, dims: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                if len(known) > CACHE:
-                    known = Words(tokenizer, projection)
-                texts = [(t.lower() if t.isascii() else t).split() for t in part["text"].to_pylist()]
+                part, known = b.slice(at, 500), known_words(path, dims)
+                texts = [t.split() for t in part["text"].to_pylist()]
                 known.add([w for t in texts for w in t])
                 ids, cells = [], np.zeros((len(texts), dims))
                 for i, words in enumerate(texts):
                     rows = known.rows(words)
-                    tokens = np.append(known.tokens(rows), np.uint16(END))
-                    cells[i] = (known.vectors[rows].sum(0) + projection[END]) / len(tokens)
+                    tokens = np.append(known.table.tokens(rows), np.uint16(END))
+                    cells[i] = (known.vectors[rows].sum(0, dtype=np.float64) + known.projection[END]) / len(tokens)
                     ids.append(tokens.astype("<u2").tobytes())
                 grid = np.clip(((np.arctan(4 * cells) / np.pi + 0.5) * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(hilbert(grid, bits)), pa.array(ids, pa.binary())], ["id", "n", "curve", "ids"])

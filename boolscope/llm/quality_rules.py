@@ -29,9 +29,10 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered))
 
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with one column q of the counts in FEATURES, all over whole texts; a null text counts as empty."""
-    d = docs.withColumn("_t", text_of(docs, text_col))
+def features(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns to carry) and q (the counts in FEATURES), all over whole texts; a null text counts
+    as empty."""
+    d = docs.select(F.struct(*(docs[c] for c in carry or docs.columns)).alias("row"), text_of(docs, text_col).alias("_t"))
     d = d.withColumn("_w", F.regexp_extract_all("_t", F.lit(f"({WORD_RE})"), F.lit(0)))
     d = d.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
     n = F.size("_w")
@@ -51,7 +52,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_stutter": F.size(F.filter("_w", lambda w, i: w == F.get("_w", i - 1))),
     }
     q = F.struct(*(counts[k].cast("long").alias(k) for k in FEATURES))
-    return d.withColumn("q", q).drop("_t", "_w", "_l", "_g")
+    return d.select("row", q.alias("q"))
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -113,8 +114,9 @@ def posterior(share: float, right: list[tuple[float, float]], pattern: tuple[int
     return 1 / (1 + exp(-min(700.0, max(-700.0, odds))))
 
 
-def judge(docs: DataFrame, text_col: str = "text", min_prob: float = 0.5, with_text: bool = True) -> DataFrame:
-    """docs, without the text if with_text is false, with q (the counts), base_failed, quality_prob and kept.
+def judge(docs: DataFrame, text_col: str = "text", min_prob: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """Per document: row (a struct of the columns to carry, all by default, so that none clashes), q (the counts),
+    base_failed, quality_prob and kept.
 
     Documents with few words, or with many words in repeated windows, fail the base; of the rest, those are kept
     whose posterior probability of being good is at least min_prob. Null and empty texts fail the base. Every row
@@ -123,8 +125,7 @@ def judge(docs: DataFrame, text_col: str = "text", min_prob: float = 0.5, with_t
     Counts are computed once into a table in the shared folder. The driver gets only the number of documents per
     pattern of votes: at most 3 ** len(RULES) rows however many documents there are.
     """
-    counted = features(docs, text_col)
-    d = save(counted if with_text else counted.drop(text_col), "quality")
+    d = save(features(docs, text_col, carry), "quality")
     cast = votes(d["q"])
     found = d.groupBy(*(cast[r].alias(r) for r in RULES)).agg(F.count("*").alias("n")).collect()
     prior, each = weights(*estimate(sorted((tuple(x[r] for r in RULES), x["n"]) for x in found)))
@@ -137,6 +138,11 @@ def judge(docs: DataFrame, text_col: str = "text", min_prob: float = 0.5, with_t
     return d.withColumns({"base_failed": failed, "quality_prob": prob, "kept": ~failed & (prob >= min_prob)})
 
 
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that judge() keeps."""
+    return judge(docs, text_col).where("kept").select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    d = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), with_text=False)
-    return d.select("doc_id", *(F.col(f"q.{k}").alias(k) for k in FEATURES[:5]), "base_failed", "kept", "quality_prob")
+    d = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["doc_id"])
+    return d.select("row.doc_id", *(F.col(f"q.{k}").alias(k) for k in FEATURES[:5]), "base_failed", "kept", "quality_prob")

@@ -15,7 +15,6 @@ from .common import save, text_of
 from .components import connected
 
 SEED = 42
-LAST = 2**63 - 1
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -42,15 +41,15 @@ def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = np.fromiter((fingerprint(t.as_py(), width) for t in b["text"]), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(made.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["th"], pa.array(made.view(np.int64))], ["id", "th", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp) of every document; fp is the fingerprint as a signed long."""
+    """(id, th, fp) of every document; th is a hash of the text, fp the fingerprint as a signed long."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(width), "id long, fp long")
+    return rows.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(_fingerprints(width), "id long, th long, fp long")
 
 
 def _variants(fp: Column) -> Column:
@@ -66,9 +65,9 @@ def _variants(fp: Column) -> Column:
 
 
 def links(nodes: DataFrame, max_bits: int = 2, cap: int = 24) -> DataFrame:
-    """(u, v): links among distinct fingerprints, enough to connect all that differ in at most max_bits (2 or less).
+    """(u, v): links among the distinct fingerprints fp, enough to connect all that differ in at most max_bits (2 or less).
 
-    nodes: (fp, rep), a row per distinct fingerprint. Two bits over two segments leave a segment with one at most,
+    Two bits over two segments leave a segment with one at most,
     and that segment's variant without this bit is the same in both, so an equality join on 64 variants finds every
     pair; the other segment is then verified.
 
@@ -79,40 +78,51 @@ def links(nodes: DataFrame, max_bits: int = 2, cap: int = 24) -> DataFrame:
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("two segments with one deleted bit each reach 2 bits at most")
-    keyed = nodes.select(F.explode(_variants(F.col("fp"))).alias("k"), F.struct("fp", "rep").alias("x"))
+    keyed = nodes.select(F.explode(_variants(F.col("fp"))).alias("k"), F.col("fp").alias("x"))
     groups = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n >= 2")
     groups = save(groups, "variants")
-    near = lambda a, b: F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= max_bits
-    two = groups.where("n = 2").where(near(F.col("lo"), F.col("hi"))).select(F.col("lo.rep").alias("u"), F.col("hi.rep").alias("v"))
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_bits
+    two = groups.where("n = 2").where(near(F.col("lo"), F.col("hi"))).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     some = keyed.join(groups.where((F.col("n") > 2) & (F.col("n") <= cap)).select("k"), "k").groupBy("k").agg(F.collect_list("x").alias("xs"))
-    some = some.select(F.explode("xs").alias("a"), "xs").select("a", F.explode(F.filter("xs", lambda b: (b["fp"] > F.col("a")["fp"]) & near(F.col("a"), b))).alias("b"))
-    some = some.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
+    some = some.select(F.explode("xs").alias("a"), "xs").select("a", F.explode(F.filter("xs", lambda b: (b > F.col("a")) & near(F.col("a"), b))).alias("b"))
+    some = some.select(F.col("a").alias("u"), F.col("b").alias("v"))
     many = keyed.join(groups.where(F.col("n") > cap).select("k"), "k").select("x").distinct()
     if max_bits == 2:
-        flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("x.fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
-        points = many.select("x", F.explode(F.concat(F.array("x.fp"), flips)).alias("p"))
+        flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("x").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+        points = many.select("x", F.explode(F.concat(F.array("x"), flips)).alias("p"))
     else:  # at one bit: the ends of each one-bit edge share that edge
-        holes = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.struct(b.alias("b"), F.col("x.fp").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), b))).alias("p")))
+        holes = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.struct(b.alias("b"), F.col("x").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), b))).alias("p")))
         points = many.select("x", F.explode(holes).alias("p")).where(F.lit(max_bits == 1))
-    stars = points.groupBy("p").agg(F.collect_list("x.rep").alias("reps")).where(F.size("reps") > 1)
-    stars = stars.select(F.array_min("reps").alias("u"), F.explode("reps").alias("v"))
+    stars = points.groupBy("p").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
+    stars = stars.select(F.array_min("xs").alias("u"), F.explode("xs").alias("v"))
     return two.unionByName(some).unionByName(stars).where("u <> v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
-    """(id, fp, component) of every document; component is the smallest id reachable by links of at most max_bits.
+    """(id, th, fp, root, component) of every document: th a hash of its text, root a fingerprint that names its group,
+    component the smallest id in the group, reached by links of at most max_bits.
 
-    Null and empty texts have fingerprint 0 and are linked like any other. A null id is returned as null and counts
-    as the largest id. Rows that repeat an id are documents of that id. Extra columns are ignored; an empty table
-    gives an empty result. Exact copies meet in one row per fingerprint before any search.
+    Null and empty texts have fingerprint 0 and are linked like any other. A null id is returned as null; a group
+    without an id has a null component. Rows that repeat an id are documents of their own. Extra columns are ignored;
+    an empty table gives an empty result. Exact copies meet in one row per fingerprint before any search.
     """
     found = save(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = found.groupBy("fp").agg(F.coalesce(F.min("id"), F.lit(LAST)).alias("rep"))
-    nodes = save(nodes, "nodes")
+    nodes = save(found.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = connected(links(nodes, max_bits))
-    to = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component"))
-    out = found.join(to, "fp")
-    return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("component") != LAST, F.col("component")).alias("component"))
+    to = save(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
+    least = to.groupBy("root").agg(F.min("least").alias("component"))
+    out = found.join(to.join(least, "root").select("fp", "root", "component"), "fp")
+    return out.select(F.col("id").alias(id_col), "th", "fp", "root", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id (null last), then hash of the text."""
+    found = near_duplicates(docs, id_col, text_col, width, max_bits)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "th")).alias("x"))
+    first = save(first.select(F.col("x.id").alias("_id"), F.col("x.th").alias("_th")), "kept")
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text_of(docs, text_col).cast("binary")).alias("th"))
+    kept = rows.join(first, rows["id"].eqNullSafe(first["_id"]) & (rows["th"] == first["_th"]), "left_semi")
+    return kept.dropDuplicates(["id", "th"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
