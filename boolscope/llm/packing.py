@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import save, text_of
@@ -87,17 +87,23 @@ class Words(dict):
 
     def __init__(self, tokenizer, projection: np.ndarray):
         self.tokenizer, self.projection = tokenizer, projection.astype(np.float32)
+        self.new: list[str] = []
         self.table, self.vectors = Table(), np.zeros((0, projection.shape[1]), np.float32)
         self.cores, self.core_table = {"": 0}, Table()
         self.core_table.append(np.zeros(0), np.zeros(1, np.int64))
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def add(self, words: list[str]) -> None:
-        new = [w for w in set(words) if w not in self]
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = len(self)
+        return len(self) - 1
+
+    def learn(self) -> None:
+        """Tokens of the words that were asked for and not known."""
+        new, self.new = self.new, []
         if not new:
             return
-        self.update(zip(new, range(len(self), len(self) + len(new))))
         cores, tails = [], []
         for w in new:
             core = w.rstrip(SIGNS)
@@ -106,7 +112,8 @@ class Words(dict):
             cores.append(core.lower() if core.isascii() else core)
             tails.append(w[len(core) :])
         self._add_cores([w for w in {*cores, *tails} if w not in self.cores])
-        both = np.array([self.cores[w] for pair in zip(cores, tails) for w in pair], np.int64)
+        both = np.empty(2 * len(new), np.int64)
+        both[::2], both[1::2] = list(map(self.cores.__getitem__, cores)), list(map(self.cores.__getitem__, tails))
         sizes, flat = self.core_table.sizes(both).reshape(-1, 2).sum(1), self.core_table.tokens(both)
         ends = np.cumsum(sizes)
         sums = np.concatenate([np.zeros((1, self.projection.shape[1])), np.cumsum(self.projection[flat], axis=0, dtype=np.float64)])
@@ -157,11 +164,10 @@ def _tokenise(path: str, dims: int, bits: int):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part, known = b.slice(at, 500), known_words(path, dims)
-                texts = [t.split() for t in part["text"].to_pylist()]
-                known.add([w for t in texts for w in t])
+                texts = [known.rows(t.as_py().split()) for t in part["text"]]
+                known.learn()
                 ids, cells = [], np.zeros((len(texts), dims))
-                for i, words in enumerate(texts):
-                    rows = known.rows(words)
+                for i, rows in enumerate(texts):
                     tokens = np.append(known.table.tokens(rows), np.uint16(END))
                     cells[i] = (known.vectors[rows].sum(0, dtype=np.float64) + known.projection[END]) / len(tokens)
                     ids.append(tokens.astype("<u2").tobytes())
@@ -171,12 +177,16 @@ def _tokenise(path: str, dims: int, bits: int):
     return run
 
 
-def _bucket(bounds: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.append_column("bucket", pa.array(np.searchsorted(np.array(bounds, np.int64), b["key"].to_numpy(), side="right")))
-
-    return run
+def _bucket(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the key: first counted in steps, then within a step."""
+    step = max(1, round(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not parts:
+        return F.lit(0).cast("long")
+    count = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
+    at = count(F.lit([p[0] for p in parts])) - 1
+    inner = F.element_at(F.array(*(F.lit(p) for p in parts)), F.greatest(at + 1, F.lit(1)))
+    return F.when(at < 0, 0).otherwise(at * step + count(inner)).cast("long")
 
 
 def _pieces(starts: dict[int, int], length: int):
@@ -220,12 +230,13 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col:
     buckets = int(min(MAX_BUCKETS, n // bucket_tokens + 1))
     share = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(made.agg(F.percentile_approx("key", share, 10 * buckets)).first()[0] or [])) if share else []
-    sums = made.select("n", "key").mapInArrow(_bucket(bounds), "n long, key long, bucket long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    made = made.withColumn("bucket", _bucket(F.col("key"), bounds))
+    sums = made.groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     starts, at = {}, 0
     for r in sorted(sums, key=lambda r: r["bucket"]):
         starts[r["bucket"]] = at
         at += r["n"]
-    dealt = made.mapInArrow(_bucket(bounds), "id long, n long, ids binary, key long, bucket long").repartition(buckets, "bucket")
+    dealt = made.repartition(buckets, "bucket")
     dealt = dealt.sortWithinPartitions("bucket", "key", "id", "n", F.xxhash64("ids"))
     return dealt.mapInArrow(_pieces(starts, length), PIECE)
 
