@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +64,16 @@ def let(value: Column, body) -> Column:
 def crc32_mod(column: str, n: int) -> Column:
     """crc32 of the column's text, modulo n: the split into learning and held-out rows."""
     return F.crc32(F.col(column).cast("string")) % n
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that, when done, gives freed memory back to the system: worker processes outlive tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library, which has no such call
+            pass
+
+    return wrapped

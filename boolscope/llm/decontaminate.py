@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import save, text_of, trimmed
 
 #: Signs that are taken off both ends of a word.
 SIGNS = ".,;:!?\"'`()[]{}<>|#*$%&_~=+-/\\…“”‘’«»¿¡–—"
@@ -158,7 +158,7 @@ def _sum(tables: pa.Table) -> pa.Table:
 
 
 def _product(numbers: DataFrame, bench: tuple[np.ndarray, np.ndarray], scale: float, weight: np.ndarray, other: float, basis: np.ndarray) -> np.ndarray:
-    parts = numbers.mapInArrow(_products(weight, other, basis), "at long, rows binary").groupBy("at").applyInArrow(_sum, "at long, rows binary")
+    parts = numbers.mapInArrow(trimmed(_products(weight, other, basis)), "at long, rows binary").groupBy("at").applyInArrow(_sum, "at long, rows binary")
     out = np.zeros(basis.shape)
     add_products(*bench, weight, other, basis, out)
     out *= scale
@@ -256,7 +256,7 @@ def fit(numbers: DataFrame, bench: Benchmark, seed: int = 0) -> Space:
     The driver gets matrices of the benchmark's terms by RANK + EXTRA.
     """
     size = bench.size
-    counts = numbers.mapInArrow(_frequencies(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = numbers.mapInArrow(trimmed(_frequencies(size)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     docs = max(1, numbers.count())
     seen = np.zeros(size)
     for r in counts:
@@ -308,8 +308,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         return spark.createDataFrame([], MATCH).withColumnRenamed("id", id_col)
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("th"), "text")
-    numbers = save(rows.mapInArrow(_numbers(bench.number), "id long, th long, words binary"), "words")
-    return numbers.mapInArrow(_matches(fit(numbers, bench)), MATCH).withColumnRenamed("id", id_col)
+    numbers = save(rows.mapInArrow(trimmed(_numbers(bench.number)), "id long, th long, words binary"), "words")
+    return numbers.mapInArrow(trimmed(_matches(fit(numbers, bench))), MATCH).withColumnRenamed("id", id_col)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

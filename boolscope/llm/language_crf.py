@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, text_of
+from .common import crc32_mod, text_of, trimmed
 
 #: Labelled documents learned from per language, about, and languages told apart: those with most documents.
 MAX_LABELLED, MAX_LANGUAGES = 400, 200
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     if not model.languages:
         return rows.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_predict(model), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(_predict(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

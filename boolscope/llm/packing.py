@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import save, text_of, trimmed
 
 LENGTH = 4096
 END = 2
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col:
     are ignored; an empty table gives an empty result. Whole texts are packed, however long.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-    made = rows.mapInArrow(_tokenise(path or tokenizer_path(), DIMS, BITS), "id long, n long, curve long, ids binary")
+    made = rows.mapInArrow(trimmed(_tokenise(path or tokenizer_path(), DIMS, BITS)), "id long, n long, curve long, ids binary")
     low = F.pmod(F.xxhash64("id", "n"), F.lit(1 << 30))
     made = save(made.select("id", "n", "ids", F.shiftleft("curve", 30).bitwiseOR(low).alias("key")), "tokens")
     n = made.agg(F.sum("n")).first()[0] or 0
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col:
         at += r["n"]
     dealt = made.repartition(buckets, "bucket")
     dealt = dealt.sortWithinPartitions("bucket", "key", "id", "n", F.xxhash64("ids"))
-    return dealt.mapInArrow(_pieces(starts, length), PIECE)
+    return dealt.mapInArrow(trimmed(_pieces(starts, length)), PIECE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

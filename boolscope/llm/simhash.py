@@ -11,10 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import save, text_of, trimmed
 from .components import connected
 
 SEED = 42
+#: Index keys with three members or more that are sent to all tasks rather than shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -49,7 +51,7 @@ def _fingerprints(width: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, th, fp) of every document; th is a hash of the text, fp the fingerprint as a signed long."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).cast("binary").alias("text"))
-    return rows.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(_fingerprints(width), "id long, th long, fp long")
+    return rows.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(trimmed(_fingerprints(width)), "id long, th long, fp long")
 
 
 def _variants(fp: Column) -> Column:
@@ -83,10 +85,14 @@ def links(nodes: DataFrame, max_bits: int = 2, cap: int = 24) -> DataFrame:
     groups = save(groups, "variants")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= max_bits
     two = groups.where("n = 2").where(near(F.col("lo"), F.col("hi"))).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    some = keyed.join(groups.where((F.col("n") > 2) & (F.col("n") <= cap)).select("k"), "k").groupBy("k").agg(F.collect_list("x").alias("xs"))
+    large = groups.where("n > 2").select("k", "n")
+    if large.count() <= BROADCAST_KEYS:  # 16 bytes each; else both sides are shuffled
+        large = F.broadcast(large)
+    members = save(keyed.join(large, "k"), "members")
+    some = members.where(F.col("n") <= cap).groupBy("k").agg(F.collect_list("x").alias("xs"))
     some = some.select(F.explode("xs").alias("a"), "xs").select("a", F.explode(F.filter("xs", lambda b: (b > F.col("a")) & near(F.col("a"), b))).alias("b"))
     some = some.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    many = keyed.join(groups.where(F.col("n") > cap).select("k"), "k").select("x").distinct()
+    many = members.where(F.col("n") > cap).select("x").distinct()
     if max_bits == 2:
         flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("x").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
         points = many.select("x", F.explode(F.concat(F.array("x"), flips)).alias("p"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import save, text_of, trimmed
 
 LENGTH = 400
 #: Bytes of a document that are looked at in one go while anchors are picked.
@@ -336,7 +336,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     anchor, again and again, kinds that become equal being joined each time; that ends, as a key that fixes all
     of a window has one kind.
     """
-    made = save(docs.mapInArrow(_anchors(length), "id long, th long, start int, many int, place int, h long, s long"), "anchors")
+    made = save(docs.mapInArrow(trimmed(_anchors(length)), "id long, th long, start int, many int, place int, h long, s long"), "anchors")
     kinds = made.groupBy("h", "s").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "start", "many", "place")).alias("x"))
     kinds = kinds.withColumn("copies", F.least("copies", F.lit(2)).cast("long"))
     groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 or most > 1")
@@ -346,7 +346,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = asked.groupBy("id", "th").agg(F.collect_list("a").alias("asked"))
     key = [docs["id"].eqNullSafe(asked["id"]), docs["th"] == asked["th"]]
     fetched = docs.join(asked, key, "inner").select(docs["id"], docs["th"], "text", "asked")
-    segments = fetched.mapInArrow(_cut, "key long, id long, th long, start int, many int, place int, copies long, bytes binary")
+    segments = fetched.mapInArrow(trimmed(_cut), "key long, id long, th long, start int, many int, place int, copies long, bytes binary")
     segments = save(segments.dropDuplicates(["key", "id", "th", "start"]), "segments")
     over = segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key")
     todo, ready = segments.join(over, "key", "left_semi"), segments.join(over, "key", "left_anti")
@@ -370,7 +370,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.unionByName(x)
-    found = rows.repartition("key").sortWithinPartitions("key", "id", "th", "start").mapInArrow(_shards(length), SPANS)
+    found = rows.repartition("key").sortWithinPartitions("key", "id", "th", "start").mapInArrow(trimmed(_shards(length)), SPANS)
     return out.unionByName(found)
 
 
@@ -407,7 +407,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     found = spans(rows.select("id", "th", "text"), length).groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("x"))
     found = save(found.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "x.lo", "x.hi"), "spans")
     both = rows.join(found, rows["id"].eqNullSafe(found["_id"]) & (rows["th"] == found["_th"]), "left")
-    out = both.select("id", "text", "lo", "hi").mapInArrow(_finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = both.select("id", "text", "lo", "hi").mapInArrow(trimmed(_finish), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, save, text_of
+from .common import crc32_mod, save, text_of, trimmed
 
 #: Labelled rows that are learned from, about; of more, those with the smallest hashes.
 MAX_LABELLED = 20_000
@@ -180,17 +180,17 @@ def learn(labelled: DataFrame) -> tuple[dict[str, float], set[str], list[float]]
     toxic, clean = total.get(1, 0), total.get(0, 0)
     if not toxic or not clean:  # nothing to tell apart
         return {}, set(), [*[0.0] * FEATURES, log((toxic + 0.5) / (clean + 0.5))]
-    counts = rows.mapInArrow(_terms, "term string, texts long, toxic long, clean long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("texts", "toxic", "clean")))
+    counts = rows.mapInArrow(trimmed(_terms), "term string, texts long, toxic long, clean long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("texts", "toxic", "clean")))
     counts = save(counts.where("toxic > 0"), "terms")
     words = counts.where("term = ''").first()
     ratio = (F.col("toxic") + 0.5) / (words["toxic"] + 1) / ((F.col("clean") + 0.5) / (words["clean"] + 1)) if words else F.lit(0.0)
     found = counts.where((F.col("term") != "") & (F.col("texts") >= max(MIN_TOXIC, toxic // 100)) & (ratio >= MIN_RATIO)).select("term", F.log(ratio).alias("w"), "texts")
     found = found.orderBy(F.desc(F.col("w") * F.sqrt("texts")), "term").limit(MAX_TERMS)
     terms = {r["term"]: r["w"] for r in found.collect()}
-    said = rows.mapInArrow(_phrases(terms), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    said = rows.mapInArrow(trimmed(_phrases(terms)), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     said = said.where((F.col("clean") >= MIN_CLEAN) & (F.col("clean") >= 9 * F.col("toxic") * clean / toxic)).orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS)
     exceptions = {r["term"] for r in said.collect()}
-    x = rows.mapInArrow(_features(terms, exceptions), "toxic int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).collect()
+    x = rows.mapInArrow(trimmed(_features(terms, exceptions)), "toxic int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).collect()
     a = np.array([tuple(r) for r in x])
     return terms, exceptions, _logistic(a[:, 1:], a[:, 0]).tolist()
 
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], set[str], list[float]]
     time; the model that each task gets has a bounded size.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-    return rows.mapInArrow(_scores(*model), "id long, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(_scores(*model)), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_LABELLED) -> DataFrame:

@@ -17,7 +17,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, trimmed
 
 DICT_MAGIC = 0x184D2A5D
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
@@ -153,14 +153,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     dictionary = train([record(r["id"], r["url"], bytes(r["payload"]), r["digest"], None) for r in sample.collect()])
     rows = rows.join(firsts, "copy_key", "left")
     rows = rows.select("id", "url", "payload", "digest", F.when(F.coalesce(F.col("id") != F.col("first"), F.lit(True)), F.col("first")).alias("first"))
-    out = rows.mapInArrow(_packer(dictionary), "frame binary").select(F.col("frame").cast("string"))
+    out = rows.mapInArrow(trimmed(_packer(dictionary)), "frame binary").select(F.col("frame").cast("string"))
     out.write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives in a folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to,
     payload (null for revisits). Lengths and digests are checked."""
-    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("content").mapInArrow(_unpack, READ)
+    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("content").mapInArrow(trimmed(_unpack), READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
