@@ -148,3 +148,17 @@ def trees(face: Face) -> list[Tree]:
         off, on = trees(face.with_node(node, 0)), trees(face.with_node(node, 1))
         out += [Tree(f"{node}[{a.text},{b.text}]", [(face, node), *a.splits, *b.splits], a.leaves + b.leaves) for a in off for b in on]
     return out
+
+
+def shapes(dim: int) -> list[tuple[str, tuple[int, ...]]]:
+    """All binary shapes over a cube of that dimension: text with leaves as their dimensions, and the vector from the
+    largest dimension down."""
+
+    def made(k: int) -> list[tuple[str, tuple[int, ...]]]:
+        out = [(str(k), tuple(int(j == k) for j in range(dim, -1, -1)))]
+        if k:
+            below = made(k - 1)
+            out += [(f"[{a},{b}]", tuple(x + y for x, y in zip(u, v))) for a, u in below for b, v in below]
+        return out
+
+    return made(dim)

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
 
 class Dialect:
     """Spark SQL."""
 
     name = "spark"
 
-    def __init__(self, tables: str = ""):
-        self.tables = tables
+    def __init__(self, tables: str = "", spark: SparkSession | None = None):
+        self.tables, self.spark = tables, spark
+
+    def named(self, name: str, text: str) -> str:
+        """A small relation that depends on nothing but its name: kept in memory for the session, where there is one."""
+        if self.spark is None:
+            return text
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"SELECT * FROM {text} AS kept").cache().createOrReplaceTempView(name)
+        return name
 
     def table(self, name: str) -> str:
         return f"parquet.`{self.tables}/{name}.parquet`"

@@ -103,6 +103,31 @@ def coarsened(edges: DataFrame, salt: int = 0) -> DataFrame:
     return out.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
+def levels(edges: DataFrame, least: int = 100, worst_ratio: float = 0.9, most: int = 30) -> list[DataFrame]:
+    """The graph and its coarser and coarser forms, until few vertices are left or a level hardly shrinks."""
+    out = [shared(edges.select("a", "b", "weight"))]
+
+    def vertices(e: DataFrame) -> int:
+        return e.select("a").union(e.select("b")).distinct().count()
+
+    size = vertices(out[0])
+    while size > least and len(out) < most:
+        coarse = shared(coarsened(out[-1], len(out)))
+        fewer = vertices(coarse)
+        if not fewer or fewer > worst_ratio * size:
+            break
+        out.append(coarse)
+        size = fewer
+    return out
+
+
+def convergence(moves: list[float], window: int = 5) -> list[float | None]:
+    """Per step the mean displacement of the last few steps over that of the few before; None while there are too few."""
+    means = [sum(moves[i - window : i]) / window for i in range(window, len(moves) + 1)]
+    ratios = [means[i] / means[i - window] if means[i - window] else 0.0 for i in range(window, len(means))]
+    return [None] * (len(moves) - len(ratios)) + ratios
+
+
 def frontier(seeds: DataFrame, edges: DataFrame, most: int, fanout: int, layers: int = 20, salt: int = 0) -> DataFrame:
     """(id, layer): vertices found from the seeds, a layer at a time, each vertex passing on to at most fanout new
     neighbours that a hash picks, until most are found. The cap is the operator's own."""
@@ -237,12 +262,13 @@ def hulls(points: DataFrame) -> DataFrame:
 def variety_draws(spark: SparkSession, table: DataFrame, d: int, n: int, seed: int = 0, by_genotype: bool = False) -> DataFrame:
     """Up to n different networks; functions are drawn evenly, or by the sizes of their column sets.
 
-    table: tt, n_cols, idx. The number of draws is fixed beforehand at a few times n, so that all run at once; repeats
-    are dropped. By genotype, a place among all columns is drawn, and the function that holds it is found by its range.
+    table: tt, n_cols, idx. The number of draws is fixed beforehand, a few times n or, where there are far more networks
+    than are asked for, a little more, so that all run at once; repeats are dropped. By genotype, a place among all columns is drawn, and the function that holds it is found by its range.
     """
     sized = table.selectExpr("tt", "n_cols", "idx", "sum(n_cols) OVER (ORDER BY idx) - n_cols AS first")
     total = table.agg(F.sum("n_cols" if by_genotype else F.lit(1))).first()[0]
-    draws = spark.range(4 * n + 200)
+    many = table.count() ** d > 100 * n and not by_genotype
+    draws = spark.range(n + n // 20 + 200 if many else 4 * n + 200)
     for i in range(1, d + 1):
         draws = draws.withColumn(f"u_{i}", F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "id"), F.lit(total)))
         t = F.broadcast(sized.select(F.col("tt").alias(f"f_{i}"), "idx", "first", "n_cols"))  # one row per function of d nodes

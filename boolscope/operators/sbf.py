@@ -12,7 +12,8 @@ from ..sources import scans
 def functions(q: Dialect, d: int, bound: int | None = None) -> str:
     """(tt, n_cols, rep, idx): truth tables with the number of columns that realize them, the first of these, and
     their place in order."""
-    return f"(SELECT tt, count(*) AS n_cols, min(id) AS rep, row_number() OVER (ORDER BY tt) - 1 AS idx FROM {scans.weights(q, d, bound)} AS w GROUP BY tt)"
+    text = f"(SELECT tt, count(*) AS n_cols, min(id) AS rep, row_number() OVER (ORDER BY tt) - 1 AS idx FROM {scans.weights(q, d, bound)} AS w GROUP BY tt)"
+    return q.named(f"functions_{d}_{bound or 0}", text)
 
 
 def mutants(q: Dialect, d: int, bound: int | None = None) -> str:
@@ -30,12 +31,13 @@ def statistics(q: Dialect, d: int, bound: int | None = None) -> str:
     each = f"(SELECT id, tt, CAST(sum(CASE WHEN to_tt = tt THEN 1 ELSE 0 END) AS BIGINT) AS neutral FROM {mutants(q, d, bound)} AS m GROUP BY id, tt)"
     other = f"(SELECT tt, count(DISTINCT to_tt) AS evolvability FROM {mutants(q, d, bound)} AS m WHERE to_tt <> tt GROUP BY tt)"
     own = f"(SELECT tt, count(*) AS n_cols, min(id) AS rep, avg(neutral) AS neutral_mean, var_pop(neutral) AS neutral_var FROM {each} AS e GROUP BY tt)"
-    return f"(SELECT own.*, coalesce(other.evolvability, 0) AS evolvability, row_number() OVER (ORDER BY own.tt) - 1 AS idx FROM {own} AS own LEFT JOIN {other} AS other ON own.tt = other.tt)"
+    text = f"(SELECT own.*, coalesce(other.evolvability, 0) AS evolvability, row_number() OVER (ORDER BY own.tt) - 1 AS idx FROM {own} AS own LEFT JOIN {other} AS other ON own.tt = other.tt)"
+    return q.named(f"function_statistics_{d}_{bound or 0}", text)
 
 
 def neighbours(q: Dialect, d: int, bound: int | None = None) -> str:
     """(src, dst): different truth tables that one weight parts; symmetric."""
-    return f"(SELECT DISTINCT tt AS src, to_tt AS dst FROM {mutants(q, d, bound)} AS m WHERE to_tt <> tt)"
+    return q.named(f"function_neighbours_{d}_{bound or 0}", f"(SELECT DISTINCT tt AS src, to_tt AS dst FROM {mutants(q, d, bound)} AS m WHERE to_tt <> tt)")
 
 
 def minimal_bounds(q: Dialect, d: int) -> str:

@@ -219,6 +219,22 @@ def variety_sample_d4(spark, sf_dir):
     return run_sql(spark, lambda q: f"SELECT {names}, genotype_count, robustness_mean, robustness_std, evolvability FROM {net.with_statistics('variety_sample', sbf.statistics(q, 4), 4)} AS n", sf_dir)
 
 
+@rows
+def variety_rows_d4(spark, sf_dir):
+    """100,000 different networks of 4 nodes as result rows: finest vectors, cycles and all statistics."""
+    draws = graph.variety_draws(spark, _table(spark, 4), 4, 100_000)  # a total order ends in one partition; deal it out again
+    graph.shared(draws.repartition(spark.sparkContext.defaultParallelism, "f_1", "f_2")).createOrReplaceTempView("variety_rows")
+
+    def text(q: Dialect) -> str:
+        names = ", ".join(f"f_{i}" for i in range(1, 5))
+        cycles = f"(SELECT {names}, num_attractors, cycle_len_msq FROM {dyn.with_attractors(q, 'variety_rows', 4)} AS c)"
+        vectors = f"(SELECT {names}, num_attractors, cycle_len_msq, code FROM {dec.finest(cycles, 4)} AS v)"
+        bitstrings = ", ".join(q.bits(f"f_{i}", 16) + f" AS f_{i}" for i in range(1, 5))
+        return f"SELECT {vector(q, 'code', 4)} AS vector, {bitstrings}, cycle_len_msq, num_attractors, genotype_count, robustness_std, robustness_mean, evolvability FROM {net.with_statistics(vectors, sbf.statistics(q, 4), 4)} AS s"
+
+    return run_sql(spark, text, sf_dir)
+
+
 @rows
 def genotype_sample_d3(spark, sf_dir):
     return graph.variety_draws(spark, _table(spark, 3), 3, 2_000, by_genotype=True)
@@ -267,6 +283,17 @@ def coarsened_graph_d2(spark, sf_dir):
     return graph.coarsened(_weighted(spark, sf_dir))
 
 
+@rows
+def coarsening_levels_of_draws(spark, sf_dir):
+    """Edges and weight of each coarser form of the drawn networks' mutation graph."""
+    edges = run_sql(spark, lambda q: f"SELECT a, b, 1.0D AS weight FROM {graph.mutation_edges(triples(q), sbf.neighbours(q, 3), 3)} AS e", sf_dir)
+    parts = [e.agg(F.lit(i).alias("level"), F.count("*").alias("edges"), F.sum("weight").alias("weight")) for i, e in enumerate(graph.levels(edges))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @rows
 def hulls_of_vectors(spark, sf_dir):
     """Hull of each vector's points in the plot of statistics."""

@@ -66,6 +66,15 @@ def vector_scan(q):
     return " UNION ALL ".join(parts)
 
 
+@sql
+def tree_shapes_by_vector(q):
+    """Binary shapes of control trees per vector of 4 nodes; every vector of the scan has one."""
+    found = ", ".join(f"('{t}', {', '.join(map(str, v))})" for t, v in bits.shapes(4))
+    names = ", ".join(f"v_{k}" for k in range(4, -1, -1))
+    same = " AND ".join(f"v.v_{k} = s.v_{k}" for k in range(5))
+    return f"SELECT {', '.join(f'CAST(v.v_{k} AS BIGINT) AS v_{k}' for k in range(4, -1, -1))}, count(s.shape) AS shapes FROM {scans.vectors(4)} AS v LEFT JOIN (SELECT * FROM (VALUES {found}) AS t(shape, {names})) AS s ON {same} GROUP BY {', '.join(f'v.v_{k}' for k in range(4, -1, -1))}"
+
+
 @sql
 def vector_list_d3(q):
     return f"SELECT CAST(v_3 AS BIGINT) AS v_3, CAST(v_2 AS BIGINT) AS v_2, CAST(v_1 AS BIGINT) AS v_1, CAST(v_0 AS BIGINT) AS v_0 FROM {scans.vectors(3)} AS v"

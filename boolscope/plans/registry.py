@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 
 
 def run_sql(spark: SparkSession, text: Callable[[Dialect], str], sf_dir: str) -> DataFrame:
-    return spark.sql(text(Dialect(sf_dir)))
+    return spark.sql(text(Dialect(sf_dir, spark)))
 
 
 def sql(text: Callable[[Dialect], str]) -> Callable[[Dialect], str]:

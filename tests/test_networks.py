@@ -154,6 +154,8 @@ def test_functions_by_definition():
         tables = {sum(1 << s for s in range(1 << d) if sum(w[i] for i in range(d) if s >> i & 1) > 0) for w in product(range(-bound, bound + 1), repeat=d)}
         assert sorted(tables) == bits.realized(d, bound)
     assert [len(bits.trees(bits.Face(d, 0, 0))) for d in (1, 2, 3)] == [2, 9, 244]
+    assert [len(bits.shapes(d)) for d in (1, 2, 3, 4)] == [2, 5, 26, 677]
+    assert [len({v for _, v in bits.shapes(d)}) for d in (1, 2, 3, 4)] == [2, 4, 10, 36]
 
 
 def test_trees_as_text():

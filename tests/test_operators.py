@@ -121,3 +121,10 @@ def test_propagation_finds_neighbours(spark):
     start = spark.createDataFrame([(i, (i + 2) % 20, 2.0) for i in range(20)] + [(i, (i - 1) % 20, 1.0) for i in range(20)], "a long, b long, d double")
     got = {(r["a"], r["b"]) for r in vec.propagated(start, points, 2, 3).collect()}
     assert {(10, 9), (10, 11)} <= got
+
+
+def test_levels_and_convergence(spark):
+    edges = spark.createDataFrame([(i, (i + j) % 300, 1.0) for i in range(300) for j in (1, 2)], "a long, b long, weight double")
+    made = graph.levels(edges, least=20)
+    assert len(made) > 2 and [e.count() for e in made] == sorted((e.count() for e in made), reverse=True)
+    assert graph.convergence([1.0] * 5 + [0.5] * 5) == [None] * 9 + [0.5]
