@@ -102,23 +102,12 @@ def weight_control(d: int, face: bits.Face, node: int, weights: list[str]) -> st
     return f"(({most}) <= 0 AND ({least}) > 0)"
 
 
-def undecomposable_count(q: Dialect, sbf: str, d: int) -> str:
-    """(decomposable): networks with a control node at the root, without listing them.
-
-    Columns are independent, so the number without one is the product over nodes of the functions that are not the
-    node's own projection's invariant; what is counted is their complement.
-    """
-    root = bits.Face(d, 0, 0)
-    free = ", ".join(f"CAST(sum(CASE WHEN {root.invariant(['tt'] * d, n)} THEN 0 ELSE 1 END) AS DECIMAL(38,0)) AS n_{n}" for n in range(1, d + 1))
-    return f"(SELECT CAST(m AS DECIMAL(38,0)) - {' * '.join(f'n_{n}' for n in range(1, d + 1))} AS decomposable FROM (SELECT power(count(*), {d}) AS m, {free} FROM {sbf} AS f) AS counts)"
-
-
 def guarded_decomposable_count(q: Dialect, sbf: str, d: int) -> str:
-    """(decomposable): guarded, by inclusion and exclusion over sets of root control nodes.
+    """(decomposable): networks with a guarded split at the root, counted without listing them.
 
-    For a set of nodes that all are root control nodes with realizable halves, columns count independently: a
-    member must be its own projection, another node's function must be realizable on both halves of a member... for
-    every member at least one member's halves must do, so sets are of (control node) events.
+    A network splits at a node if its function there is the node itself and every other function is realizable on both
+    halves. Which nodes it splits at is counted by inclusion and exclusion over sets of nodes: for one set the
+    conditions fall on each function by itself, so their number is a product of counts over the function table.
     """
     known = _known(d)
     root = bits.Face(d, 0, 0)

@@ -32,11 +32,9 @@ def with_attractors(q: Dialect, networks: str, d: int) -> str:
 
     A state on a cycle of length L counts for 1 / L of a cycle and L of a sum of squares.
     """
-    return (
-        f"(SELECT *, CAST(round({q.total(q.each('cycle', 'x', 'CASE WHEN x > 0 THEN 1.0D / x ELSE 0.0D END' if q.name == 'spark' else 'CASE WHEN x > 0 THEN 1e0 / x ELSE 0e0 END'))}) AS INT) AS num_attractors, "
-        f"{q.total(q.each('cycle', 'x', 'CAST(x AS DOUBLE)'))} / round({q.total(q.each('cycle', 'x', 'CASE WHEN x > 0 THEN 1.0D / x ELSE 0.0D END' if q.name == 'spark' else 'CASE WHEN x > 0 THEN 1e0 / x ELSE 0e0 END'))}) AS cycle_len_msq "
-        f"FROM {with_cycles(q, networks, d)} AS cycled)"
-    )
+    cycles = f"round({q.total(q.each('cycle', 'x', 'CASE WHEN x > 0 THEN 1E0 / x ELSE 0E0 END'))})"
+    squares = q.total(q.each("cycle", "x", "CAST(x AS DOUBLE)"))
+    return f"(SELECT *, CAST({cycles} AS INT) AS num_attractors, {squares} / {cycles} AS cycle_len_msq FROM {with_cycles(q, networks, d)} AS cycled)"
 
 
 def limit_states(q: Dialect, d: int) -> str:

@@ -358,7 +358,7 @@ def tree_in_any_order_d3(q):
 
 @sql
 def decomposable_networks(q):
-    """Counted without listing networks: free and guarded, for 1 to 4 nodes."""
+    """Guarded networks with a split at the root, counted without listing them, for 1 to 4 nodes."""
     parts = []
     for d in (1, 2, 3, 4):
         parts.append(f"SELECT CAST({d} AS BIGINT) AS d, CAST(decomposable AS DECIMAL(38,0)) AS guarded FROM {dec.guarded_decomposable_count(q, sbf.functions(q, d), d)} AS g")
