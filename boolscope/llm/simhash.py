@@ -80,6 +80,8 @@ def links(nodes: DataFrame, max_bits: int = 2, cap: int = 24) -> DataFrame:
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("two segments with one deleted bit each reach 2 bits at most")
+    many_tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.repartition(many_tasks, "fp")  # a small table, of which 64 times as many rows are made
     keyed = nodes.select(F.explode(_variants(F.col("fp"))).alias("k"), F.col("fp").alias("x"))
     groups = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n >= 2")
     groups = save(groups, "variants")

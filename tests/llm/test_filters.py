@@ -30,10 +30,9 @@ def test_line_dedup(make_docs, corpus):
 
 
 def test_line_keys_lower_only_ascii(make_docs):
-    rows = [(1, "ÉTÉ AU SOLEIL"), (2, "Été au soleil"), (3, "été au soleil"), (4, "ÉTÉ au SOLEIL ")]
-    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(make_docs(rows)).collect()}
-    assert got == {1: 0, 2: 0, 3: 0, 4: 0} or got == {1: 0, 2: 0, 3: 0, 4: 1}
-    assert got[4] == (1 if "ÉTÉ au SOLEIL".translate(LOWER) == "ÉTÉ AU SOLEIL".translate(LOWER) else 0)
+    """É and é differ, A and a don't: of these only the last has the key of another."""
+    rows = [(1, "ÉTÉ AU SOLEIL"), (2, "Été au soleil"), (3, "été au soleil"), (4, "ÉtÉ au Soleil ")]
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(make_docs(rows)).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
 
 
 def test_line_dedup_stage_keeps_columns(make_docs, corpus):
