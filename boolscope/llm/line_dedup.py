@@ -45,7 +45,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = F.array_distinct(F.array_compact(F.zip_with(lines, key_lines, lambda x, k: _key(x, k, min_chars))))
     held = rows.select(rank.alias("doc"), F.explode(keys).alias("k")).select("doc", "k.a", "k.b")
     common = held.groupBy("a", "b").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = held.join(common, ["a", "b"]).where(F.col("doc") != F.col("keeper"))
+    # one more key than was grouped by: the join then shuffles both sides, so that a hot line can be split
+    both_keys = F.col("a").bitwiseXOR(F.col("b")).alias("c")
+    lost = held.select("*", both_keys).join(common.select("*", both_keys), ["a", "b", "c"]).where(F.col("doc") != F.col("keeper"))
     lost = lost.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
     both = rows.withColumn("doc", rank).join(lost, "doc", "left")
     stays = F.transform(
