@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,12 +20,15 @@ BITS, LEXICON = 16, 2_000
 #: Words that a task keeps the scores of, and words in a padded block.
 CACHE, BLOCK = 150_000, 200_000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 STRIP = ".,;:!?\"'()[]{}|#*$%&<>-"
 
 
+def has_letter(word: str) -> bool:
+    return any(map(str.isalpha, word))
+
+
 def words(text: str) -> list[str]:
     return text.lower().split()
 
@@ -109,7 +110,7 @@ def learn(texts: list[tuple[str, str]], rounds: int = 40) -> Model:
     ids: dict[str, int] = {}
     chains, gold = [], []
     for text, y in texts:
-        row = [ids.setdefault(w.strip(STRIP), len(ids)) for w in words(text) if LETTER.search(w)]
+        row = [ids.setdefault(w.strip(STRIP), len(ids)) for w in words(text) if has_letter(w)]
         for at in range(0, len(row), CHAIN):
             chains.append(row[at : at + CHAIN])
             gold.append(languages.index(y))
@@ -157,7 +158,7 @@ class Scores(dict):
     def add(self, texts: list[list[str]]) -> None:
         new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in self]
         cores = [w.strip(STRIP) for w in new]
-        lettered = [i for i, w in enumerate(cores) if LETTER.search(w)]
+        lettered = [i for i, w in enumerate(cores) if has_letter(w)]
         self.update(dict.fromkeys(new, 0))
         for at in range(0, len(lettered), 20_000):
             part = lettered[at : at + 20_000]
