@@ -24,6 +24,8 @@ SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
 DICT_BYTES = 64 << 10
 SAMPLE_RECORDS, SAMPLE_MAX_BYTES = 1000, 64 << 10
 MIN_REVISIT_BYTES = 100
+#: Payload per archive, about: small partitions share an archive.
+ARCHIVE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -131,7 +133,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
-    """Write a record per row to the archives in the folder path, an archive per task.
+    """Write a record per row to the archives in the folder path, an archive per task, of ARCHIVE_BYTES or so.
 
     The payload is the body in UTF-8; a null body is empty. Of rows with equal payloads of at least
     MIN_REVISIT_BYTES, those with the smallest id are responses and the others, also those with a null id, revisit it;
@@ -148,11 +150,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     rows = rows.withColumn("copy_key", F.when(F.octet_length("payload") >= MIN_REVISIT_BYTES, F.col("digest")))
     firsts = rows.where("copy_key is not null").groupBy("copy_key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    share = min(1.0, SAMPLE_RECORDS / max(1, pages.count()))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()
+    share = min(1.0, SAMPLE_RECORDS / max(1, n))
     sample = rows.where((F.octet_length("payload") <= SAMPLE_MAX_BYTES) & (F.pmod(F.xxhash64("id", "url"), F.lit(1 << 30)) < round(share * (1 << 30)))).orderBy("id", "digest")
     dictionary = train([record(r["id"], r["url"], bytes(r["payload"]), r["digest"], None) for r in sample.collect()])
-    rows = rows.join(firsts, "copy_key", "left")
+    # one more key than was grouped by: the join then shuffles both sides, so that a hot digest can be split
+    start = F.substring("copy_key", 1, 8).alias("start")
+    rows = rows.select("*", start).join(firsts.select("*", start), ["copy_key", "start"], "left")
     rows = rows.select("id", "url", "payload", "digest", F.when(F.coalesce(F.col("id") != F.col("first"), F.lit(True)), F.col("first")).alias("first"))
+    rows = rows.coalesce(size // ARCHIVE_BYTES + 1)  # merges small partitions, moves nothing
     out = rows.mapInArrow(trimmed(_packer(dictionary)), "frame binary").select(F.col("frame").cast("string"))
     out.write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
 
