@@ -1,4 +1,4 @@
-"""Benchmark decontamination by latent semantic retrieval, then by common subsequences."""
+"""Benchmark decontamination by latent semantic retrieval, and by shared words where it can't reach; then by common subsequences."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ BLOCK = 16
 RANK, EXTRA = 256, 8
 #: Words of the benchmark that are told apart; of more, some share a number.
 MAX_TERMS = 60_000
-#: Words in more than this share of the documents have no weight in the search.
+#: Words in more than this share of the distinct texts have no weight in the latent search.
 STOP_SHARE = 0.05
 #: Times that the benchmark's passages together weigh as much as all documents' in the fit of the latent space.
 SCALE = 10.0
@@ -95,11 +95,12 @@ def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, np.int64)
+        seen = np.zeros(size + 1, np.int64)  # the last counts texts
         for b in batches:
             flat, starts = _read(b["words"])
             doc = np.repeat(np.arange(b.num_rows), np.diff(starts))
-            seen += np.bincount(np.unique(doc * size + flat) % size, minlength=size)
+            seen[:size] += np.bincount(np.unique(doc * size + flat) % size, minlength=size)
+            seen[size] += b.num_rows
         at = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "n"])
 
@@ -180,6 +181,12 @@ class Space:
             vectors.append(v[size > 0] / size[size > 0, None])
             owners += [i] * int((size > 0).sum())
         self.queries, self.owners = (np.concatenate(vectors) if vectors else np.zeros((0, basis.shape[1]), np.float32)), np.array(owners, np.int64)
+        self.exact = [Pieces(bench, some) for some in by_size(bench, [i for i in range(len(bench.items)) if not self.reaches(i)])]
+
+    def reaches(self, i: int) -> bool:
+        """Whether the latent search can be trusted with an item: all its passages have a vector."""
+        _, ids, _ = self.bench.items[i]
+        return int((self.owners == i).sum()) == -(-len(ids) // BLOCK)
 
     def passages(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         """(latent vectors, norms, documents, first blocks in their documents) of the passages that can have a cosine of
@@ -215,6 +222,12 @@ class Space:
                     best.setdefault((int(doc[part[i]]), int(self.owners[q + j])), []).append((float(cos[i, j]), int(place[part[i]])))
         return [(d, i, p, c) for (d, i), found in sorted(best.items()) for c, p in sorted(found, reverse=True)]
 
+    def cosine(self, ids: np.ndarray, item: int, block: int) -> float:
+        """The best cosine of a document's passage with an item's; 0 if either has no vector that counts."""
+        v, norm, _, place = self.passages(ids, np.array([0, len(ids)]))
+        at, own = np.nonzero(place == block)[0], self.queries[self.owners == item]
+        return float((own @ v[at[0]]).max() / norm[at[0]]) if len(at) and len(own) else 0.0
+
     def verify(self, ids: np.ndarray, item: int, block: int) -> tuple[float, float]:
         """Shares of an item and of its answer that are subsequences of the text around a passage."""
         _, own, last = self.bench.items[item]
@@ -227,6 +240,78 @@ def leaked(whole: float, last: float) -> bool:
     return whole >= SURE_LCS or (whole >= MIN_LCS and last >= MIN_ANSWER)
 
 
+def by_size(bench: Benchmark, some: list[int]) -> list[list[int]]:
+    """Items whose regions round up to the same power of two."""
+    out: dict[int, list[int]] = {}
+    for i in some:
+        out.setdefault((2 * BLOCK + 2 * len(bench.items[i][1]) - 1).bit_length(), []).append(i)
+    return list(out.values())
+
+
+class Pieces:
+    """Exact search for some items of like size, without weights or dimensions.
+
+    Documents are cut into pieces of two halves, each half in two pieces; a half is as long as the longest region that
+    verify() reads, so every region lies in a piece. An item can leak only where a piece shares MIN_LCS of its words,
+    repeats counted: the j-th of a word in a piece meets the j-th in the item. What passes is held against the item by
+    the common subsequence with the piece, then passage by passage.
+    """
+
+    def __init__(self, bench: Benchmark, some: list[int]):
+        self.bench, self.some = bench, some
+        sizes = [len(bench.items[i][1]) for i in some]
+        self.half = 1 << (2 * BLOCK + 2 * max(sizes) - 1).bit_length()
+        self.need = np.ceil(MIN_LCS * np.array(sizes) - 1e-9).astype(np.int64)
+        own = [np.bincount(bench.items[i][1], minlength=bench.size) for i in some]
+        self.most = np.max(own, axis=0)
+        self.first = np.cumsum(self.most) - self.most
+        self.holds = np.zeros((int(self.most.sum()), len(some)), np.uint8)
+        for n, c in enumerate(own):
+            at = np.repeat(np.nonzero(c)[0], c[c > 0])
+            self.holds[self.first[at] + np.arange(len(at)) - np.searchsorted(at, at), n] = 1
+        self.masks = [masks(bench.items[i][1]) for i in some]
+
+    def shared(self, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, place of the piece in it, place of the item) of pieces that share enough of an item's words."""
+        sizes = np.diff(starts)
+        halves = np.maximum(1, -(-sizes // self.half))
+        many = np.maximum(1, halves - 1)
+        first = np.cumsum(many) - many
+        live = np.nonzero(self.most[flat])[0]
+        doc = np.searchsorted(starts, live, "right") - 1
+        half = (live - starts[doc]) // self.half
+        term = flat[live].astype(np.int64)
+        left, right = half > 0, half < many[doc]
+        key = np.concatenate([(first[doc] + half - 1)[left] * self.bench.size + term[left], (first[doc] + half)[right] * self.bench.size + term[right]])
+        key, count = np.unique(key, return_counts=True)
+        piece, term = key // self.bench.size, key % self.bench.size
+        count = np.minimum(count, self.most[term])
+        row = np.repeat(self.first[term], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        piece = np.repeat(piece, count)
+        owner = np.repeat(np.arange(len(sizes)), many)
+        if not len(row):
+            return
+        cut = np.nonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))[0]
+        cut = cut[np.diff(np.append(cut, len(piece))) >= self.need.min()]  # starts of pieces with enough words at all
+        ends = np.searchsorted(piece, piece[cut], "right")
+        for p, lo, hi in zip(piece[cut].tolist(), cut.tolist(), ends.tolist()):
+            got = self.holds[row[lo:hi]].sum(axis=0, dtype=np.int64)
+            for n in np.nonzero(got >= self.need)[0].tolist():
+                yield int(owner[p]), p - int(first[owner[p]]), n
+
+    def found(self, space: Space, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, float, float]]:
+        """(document, item, first block, share of the item, share of its answer) of leaks, the best block of each piece."""
+        for doc, at, n in self.shared(flat, starts):
+            ids, item = flat[starts[doc] : starts[doc + 1]], self.some[n]
+            part = ids[at * self.half : (at + 2) * self.half].tolist()
+            if lcs(self.masks[n], len(self.bench.items[item][1]), [x for x in part if x in self.masks[n]]) < self.need[n]:
+                continue
+            blocks = range(at * self.half // BLOCK, -(-(at * self.half + len(part)) // BLOCK))
+            best = max(((*space.verify(ids, item, b), -b) for b in blocks), key=lambda x: (leaked(*x[:2]), x))
+            if leaked(*best[:2]):
+                yield doc, item, -best[2], best[0], best[1]
+
+
 def _matches(space: Space):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,6 +325,11 @@ def _matches(space: Space):
                     whole, last = space.verify(flat[starts[doc] : starts[doc + 1]], item, block)
                     if leaked(whole, last):
                         found[doc, item] = (ids[doc], hashes[doc], space.bench.items[item][0], cosine, whole, last)
+                for pieces in space.exact:
+                    for doc, item, block, whole, last in pieces.found(space, flat, starts):
+                        if (doc, item) not in found:
+                            cosine = space.cosine(flat[starts[doc] : starts[doc + 1]], item, block)
+                            found[doc, item] = (ids[doc], hashes[doc], space.bench.items[item][0], cosine, whole, last)
                 rows = list(found.values())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["id", "th", "item_id", "cosine", "lcs", "answer"])
 
@@ -256,11 +346,12 @@ def fit(numbers: DataFrame, bench: Benchmark, seed: int = 0) -> Space:
     The driver gets matrices of the benchmark's terms by RANK + EXTRA.
     """
     size = bench.size
-    counts = numbers.mapInArrow(trimmed(_frequencies(size)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    docs = max(1, numbers.count())
-    seen = np.zeros(size)
+    texts = numbers.dropDuplicates(["th"])  # else copies of a text make its words common
+    counts = texts.mapInArrow(trimmed(_frequencies(size)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(size + 1)
     for r in counts:
         seen[r["term"]] = r["n"]
+    seen, docs = seen[:size], max(1, seen[size])
     weight = np.where(seen <= max(1, STOP_SHARE * docs), np.log((docs + 1) / (seen + 1)) + 1, 0.0)
     weight[0] = 0
     other = float(np.median(weight[weight > 0])) if (weight > 0).any() else 1.0
@@ -292,7 +383,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     document's text.
 
     Passages of documents whose cosine in the latent space with a passage of an item is MIN_COSINE or more are
-    candidates; all passages are held against all items. Around one, the longest common subsequence of words must
+    candidates; all passages are held against all items. Items that the space can't hold (Space.reaches) are also
+    searched by the words that they share with pieces of documents, exactly. Around a candidate, the longest common subsequence of words must
     reach MIN_LCS of the item and MIN_ANSWER of its answer, or SURE_LCS of the item, so paraphrases that keep most
     words in order are found.
 

@@ -116,6 +116,20 @@ def test_decontamination(spark, make_docs):
     assert kept.dtypes == docs.dtypes and kept.count() == len(rows) - len({d for d, _ in found})
 
 
+def test_decontamination_within_hot_copies(spark, make_docs):
+    """An item in a third of the documents, exact and near copies, and items of common words only are still found."""
+    rnd = random.Random(4)
+    text = lambda n: " ".join(f"{rnd.choice(EN)} q{rnd.randrange(3000)}" for _ in range(n // 2))
+    items = [(0, text(36)), (1, " ".join(rnd.choice(EN) for _ in range(24))), *((i, text(40)) for i in range(2, 12))]
+    rows = [(i, text(rnd.randrange(20, 200))) for i in range(300)]
+    hot = f"{text(60)} {items[0][1]} {text(60)}"
+    rows += [(1000 + i, hot if i % 2 else f"{hot} {text(6)}") for i in range(150)]
+    rows += [(2000 + i, f"{text(90)} {items[1][1]} {text(30)}") for i in range(3)]
+    rows += [(3000 + i, f"{text(50)} {items[i][1]} {text(50)}") for i in range(2, 12)]
+    want = {(1000 + i, 0) for i in range(150)} | {(2000 + i, 1) for i in range(3)} | {(3000 + i, i) for i in range(2, 12)}
+    assert leaks(spark, rows, items, make_docs) == want
+
+
 def test_decontamination_of_nothing(spark, make_docs):
     assert leaks(spark, [(1, "x y z")], [(1, None)], make_docs) == set()
     assert leaks(spark, [], [(1, "some words of an item here")], make_docs) == set()
