@@ -25,6 +25,8 @@ STOP_SHARE = 0.05
 #: Times that the benchmark's passages together weigh as much as all documents' in the fit of the latent space.
 SCALE = 10.0
 MIN_COSINE, MIN_LCS, MIN_ANSWER, SURE_LCS = 0.36, 0.65, 0.6, 0.85
+#: Cosine that an item's copy must have for the latent search to do: what then keeps MIN_LCS of it has MIN_COSINE still.
+KEPT = MIN_COSINE / MIN_LCS
 CHUNK = 64
 MATCH = "id long, th long, item_id long, cosine double, lcs double, answer double"
 
@@ -181,12 +183,21 @@ class Space:
             vectors.append(v[size > 0] / size[size > 0, None])
             owners += [i] * int((size > 0).sum())
         self.queries, self.owners = (np.concatenate(vectors) if vectors else np.zeros((0, basis.shape[1]), np.float32)), np.array(owners, np.int64)
-        self.exact = [Pieces(bench, some) for some in by_size(bench, [i for i in range(len(bench.items)) if not self.reaches(i)])]
+        self.exact = pieces(bench, [i for i in range(len(bench.items)) if not self.reaches(i)], weight > 0)
 
     def reaches(self, i: int) -> bool:
-        """Whether the latent search can be trusted with an item: all its passages have a vector."""
+        """Whether the latent search can be trusted with an item: all its passages have a vector, and its copy between
+        other words, wherever blocks begin in it, has a cosine of KEPT with it. A space of fixed rank holds a smaller share of
+        passages the larger the benchmark is, and short items weigh little beside other words."""
         _, ids, _ = self.bench.items[i]
-        return int((self.owners == i).sum()) == -(-len(ids) // BLOCK)
+        own = self.queries[self.owners == i]
+        if len(own) != -(-len(ids) // BLOCK):
+            return False
+        copies = [[0] * (BLOCK + n) + ids + [0] * (2 * BLOCK) for n in range(BLOCK)]
+        v, norm, doc, _ = self.passages(np.array([x for c in copies for x in c], np.int64), np.cumsum([0, *map(len, copies)]))
+        best = np.zeros(BLOCK)
+        np.maximum.at(best, doc, (v @ own.T).max(axis=1) / norm)
+        return bool(best.min() >= KEPT)
 
     def passages(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         """(latent vectors, norms, documents, first blocks in their documents) of the passages that can have a cosine of
@@ -240,12 +251,20 @@ def leaked(whole: float, last: float) -> bool:
     return whole >= SURE_LCS or (whole >= MIN_LCS and last >= MIN_ANSWER)
 
 
-def by_size(bench: Benchmark, some: list[int]) -> list[list[int]]:
-    """Items whose regions round up to the same power of two."""
-    out: dict[int, list[int]] = {}
+def required(size: int) -> int:
+    """Words of an item that a leak has at least."""
+    return int(np.ceil(MIN_LCS * size - 1e-9))
+
+
+def pieces(bench: Benchmark, some: list[int], rare: np.ndarray) -> list[Pieces]:
+    """Exact searches for items: together those whose regions round up to the same power of two, by their rare words where a
+    leak must have a fair number of these, else by all words."""
+    groups: dict[tuple[int, bool], list[int]] = {}
     for i in some:
-        out.setdefault((2 * BLOCK + 2 * len(bench.items[i][1]) - 1).bit_length(), []).append(i)
-    return list(out.values())
+        ids = np.array(bench.items[i][1])
+        enough = 10 * (required(len(ids)) - int((~rare[ids]).sum())) >= len(ids)
+        groups.setdefault(((2 * BLOCK + 2 * len(ids) - 1).bit_length(), enough), []).append(i)
+    return [Pieces(bench, group, rare if enough else np.ones(bench.size, bool)) for (_, enough), group in groups.items()]
 
 
 class Pieces:
@@ -253,22 +272,24 @@ class Pieces:
 
     Documents are cut into pieces of two halves, each half in two pieces; a half is as long as the longest region that
     verify() reads, so every region lies in a piece. An item can leak only where a piece shares MIN_LCS of its words,
-    repeats counted: the j-th of a word in a piece meets the j-th in the item. What passes is held against the item by
-    the common subsequence with the piece, then passage by passage.
+    repeats counted: the j-th of a word in a piece meets the j-th in the item. If only some words are counted, the
+    item's others are taken as shared. What passes is held against the item by the common subsequence with the piece,
+    then passage by passage.
     """
 
-    def __init__(self, bench: Benchmark, some: list[int]):
+    def __init__(self, bench: Benchmark, some: list[int], counted: np.ndarray):
         self.bench, self.some = bench, some
-        sizes = [len(bench.items[i][1]) for i in some]
-        self.half = 1 << (2 * BLOCK + 2 * max(sizes) - 1).bit_length()
-        self.need = np.ceil(MIN_LCS * np.array(sizes) - 1e-9).astype(np.int64)
+        self.half = 1 << (2 * BLOCK + 2 * max(len(bench.items[i][1]) for i in some) - 1).bit_length()
+        self.need = np.array([required(len(bench.items[i][1])) for i in some])
         own = [np.bincount(bench.items[i][1], minlength=bench.size) for i in some]
+        self.least = np.maximum(1, self.need - [int(c[~counted].sum()) for c in own])
+        own = [c * counted for c in own]
         self.most = np.max(own, axis=0)
         self.first = np.cumsum(self.most) - self.most
-        self.holds = np.zeros((int(self.most.sum()), len(some)), np.uint8)
-        for n, c in enumerate(own):
-            at = np.repeat(np.nonzero(c)[0], c[c > 0])
-            self.holds[self.first[at] + np.arange(len(at)) - np.searchsorted(at, at), n] = 1
+        rows = [np.repeat(self.first, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for c in own]
+        holder, row = np.repeat(np.arange(len(some)), [len(x) for x in rows]), np.concatenate(rows)
+        self.holders = holder[np.argsort(row, kind="stable")]  # items by the row, a word and its place among its repeats
+        self.ends = np.cumsum(np.bincount(row, minlength=int(self.most.sum())))
         self.masks = [masks(bench.items[i][1]) for i in some]
 
     def shared(self, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -287,17 +308,13 @@ class Pieces:
         piece, term = key // self.bench.size, key % self.bench.size
         count = np.minimum(count, self.most[term])
         row = np.repeat(self.first[term], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        piece = np.repeat(piece, count)
+        many_items = np.diff(self.ends, prepend=0)[row]
+        at = np.repeat(self.ends[row], many_items) - np.repeat(np.cumsum(many_items), many_items) + np.arange(many_items.sum())
+        pair, got = np.unique(np.repeat(np.repeat(piece, count), many_items) * len(self.some) + self.holders[at], return_counts=True)
         owner = np.repeat(np.arange(len(sizes)), many)
-        if not len(row):
-            return
-        cut = np.nonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))[0]
-        cut = cut[np.diff(np.append(cut, len(piece))) >= self.need.min()]  # starts of pieces with enough words at all
-        ends = np.searchsorted(piece, piece[cut], "right")
-        for p, lo, hi in zip(piece[cut].tolist(), cut.tolist(), ends.tolist()):
-            got = self.holds[row[lo:hi]].sum(axis=0, dtype=np.int64)
-            for n in np.nonzero(got >= self.need)[0].tolist():
-                yield int(owner[p]), p - int(first[owner[p]]), n
+        for x in pair[got >= self.least[pair % len(self.some)]].tolist():
+            p, n = divmod(x, len(self.some))
+            yield int(owner[p]), p - int(first[owner[p]]), n
 
     def found(self, space: Space, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, float, float]]:
         """(document, item, first block, share of the item, share of its answer) of leaks, the best block of each piece."""
@@ -325,8 +342,8 @@ def _matches(space: Space):
                     whole, last = space.verify(flat[starts[doc] : starts[doc + 1]], item, block)
                     if leaked(whole, last):
                         found[doc, item] = (ids[doc], hashes[doc], space.bench.items[item][0], cosine, whole, last)
-                for pieces in space.exact:
-                    for doc, item, block, whole, last in pieces.found(space, flat, starts):
+                for search in space.exact:
+                    for doc, item, block, whole, last in search.found(space, flat, starts):
                         if (doc, item) not in found:
                             cosine = space.cosine(flat[starts[doc] : starts[doc + 1]], item, block)
                             found[doc, item] = (ids[doc], hashes[doc], space.bench.items[item][0], cosine, whole, last)

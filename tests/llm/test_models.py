@@ -130,6 +130,17 @@ def test_decontamination_within_hot_copies(spark, make_docs):
     assert leaks(spark, rows, items, make_docs) == want
 
 
+def test_decontamination_beyond_the_rank(spark, make_docs, monkeypatch):
+    """A space with far fewer dimensions than the benchmark has items loses no copy."""
+    monkeypatch.setattr(decontaminate, "RANK", 8)
+    rnd = random.Random(5)
+    text = lambda n: " ".join(f"{rnd.choice(EN)} q{rnd.randrange(3000)}" for _ in range(n // 2))
+    items = [(i, text(rnd.randrange(16, 60))) for i in range(200)]
+    rows = [(i, text(rnd.randrange(20, 200))) for i in range(100)]
+    rows += [(1000 + i, f"{text(rnd.randrange(0, 90))} {t} {text(rnd.randrange(0, 90))}") for i, t in items]
+    assert leaks(spark, rows, items, make_docs) == {(1000 + i, i) for i, _ in items}
+
+
 def test_decontamination_of_nothing(spark, make_docs):
     assert leaks(spark, [(1, "x y z")], [(1, None)], make_docs) == set()
     assert leaks(spark, [], [(1, "some words of an item here")], make_docs) == set()
