@@ -89,12 +89,23 @@ def quadtree_cells(q):
     return f"SELECT CAST(floor(16 * (x - x0) / span) AS BIGINT) AS cx, CAST(floor(16 * (y - y0) / span) AS BIGINT) AS cy, count(*) AS vectors, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM {ends} AS e GROUP BY 1, 2"
 
 
+def hovered(q: Dialect, cells: int, below: str, asked: str) -> str:
+    """Asked places with the nearest other whose squared distance is below a bound of (1 / cells)^2 at most: such places lie in
+    the same cell of a grid or in one of the eight around it."""
+    grid = f"(SELECT *, CAST(floor(x * {cells}) AS BIGINT) AS cx, CAST(floor(y * {cells}) AS BIGINT) AS cy FROM {plane(q)} AS p)"
+    steps = "(SELECT * FROM (VALUES (-1), (0), (1)) AS s(step))"
+    around = f"(SELECT id, x, y, cx + i.step AS cx, cy + j.step AS cy FROM {grid} AS g CROSS JOIN {steps} AS i CROSS JOIN {steps} AS j WHERE {asked})"
+    far = "round(power(a.x - b.x, 2) + power(a.y - b.y, 2), 9)"
+    return f"(SELECT a, b FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY {far}, b.id) AS place FROM {around} AS a JOIN {grid} AS b ON a.cx = b.cx AND a.cy = b.cy AND a.id <> b.id WHERE {far} < {below}) AS r WHERE place = 1)"
+
+
 @sql
 def hover_nearest(q):
-    """For the cells' corners that queries point at, the nearest place in the same cell."""
-    grid = f"(SELECT *, CAST(floor(x * 4) AS BIGINT) AS cx, CAST(floor(y * 4) AS BIGINT) AS cy FROM {plane(q)} AS p)"
-    far = "round(power(a.x - b.x, 2) + power(a.y - b.y, 2), 9)"
-    return f"SELECT a, b FROM (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY {far}, b.id) AS place FROM {grid} AS a JOIN {grid} AS b ON a.cx = b.cx AND a.cy = b.cy AND a.id <> b.id WHERE a.id % 100 = 0) AS r WHERE place = 1"
+    """For the places that queries point at, the nearest other place less than 1/4 away; a place without one has no row.
+    Those with one less than 0.0078 away are found on a fine grid, without the pairs of a wide one."""
+    close = hovered(q, 128, "0.000061", "id % 100 = 0")
+    wide = hovered(q, 4, "0.0625", f"id % 100 = 0 AND NOT EXISTS (SELECT 1 FROM {close} AS f WHERE f.a = g.id)")
+    return f"SELECT a, b FROM {close} AS c UNION ALL SELECT a, b FROM {wide} AS w"
 
 
 @rows

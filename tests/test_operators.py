@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from boolscope.operators import graph
 from boolscope.operators import vectors as vec
+from boolscope.plans import registry
 from boolscope.sources import files
 
 EXAMPLE = '0,2,0,"1[*,*]",0101,0000,1,0,0,0,1.0,2,4,0.0,0.25,7'
@@ -128,3 +129,15 @@ def test_levels_and_convergence(spark):
     made = graph.levels(edges, least=20)
     assert len(made) > 2 and [e.count() for e in made] == sorted((e.count() for e in made), reverse=True)
     assert graph.convergence([1.0] * 5 + [0.5] * 5) == [None] * 9 + [0.5]
+
+
+def test_hover_looks_into_cells_around(spark, tmp_path):
+    """Nearest places by brute force, across borders of cells and for places alone in theirs."""
+    rnd = random.Random(3)
+    at = {i: (rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for i in range(0, 4000, 20)} | {5000: (0.26, 3.1), 5001: (0.24, 3.1), 5002: (0.45, 3.1), 5100: (7.0, 7.0), 5101: (7.2, 7.2)}
+    spark.createDataFrame([(i, [x, y], 0) for i, (x, y) in at.items()], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    far = lambda a, b: (at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2
+    want = {(a, min((b for b in at if b != a), key=lambda b: far(a, b))) for a in at if a % 100 == 0}
+    want = {(a, b) for a, b in want if far(a, b) < 0.25**2}
+    got = registry.QUERIES["hover_nearest"](spark, str(tmp_path)).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and (5000, 5001) in want and len(got) == len(want) > 30
