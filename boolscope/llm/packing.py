@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,17 +11,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import save, text_of, trimmed
 
 LENGTH = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-DIMS, BITS = 4, 8
-#: Tokens per bucket of the range sort, about, and buckets at most.
-BUCKET_TOKENS, MAX_BUCKETS = 3_000_000, 10_000
+DIMS, BITS = 4, 6
+#: Bits of a hash below a place on the curve, by which documents at one place are told apart.
+LOW = 30
+#: Tokens per bucket of the range sort, about, up to MAX_BUCKETS buckets; beyond, buckets grow.
+BUCKET_TOKENS, MAX_BUCKETS = 3_000_000, 100_000
+#: Leading bits of the curve by which running sums over its cells are dealt to tasks.
+TOP = 12
 #: Words that a worker process keeps the tokens of, and signs that end a word.
 CACHE, SIGNS = 600_000, ".,;:!?\"()[]{}#*$%&|"
+#: Runs without white space as the tokenizer takes it: unlike Python's, U+001C to U+001F are none.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+RUNS = re.compile("[^" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in SEPARATORS) + "]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -30,6 +39,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def split(text: str) -> list[str]:
+    """The words of a text: its runs without what the tokenizer takes as white space."""
+    return RUNS.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+
+
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     """Place on the Hilbert curve of each row of cell numbers, each below 2 ** bits (Skilling's transform)."""
     x = cells.astype(np.int64).T.copy()
@@ -164,7 +178,7 @@ def _tokenise(path: str, dims: int, bits: int):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part, known = b.slice(at, 500), known_words(path, dims)
-                texts = [known.rows(t.as_py().split()) for t in part["text"]]
+                texts = [known.rows(split(t.as_py())) for t in part["text"]]
                 known.learn()
                 ids, cells = [], np.zeros((len(texts), dims))
                 for i, rows in enumerate(texts):
@@ -177,6 +191,31 @@ def _tokenise(path: str, dims: int, bits: int):
     return run
 
 
+def _bounds(made: DataFrame, total: int, buckets: int) -> list[int]:
+    """Keys that cut the line in buckets of equal size, about.
+
+    Tokens are summed by place on the curve; a bound that falls inside a place's tokens cuts its hashes in that
+    proportion, so a place that a third of all documents share is dealt to as many buckets as it needs. Running sums
+    are made per TOP leading bits, each in a task; the driver gets their 2 ** TOP totals and the bounds.
+    """
+    spark = made.sparkSession
+    cells = made.groupBy(F.shiftright("key", LOW).alias("cell")).agg(F.sum("n").alias("n"))
+    cells = cells.withColumn("top", F.shiftright("cell", DIMS * BITS - TOP))
+    tops, at, firsts = {r["top"]: r["n"] for r in cells.groupBy("top").agg(F.sum("n").alias("n")).collect()}, 0, []
+    for top in sorted(tops):
+        firsts.append((top, at))
+        at += tops[top]
+    cells = cells.join(F.broadcast(spark.createDataFrame(firsts, "top long, first long")), "top")  # 2 ** TOP rows at most
+    before = F.sum("n").over(Window.partitionBy("top").orderBy("cell")) - F.col("n") + F.col("first")
+    cells = cells.select("cell", F.col("n").cast("double").alias("n"), before.cast("double").alias("before"))
+    size = total / buckets
+    lo = F.greatest(F.ceil(F.col("before") / size), F.lit(1))
+    hi = F.least(F.ceil((F.col("before") + F.col("n")) / size) - 1, F.lit(buckets - 1))
+    cut = cells.where(lo <= hi).select("cell", "n", "before", F.explode(F.sequence(lo, hi)).alias("b"))
+    low = F.floor((F.col("b") * size - F.col("before")) / F.col("n") * (1 << LOW)).cast("long")
+    return sorted(r["key"] for r in cut.select((F.shiftleft("cell", LOW) + low).alias("key")).distinct().collect())
+
+
 def _bucket(key: Column, bounds: list[int]) -> Column:
     """How many of the sorted bounds are at most the key: first counted in steps, then within a step."""
     step = max(1, round(len(bounds) ** 0.5))
@@ -216,7 +255,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col:
 
     The line is made of buckets, ranges of the curve with about as many tokens each: each bucket is sorted in a task
     of its own and starts where the sums of the buckets before it end. Only bounds and sums, at most MAX_BUCKETS,
-    reach the driver. A hash of the id is the lower half of the key, so copies of a text, which share a place
+    reach the driver. A hash of the id is the lower part of the key, so copies of a text, which share a place
     on the curve, can be dealt to many buckets.
 
     A null text counts as empty and has the id END alone. Null and repeated ids are rows like others. Extra columns
@@ -224,19 +263,18 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col:
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     made = rows.mapInArrow(trimmed(_tokenise(path or tokenizer_path(), DIMS, BITS)), "id long, n long, curve long, ids binary")
-    low = F.pmod(F.xxhash64("id", "n"), F.lit(1 << 30))
-    made = save(made.select("id", "n", "ids", F.shiftleft("curve", 30).bitwiseOR(low).alias("key")), "tokens")
-    n = made.agg(F.sum("n")).first()[0] or 0
-    buckets = int(min(MAX_BUCKETS, n // bucket_tokens + 1))
-    share = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(made.agg(F.percentile_approx("key", share, 10 * buckets)).first()[0] or [])) if share else []
+    low = F.pmod(F.xxhash64("id", "n"), F.lit(1 << LOW))
+    made = save(made.select("id", "n", "ids", F.shiftleft("curve", LOW).bitwiseOR(low).alias("key")), "tokens")
+    total = made.agg(F.sum("n")).first()[0] or 0
+    buckets = int(min(MAX_BUCKETS, total // bucket_tokens + 1))
+    bounds = _bounds(made, total, buckets) if buckets > 1 else []
     made = made.withColumn("bucket", _bucket(F.col("key"), bounds))
     sums = made.groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     starts, at = {}, 0
     for r in sorted(sums, key=lambda r: r["bucket"]):
         starts[r["bucket"]] = at
         at += r["n"]
-    dealt = made.repartition(buckets, "bucket")
+    dealt = made.repartitionById(len(bounds) + 1, F.col("bucket").cast("int"))
     dealt = dealt.sortWithinPartitions("bucket", "key", "id", "n", F.xxhash64("ids"))
     return dealt.mapInArrow(trimmed(_pieces(starts, length)), PIECE)
 

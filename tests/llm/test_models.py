@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -179,3 +180,25 @@ def test_packing(make_docs, corpus):
 def test_packing_rows_with_one_id(make_docs):
     got = Counter((r["doc_id"], r["length"]) for r in packing.pack(make_docs([(1, "a b"), (1, "a b"), (None, None)])).collect())
     assert got == Counter({(1, 3): 2, (None, 1): 1})
+
+
+def test_packing_ids_of_all_white_space_and_control_characters():
+    tokenizer, known = Tokenizer.from_file(packing.tokenizer_path()), packing.known_words(packing.tokenizer_path(), packing.DIMS)
+    odd = [chr(c) for c in range(0x3001) if chr(c).isspace() or not chr(c).isprintable()]
+    texts = [f"a{c}b{c} {c}Xy.{c}{c}z" for c in odd] + ["".join(odd), "a" + "b".join(odd), "it's\x1cgone\x1d 12 \x1e"]
+    rows = [known.rows(packing.split(t)) for t in texts]
+    known.learn()
+    assert [known.table.tokens(r).tolist() for r in rows] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("most", [7, 100_000])
+def test_packing_buckets_are_even(make_docs, monkeypatch, most):
+    """A third of the rows are copies, which share a place on the curve: they are dealt to many buckets all the same."""
+    monkeypatch.setattr(packing, "MAX_BUCKETS", most)
+    rows = [(i, "one text that is found many times" if i % 3 == 0 else f"text {i} of {i * 7919 % 1013} words {i * 31 % 97}") for i in range(900)]
+    pieces = packing.pack(make_docs(rows), bucket_tokens=400)
+    sizes = [len(x) for x in pieces.rdd.glom().collect()]
+    assert len(sizes) == (7 if most == 7 else pieces.agg({"length": "sum"}).first()[0] // 400 + 1)
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = sorted((r["sequence_id"] * packing.LENGTH + r["offset"], r["length"]) for r in pieces.collect())
+    assert [a for a, _ in got] == [sum(n for _, n in got[:i]) for i in range(len(got))]
