@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +20,44 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one in local mode;
+    on a cluster that is an error, as executors would write to their own disks."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Folders of the tables that save() returned.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Folders written by save() within scratch(), per nested use.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are saved inside are deleted at the end, but those that the given function was called with."""
+    paths: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), paths))
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(saved_path(df))
+        if outer := _SCRATCH.get()[:-1]:
+            outer[-1].append(saved_path(df))
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        for p in paths:
+            remove(spark, p)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -32,8 +65,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write to a new Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
+    if _SCRATCH.get():
+        _SCRATCH.get()[-1].append(path)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -45,7 +82,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def saved_path(df: DataFrame) -> str:
     """The folder of a table written by save()."""
-    return df.inputFiles()[0].rpartition("/")[0]
+    return _PATHS[df]
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_of, trimmed
+from .common import save, scratch, text_of, trimmed
 from .components import connected
 
 SEED = 42
@@ -114,10 +114,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without an id has a null component. Rows that repeat an id are documents of their own. Extra columns are ignored;
     an empty table gives an empty result. Exact copies meet in one row per fingerprint before any search.
     """
-    found = save(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = save(found.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = connected(links(nodes, max_bits))
-    to = save(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
+    with scratch(docs.sparkSession) as keep:
+        found = keep(save(fingerprints(docs, id_col, text_col, width), "fingerprints"))
+        nodes = save(found.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+        roots = connected(links(nodes, max_bits))
+        to = keep(save(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots"))
     least = to.groupBy("root").agg(F.min("least").alias("component"))
     out = found.join(to.join(least, "root").select("fp", "root", "component"), "fp")
     return out.select(F.col("id").alias(id_col), "th", "fp", "root", "component")
