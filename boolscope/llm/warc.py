@@ -1,9 +1,9 @@
 """WARC archives whose records are compressed one by one with a shared Zstandard dictionary.
 
 An archive is a series of frames: a skippable frame (magic 5D 2A 4D 18) that holds the dictionary, then one
-Zstandard frame per record. Spark's text writer puts each record's bytes; its separator is an empty skippable
-frame, which every Zstandard reader passes over. So archives are written with the task commit of Spark's writers, on
-any store that Spark can reach.
+Zstandard frame per record. Spark's text writer puts an archive's bytes as one row, a file for each; its separator is
+an empty skippable frame, which every Zstandard reader passes over. So archives are written with the task commit of
+Spark's writers, on any store that Spark can reach.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
 DICT_BYTES = 64 << 10
 SAMPLE_RECORDS, SAMPLE_MAX_BYTES = 1000, 64 << 10
 MIN_REVISIT_BYTES = 100
-#: Payload per archive, about: small partitions share an archive.
-ARCHIVE_BYTES = 8 << 20
+#: Payload per task, about: small partitions share a task. Compressed bytes at which a task begins another archive.
+TASK_BYTES, ARCHIVE_BYTES = 8 << 20, 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -103,16 +103,22 @@ def frames(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _packer(dictionary: bytes):
+def _packer(dictionary: bytes, most: int):
+    """Archives of most bytes, or of one record more than that; each row is a whole one."""
+    start = struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = zstd.ZstdCompressor(level=3, dict_data=_dictionary(dictionary), write_checksum=True) if dictionary else zstd.ZstdCompressor(level=3, write_checksum=True)
-        first = True
+        held, size = [start], 0
         for b in batches:
-            out = [struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary] if first and b.num_rows else []
-            first = first and not b.num_rows
             for page_id, url, payload, digest, same in zip(*(c.to_pylist() for c in b.columns)):
-                out.append(made.compress(record(page_id, url, payload, digest, same)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                held.append(made.compress(record(page_id, url, payload, digest, same)))
+                size += len(held[-1])
+                if size >= most:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+                    held, size = [start], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
 
     return run
 
@@ -132,16 +138,17 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
-    """Write a record per row to the archives in the folder path, an archive per task, of ARCHIVE_BYTES or so.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write a record per row to the archives in the folder path; a task begins another archive when one has
+    archive_bytes, so that readers, which take an archive whole, need memory for that much and one record.
 
     The payload is the body in UTF-8; a null body is empty. Of rows with equal payloads of at least
     MIN_REVISIT_BYTES, those with the smallest id are responses and the others, also those with a null id, revisit it;
     where all ids are null all are responses. Null ids and urls are written as such. Extra columns are ignored; an
     empty table gives no archive.
 
-    The dictionary is trained on the records of about SAMPLE_RECORDS pages of up to SAMPLE_MAX_BYTES, chosen by a
-    hash; it only changes sizes. The smallest ids per digest are pre-aggregated without payloads.
+    The dictionary is trained on the records of at most SAMPLE_RECORDS pages of up to SAMPLE_MAX_BYTES each, those with
+    the smallest hashes; it only changes sizes. The smallest ids per digest are pre-aggregated without payloads.
     Where their table isn't small, payloads are shuffled once, by digest, and a digest that many pages share is
     split by the adaptive skew join.
     """
@@ -151,21 +158,23 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("copy_key", F.when(F.octet_length("payload") >= MIN_REVISIT_BYTES, F.col("digest")))
     firsts = rows.where("copy_key is not null").groupBy("copy_key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()
-    share = min(1.0, SAMPLE_RECORDS / max(1, n))
-    sample = rows.where((F.octet_length("payload") <= SAMPLE_MAX_BYTES) & (F.pmod(F.xxhash64("id", "url"), F.lit(1 << 30)) < round(share * (1 << 30)))).orderBy("id", "digest")
+    share, chance = min(1.0, 2 * SAMPLE_RECORDS / max(1, n)), F.xxhash64("id", "url", "digest")
+    some = rows.where((F.octet_length("payload") <= SAMPLE_MAX_BYTES) & (F.pmod(chance, F.lit(1 << 30)) < round(share * (1 << 30))))
+    sample = some.orderBy(F.pmod(chance, F.lit(1 << 30)), "id", "digest").limit(SAMPLE_RECORDS)  # rows without ids and urls share a hash
     dictionary = train([record(r["id"], r["url"], bytes(r["payload"]), r["digest"], None) for r in sample.collect()])
     # one more key than was grouped by: the join then shuffles both sides, so that a hot digest can be split
     start = F.substring("copy_key", 1, 8).alias("start")
     rows = rows.select("*", start).join(firsts.select("*", start), ["copy_key", "start"], "left")
     rows = rows.select("id", "url", "payload", "digest", F.when(F.coalesce(F.col("id") != F.col("first"), F.lit(True)), F.col("first")).alias("first"))
-    rows = rows.coalesce(size // ARCHIVE_BYTES + 1)  # merges small partitions, moves nothing
-    out = rows.mapInArrow(trimmed(_packer(dictionary)), "frame binary").select(F.col("frame").cast("string"))
-    out.write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
+    rows = rows.coalesce(size // TASK_BYTES + 1)  # merges small partitions, moves nothing
+    out = rows.mapInArrow(trimmed(_packer(dictionary, archive_bytes)), "archive binary").select(F.col("archive").cast("string"))
+    out.write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives in a folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to,
-    payload (null for revisits). Lengths and digests are checked."""
+    payload (null for revisits). Lengths and digests are checked. A task takes an archive whole: write_archives bounds
+    its size. An archive that doesn't begin with its dictionary's frame, or is cut short, is an error."""
     return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("content").mapInArrow(trimmed(_unpack), READ)
 
 

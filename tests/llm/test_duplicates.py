@@ -160,5 +160,27 @@ def test_archives_of_nothing(spark):
 
 
 def test_archive_frames_without_a_dictionary():
-    data = b"".join(warc._packer(b"")([__import__("pyarrow").RecordBatch.from_pydict({"id": [1], "url": ["u"], "payload": [b"p" * 300_000], "digest": [hashlib.sha256(b"p" * 300_000).hexdigest()], "first": [None]})]).__next__()["frame"].to_pylist())
+    data = b"".join(warc._packer(b"", 1 << 20)([__import__("pyarrow").RecordBatch.from_pydict({"id": [1], "url": ["u"], "payload": [b"p" * 300_000], "digest": [hashlib.sha256(b"p" * 300_000).hexdigest()], "first": [None]})]).__next__()["archive"].to_pylist())
     assert [warc.parse(x)["payload_bytes"] for x in warc.frames(data)] == [300_000]
+
+
+def test_archives_of_a_hot_payload_are_bounded(spark):
+    """Half of the pages have one payload; an archive ends at its size, and every one begins with the dictionary."""
+    path, rnd = new_path(spark, "warc-test"), random.Random(3)
+    pages = [(i, f"http://h/{i}", "same " * 60 if i % 2 else " ".join(str(rnd.random()) for _ in range(30))) for i in range(600)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2), path, archive_bytes=20_000)
+    files = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, 4).alias("magic")).collect()
+    dictionary = max(r["length"] for r in files) - 20_000
+    assert len(files) > 3 and dictionary < warc.DICT_BYTES + 2000 and {bytes(r["magic"]) for r in files} == {b"\x5d\x2a\x4d\x18"}
+    got = warc.read_archives(spark, path)
+    assert got.count() == 600
+    assert {(r["record_type"], r["refers_to"]) for r in got.where("page_id % 2 = 1 and page_id > 1").collect()} == {("revisit", 1)}
+
+
+def test_the_dictionary_sample_is_bounded(spark, monkeypatch):
+    """Rows without id and url have equal hashes if their payloads are equal: they can't all enter the sample."""
+    monkeypatch.setattr(warc, "SAMPLE_RECORDS", 20)
+    taken = []
+    monkeypatch.setattr(warc, "train", lambda samples: taken.append(len(samples)) or b"")
+    warc.write_archives(spark.createDataFrame([(None, None, "z" * 150)] * 300, "page_id long, url string, html string"), new_path(spark, "warc-test"))
+    assert taken[0] <= 20
