@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, save, text_of, trimmed
+from .common import crc32_mod, save, scratch, text_of, trimmed
 
 #: Labelled rows that are learned from, about; of more, those with the smallest hashes.
 MAX_LABELLED = 20_000
@@ -175,24 +175,25 @@ def learn(labelled: DataFrame) -> tuple[dict[str, float], set[str], list[float]]
     texts, or a hundredth of them, and MIN_RATIO, and MAX_TERMS are kept. A match is excused in phrases of two words that MIN_CLEAN clean texts and hardly any toxic
     ones hold. The driver gets only these bounded lists and FEATURES numbers per labelled row, about MAX_LABELLED.
     """
-    rows = save(labelled.where("toxic in (0, 1)").select(text_of(labelled).alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxic")
-    total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    toxic, clean = total.get(1, 0), total.get(0, 0)
-    if not toxic or not clean:  # nothing to tell apart
-        return {}, set(), [*[0.0] * FEATURES, log((toxic + 0.5) / (clean + 0.5))]
-    counts = rows.mapInArrow(trimmed(_terms), "term string, texts long, toxic long, clean long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("texts", "toxic", "clean")))
-    counts = save(counts.where("toxic > 0"), "terms")
-    words = counts.where("term = ''").first()
-    ratio = (F.col("toxic") + 0.5) / (words["toxic"] + 1) / ((F.col("clean") + 0.5) / (words["clean"] + 1)) if words else F.lit(0.0)
-    found = counts.where((F.col("term") != "") & (F.col("texts") >= max(MIN_TOXIC, toxic // 100)) & (ratio >= MIN_RATIO)).select("term", F.log(ratio).alias("w"), "texts")
-    found = found.orderBy(F.desc(F.col("w") * F.sqrt("texts")), "term").limit(MAX_TERMS)
-    terms = {r["term"]: r["w"] for r in found.collect()}
-    said = rows.mapInArrow(trimmed(_phrases(terms)), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    said = said.where((F.col("clean") >= MIN_CLEAN) & (F.col("clean") >= 9 * F.col("toxic") * clean / toxic)).orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS)
-    exceptions = {r["term"] for r in said.collect()}
-    x = rows.mapInArrow(trimmed(_features(terms, exceptions)), "toxic int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).collect()
-    a = np.array([tuple(r) for r in x])
-    return terms, exceptions, _logistic(a[:, 1:], a[:, 0]).tolist()
+    with scratch(labelled.sparkSession):
+        rows = save(labelled.where("toxic in (0, 1)").select(text_of(labelled).alias("text"), F.col("toxic").cast("int").alias("toxic")), "toxic")
+        total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        toxic, clean = total.get(1, 0), total.get(0, 0)
+        if not toxic or not clean:  # nothing to tell apart
+            return {}, set(), [*[0.0] * FEATURES, log((toxic + 0.5) / (clean + 0.5))]
+        counts = rows.mapInArrow(trimmed(_terms), "term string, texts long, toxic long, clean long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("texts", "toxic", "clean")))
+        counts = save(counts.where("toxic > 0"), "terms")
+        words = counts.where("term = ''").first()
+        ratio = (F.col("toxic") + 0.5) / (words["toxic"] + 1) / ((F.col("clean") + 0.5) / (words["clean"] + 1)) if words else F.lit(0.0)
+        found = counts.where((F.col("term") != "") & (F.col("texts") >= max(MIN_TOXIC, toxic // 100)) & (ratio >= MIN_RATIO)).select("term", F.log(ratio).alias("w"), "texts")
+        found = found.orderBy(F.desc(F.col("w") * F.sqrt("texts")), "term").limit(MAX_TERMS)
+        terms = {r["term"]: r["w"] for r in found.collect()}
+        said = rows.mapInArrow(trimmed(_phrases(terms)), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        said = said.where((F.col("clean") >= MIN_CLEAN) & (F.col("clean") >= 9 * F.col("toxic") * clean / toxic)).orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS)
+        exceptions = {r["term"] for r in said.collect()}
+        x = rows.mapInArrow(trimmed(_features(terms, exceptions)), "toxic int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).collect()
+        a = np.array([tuple(r) for r in x])
+        return terms, exceptions, _logistic(a[:, 1:], a[:, 0]).tolist()
 
 
 def _scores(terms: dict[str, float], exceptions: set[str], weights: list[float]):
@@ -218,11 +219,13 @@ def score(docs: DataFrame, model: tuple[dict[str, float], set[str], list[float]]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_LABELLED) -> DataFrame:
-    """(text, label) of about the given number of labelled documents at most, chosen by a hash of their ids."""
+    """(text, label) of about the given number of labelled documents at most, chosen by a hash of their ids: of rows
+    that repeat an id, the smallest text and the largest label. Null ids and labels are ignored."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     share = min(1.0, most / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", label)  # bounded by most
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # bounded by most
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first(label).alias(label)).select("text", label)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
