@@ -9,11 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import crc32_mod, text_of, trimmed
 
 #: Labelled documents learned from per language, about, and languages told apart: those with most documents.
 MAX_LABELLED, MAX_LANGUAGES = 400, 200
+#: Bytes of text learned from per language.
+LEARN_BYTES = 2 << 20
 #: Whole texts are learned from; a text's words are cut into chains of this many for learning only.
 CHAIN = 64
 BITS, LEXICON = 16, 2_000
@@ -205,14 +208,24 @@ def _predict(model: Model):
     return run
 
 
-def labelled_sample(docs: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str, str]]:
-    """(text, lang) of about the given number of documents per language, chosen by a hash of the text."""
-    rows = docs.where("lang is not null and text is not null").select("text", "lang")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    h, keep = F.pmod(F.xxhash64("text"), F.lit(1 << 20)), F.lit(False)
+def labelled_sample(docs: DataFrame, most: int = MAX_LABELLED, most_bytes: int = LEARN_BYTES) -> list[tuple[str, str]]:
+    """(text, lang) of about the given number of distinct texts per language, chosen by their hashes, and of so many
+    bytes a language at most: texts beyond that stay out, but each language has its shortest one at least.
+
+    Texts and counts are distinct, so copies of a text are one row however many there are. Null texts and languages are
+    ignored; of more than MAX_LANGUAGES languages, those with the most texts are learned.
+    """
+    rows = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("th"))
+    texts = rows.groupBy("lang", "th").agg(F.max(F.octet_length("text")).alias("size"))
+    found = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    h, keep = F.pmod(F.xxhash64("th"), F.lit(1 << 20)), F.lit(False)
     for r in found:
         keep = keep | ((F.col("lang") == r["lang"]) & (h < round(min(1.0, most / r["count"]) * (1 << 20))))
-    return [(r["text"], r["lang"]) for r in rows.where(keep).orderBy("lang", F.xxhash64("text")).collect()]
+    by = Window.partitionBy("lang")  # of about most rows each
+    sized = texts.where(keep).select("lang", "th", F.sum("size").over(by.orderBy("size", "th").rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), F.row_number().over(by.orderBy("size", "th")).alias("at"))
+    chosen = sized.where((F.col("sum") <= most_bytes) | (F.col("at") == 1)).select("lang", "th")
+    got = rows.join(F.broadcast(chosen), ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["th"]))]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
