@@ -18,8 +18,6 @@ SIGNS = ".,;:!?\"'`()[]{}<>|#*$%&_~=+-/\\…“”‘’«»¿¡–—"
 BLOCK = 16
 #: Dimensions of the latent space, and extra ones while it is fitted.
 RANK, EXTRA = 256, 8
-#: Words of the benchmark that are told apart; of more, some share a number.
-MAX_TERMS = 60_000
 #: Words in more than this share of the distinct texts have no weight in the latent search.
 STOP_SHARE = 0.05
 #: Times that the benchmark's passages together weigh as much as all documents' in the fit of the latent space.
@@ -70,36 +68,43 @@ class Benchmark:
         self.items: list[tuple[int, list[int], list[int]]] = []
         for item, text in items:
             for w in words(text):
-                self.number.setdefault(w, len(self.number) % MAX_TERMS + 1)
+                self.number.setdefault(w, len(self.number) + 1)
             ids, last = ([self.number[w] for w in x] for x in (words(text), answer(text)))
             if ids:
                 self.items.append((item, ids, last))
-        self.size = min(len(self.number), MAX_TERMS) + 1
+        self.size = len(self.number) + 1
+
+
+def _kind(size: int) -> str:
+    """How word numbers below size are stored."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def _numbers(number: dict[str, int]):
+    kind = _kind(len(number) + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = number.get
         for b in batches:
             # as words(), but that signs alone stay as other words
-            made = [np.array([get(w) or get(w.strip(SIGNS), 0) for w in t.as_py().lower().split()], "<u2").tobytes() for t in b["text"]]
+            made = [np.array([get(w) or get(w.strip(SIGNS), 0) for w in t.as_py().lower().split()], kind).tobytes() for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["id"], b["th"], pa.array(made, pa.binary())], ["id", "th", "words"])
 
     return run
 
 
-def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All documents' words in a row, and where each document starts, with the end last."""
-    data = [x.as_buffer() if x.is_valid else b"" for x in column]
-    starts = np.concatenate([[0], np.cumsum([len(x) // 2 for x in data])]).astype(np.int64)
-    return np.frombuffer(b"".join(data), "<u2"), starts
+def _read(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All documents' words, numbers below size, in a row, and where each document starts, with the end last."""
+    data, kind = [x.as_buffer() if x.is_valid else b"" for x in column], np.dtype(_kind(size))
+    starts = np.concatenate([[0], np.cumsum([len(x) // kind.itemsize for x in data])]).astype(np.int64)
+    return np.frombuffer(b"".join(data), kind), starts
 
 
 def _frequencies(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size + 1, np.int64)  # the last counts texts
         for b in batches:
-            flat, starts = _read(b["words"])
+            flat, starts = _read(b["words"], size)
             doc = np.repeat(np.arange(b.num_rows), np.diff(starts))
             seen[:size] += np.bincount(np.unique(doc * size + flat) % size, minlength=size)
             seen[size] += b.num_rows
@@ -132,7 +137,7 @@ def _products(weight: np.ndarray, other: float, basis: np.ndarray):
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 some = True
-                add_products(*_read(b["words"].slice(at, 100)), weight, other, basis, total)
+                add_products(*_read(b["words"].slice(at, 100), len(weight)), weight, other, basis, total)
         for at in range(0, len(basis) if some else 0, CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + CHUNK].tobytes()], pa.binary())], ["at", "rows"])
 
@@ -165,7 +170,7 @@ def _product(numbers: DataFrame, bench: tuple[np.ndarray, np.ndarray], scale: fl
     out = np.zeros(basis.shape)
     add_products(*bench, weight, other, basis, out)
     out *= scale
-    for r in parts.collect():  # rows by dimensions of the benchmark's own words: bounded by MAX_TERMS
+    for r in parts.collect():  # a row of RANK + EXTRA numbers per word of the benchmark
         got = np.frombuffer(r["rows"]).reshape(-1, basis.shape[1])
         out[r["at"] : r["at"] + len(got)] += got
     return out
@@ -334,7 +339,7 @@ def _matches(space: Space):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                flat, starts = _read(part["words"])
+                flat, starts = _read(part["words"], space.bench.size)
                 ids, hashes, found = part["id"].to_pylist(), part["th"].to_pylist(), {}
                 for doc, item, block, cosine in space.candidates(flat, starts):
                     if (doc, item) in found:

@@ -1,12 +1,14 @@
 """Toxicity, language identification, decontamination and packing."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from boolscope.llm import decontaminate, language_crf, packing, toxicity
@@ -202,3 +204,41 @@ def test_packing_buckets_are_even(make_docs, monkeypatch, most):
     assert max(sizes) < 2 * sum(sizes) / len(sizes)
     got = sorted((r["sequence_id"] * packing.LENGTH + r["offset"], r["length"]) for r in pieces.collect())
     assert [a for a, _ in got] == [sum(n for _, n in got[:i]) for i in range(len(got))]
+
+
+def test_more_benchmark_words_than_two_bytes_hold(spark, make_docs):
+    """Every word keeps a number of its own."""
+    items = [(i, " ".join(f"q{i}x{j}" for j in range(700))) for i in range(100)]
+    bench = decontaminate.Benchmark(items)
+    assert len(set(bench.number.values())) == bench.size - 1 == 70_000
+    words = decontaminate._numbers(bench.number)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "th": [1, 2], "text": [items[99][1], items[0][1] + " other"]})
+    flat, starts = decontaminate._read(next(words(iter([batch])))["words"], bench.size)
+    assert flat.tolist() == [*range(69_301, 70_001), *range(1, 701), 0] and starts.tolist() == [0, 700, 1401]
+
+
+def test_learning_samples_are_bounded(spark, make_docs):
+    """Copies of a text are one row, repeated ids are one document, and every language is learned from."""
+    docs = spark.createDataFrame([(1, "copied text", "en")] * 50 + [(i, f"text {i}", "en") for i in range(30)] + [(7, "x" * 500, "de"), (8, "y" * 900, "de")], "doc_id long, text string, lang string")
+    got = language_crf.labelled_sample(docs, 400, 100)
+    assert Counter(x[1] for x in got) == {"en": len([x for x in got if x[1] == "en"]), "de": 1} and len(set(got)) == len(got)
+    assert sum(len(t) for t, lang in got if lang == "en") <= 100 and ("x" * 500, "de") in got
+    assert len(language_crf.labelled_sample(docs, 400)) == 33
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    repeated = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (3, "d"), (None, "e")], "doc_id long, text string")
+    assert sorted(map(tuple, toxicity.labelled_sample(repeated, labels, "toxic").collect())) == [("a", 1), ("c", 0)]
+
+
+def test_lexicon_matches_as_a_naive_scan_does():
+    rnd = random.Random(5)
+    letters = "abci "
+    terms = {"".join(rnd.choice("abci") for _ in range(rnd.randrange(1, 5))) + rnd.choice(["", " "]): rnd.random() for _ in range(40)}
+    lexicon = toxicity.Lexicon(terms, set())
+    for _ in range(200):
+        text = "".join(rnd.choice(letters) for _ in range(60))
+        want = {}
+        for m in re.finditer(r"[a-z]+", text):
+            found = [w for t, w in terms.items() if (m[0] == t[:-1] if t.endswith(" ") else m[0].startswith(t))]
+            if found:
+                want[m.start()] = max(found)
+        assert lexicon.matches(text) == want
