@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of
+from .common import SPACE, let, save, scratch, text_of
 
 
 def _key_text(text: Column) -> Column:
@@ -18,13 +18,13 @@ def _key_text(text: Column) -> Column:
     return F.lower(F.decode(text.cast("binary"), "ISO-8859-1"))
 
 
-def _key(line: Column, key_line: Column, min_chars: int) -> Column:
-    """128 bits of hash for a line's key, or null for keys of under min_chars code points."""
-    trim = F.btrim(key_line, F.lit(SPACE))
-    return F.when(
-        F.char_length(F.btrim(line, F.lit(SPACE))) >= min_chars,
-        F.struct(F.xxhash64(trim).alias("a"), F.xxhash64(F.lit(1), trim).alias("b")),
-    )
+def _held(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(doc, th, at, a, b): the lines whose keys have min_chars code points, by document, hash of its text and place,
+    with 128 bits of hash of the key."""
+    lines = rows.select("doc", "th", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = lines.where(F.char_length(F.btrim("line", F.lit(SPACE))) >= min_chars)
+    key = F.btrim(_key_text(F.col("line")), F.lit(SPACE))
+    return lines.select("doc", "th", "at", F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -36,29 +36,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text is one empty line. A null id is returned as null and counts as the largest id. Rows that
     repeat an id count as one document. Other columns are ignored. An empty table gives an empty result.
 
-    Documents per key are counted by (key, id) first, so a line that a third of the documents hold is spread over
-    all tasks; the hot side of the join with the dropped keys is split by the adaptive skew join.
+    Lines are hashed once, into a table of the shared folder. Documents per key are counted by (key, id) first, so a
+    line that a third of the documents hold is spread over all tasks; the hot side of the join with the dropped keys is
+    split by the adaptive skew join. Documents are then reassembled by the places of the lines that go, in time linear
+    in their length.
     """
-    rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"), F.struct("*").alias("row"))
-    rank = F.coalesce(F.col("id").cast("long"), F.lit(2**63 - 1))
-    lines, key_lines = F.split("text", "\n", -1), F.split(_key_text(F.col("text")), "\n", -1)
-    keys = F.array_distinct(F.array_compact(F.zip_with(lines, key_lines, lambda x, k: _key(x, k, min_chars))))
-    held = rows.select(rank.alias("doc"), F.explode(keys).alias("k")).select("doc", "k.a", "k.b")
-    common = held.groupBy("a", "b").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("keeper")).where(F.col("n") >= min_docs)
-    # one more key than was grouped by: the join then shuffles both sides, so that a hot line can be split
-    both_keys = F.col("a").bitwiseXOR(F.col("b")).alias("c")
-    lost = held.select("*", both_keys).join(common.select("*", both_keys), ["a", "b", "c"]).where(F.col("doc") != F.col("keeper"))
-    lost = lost.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
-    both = rows.withColumn("doc", rank).join(lost, "doc", "left")
-    stays = F.transform(
-        F.filter(
-            F.arrays_zip(lines.alias("line"), F.zip_with(lines, key_lines, lambda x, k: _key(x, k, min_chars)).alias("key")),
-            lambda x: x["key"].isNull() | ~F.array_contains(F.col("lost"), x["key"]),
-        ),
-        lambda x: x["line"],
-    )
-    out = both.select("id", "row", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("lost").isNull(), lines).otherwise(stays).alias("stay"))
-    return out.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"), F.array_join("stay", "\n").alias("kept"), "row")
+    rank = F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1))
+    rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"), F.struct("*").alias("row"), rank.alias("doc"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    with scratch(docs.sparkSession) as keep:
+        held = save(_held(rows, min_chars), "lines")
+        common = held.groupBy("a", "b").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("keeper")).where(F.col("n") >= min_docs)
+        # one more key than was grouped by: the join then shuffles both sides, so that a hot line can be split
+        both_keys = F.col("a").bitwiseXOR(F.col("b")).alias("c")
+        lost = held.select("*", both_keys).join(common.select("*", both_keys), ["a", "b", "c"]).where(F.col("doc") != F.col("keeper"))
+        lost = keep(save(lost.groupBy("doc", "th").agg(F.collect_set(F.col("at") + 1).alias("lost")), "lost"))
+    both = rows.join(lost, ["doc", "th"], "left")
+    lines = F.split("text", "\n", -1)
+    n = F.size(lines).cast("long")
+    stay = let(lines, lambda xs: F.transform(F.array_except(F.sequence(F.lit(1), F.size(xs)), F.col("lost")), lambda i: F.element_at(xs, i)))
+    out = both.select("id", "row", n.alias("n_lines"), F.coalesce(F.size("lost").cast("long"), F.lit(0)).alias("n"), F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_lines", F.greatest("n", F.lit(0)).alias("n_dropped"), "kept", "row")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:

@@ -29,6 +29,14 @@ def test_line_dedup(make_docs, corpus):
     assert got == want
 
 
+def test_line_dedup_of_a_long_text_and_of_rows_with_one_id(make_docs):
+    """Places of lines belong to a text: rows that share an id lose their own lines. Ids that differ lose the rest."""
+    line = "a line that many hold"
+    rows = [(1, f"{line}\nx"), (2, f"first of two\n{line}"), (2, f"{line}\nsecond"), (2, f"{line}\nsecond"), (3, "\n".join(f"line number {i % 7000}" for i in range(20_000)) + f"\n{line}"), (4, "line number 12\n")]
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"][:20]) for r in line_dedup.dedup_lines(make_docs(rows)).collect())
+    assert got == Counter({(1, 2, 0, f"{line}\nx"[:20]): 1, (2, 2, 1, "first of two"): 1, (2, 2, 1, "second"): 2, (3, 20_001, 1, "line number 0\nline n"): 1, (4, 2, 1, ""): 1})
+
+
 def test_line_keys_lower_only_ascii(make_docs):
     """É and é differ, A and a don't: of these only the last has the key of another."""
     rows = [(1, "ÉTÉ AU SOLEIL"), (2, "Été au soleil"), (3, "été au soleil"), (4, "ÉtÉ au Soleil ")]
