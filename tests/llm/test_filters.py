@@ -1,9 +1,12 @@
 """Line deduplication, quality rules and url rules against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from boolscope.llm import line_dedup, quality_rules, url_rules
@@ -126,11 +129,62 @@ def test_mined_rules(spark):
     assert got == {1: "block", 2: "allow", 3: "allow"}
 
 
+def url_tokens(url):
+    host, path = parts(url)
+    query = url.split("#")[0].partition("?")[2]
+    lists = (("host:", host.split(".")), ("path:", path.split("/")), ("query:", [x.split("=")[0] for x in query.split("&")]))
+    return {kind + re.sub("[0-9]+", "0", x.lower()) for kind, xs in lists for x in xs if x}
+
+
+def labelled_urls(rnd, n):
+    """Urls whose labels depend on two tokens together, some of them very long."""
+    out = []
+    for i in range(n):
+        section, kind = rnd.choice(["ads", "news", "help"]), rnd.choice(["shop", "blog"])
+        keys = rnd.sample([f"k{chr(97 + j)}" for j in range(26)], 20) if i % 10 == 0 else []
+        url = f"http://{kind}.site.io/{section}/{i}" + ("?" + "&".join(f"{k}={i}" for k in keys) if keys else "")
+        out.append((url, (section == "ads" and kind == "shop") != (rnd.random() < 0.05)))
+    return out
+
+
+def test_mined_rules_hold_as_counted(spark):
+    """Support and confidence of every rule are those of a plain count; all rules of one or two tokens are found."""
+    rows = labelled_urls(random.Random(1), 1500)
+    got = {(r["verdict"], tuple(r["tokens"])): (r["confidence"], r["support"]) for r in url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean"), 0.02, 0.7, 1.2).collect()}
+    held = [(url_tokens(u), b) for u, b in rows]
+    shares = {"block": sum(b for _, b in held) / len(held)}
+    shares["allow"] = 1 - shares["block"]
+
+    def counted(verdict, needs):
+        hits = [b == (verdict == "block") for t, b in held if t >= set(needs)]
+        return (sum(hits) / len(hits), sum(hits) / len(held)) if hits else (0, 0)
+
+    for (verdict, needs), x in got.items():
+        assert x == pytest.approx(counted(verdict, needs))
+    every = sorted({t for x, _ in held for t in x})
+    for needs in [*combinations(every, 1), *combinations(every, 2)]:
+        for verdict, share in shares.items():
+            confidence, support = counted(verdict, needs)
+            assert ((verdict, needs) in got) == (support >= 0.02 and confidence >= 0.7 and confidence >= 1.2 * share)
+
+
+def test_mined_rules_decide_on_held_out_urls(spark):
+    rnd = random.Random(2)
+    learn, held = spark.createDataFrame(labelled_urls(rnd, 1200), "url string, blocked boolean"), labelled_urls(rnd, 600)
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)] + [(-1, "http://shop.site.io/ads/" + "x" * 200_000 + "?" + "&".join(f"a{'b' * i}" for i in range(3000)))], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, learn).collect()}
+    assert got[-1] == "block"
+    right = sum((got[i] == "block") == b for i, (_, b) in enumerate(held)) / len(held)
+    assert right > 0.9 > max(sum(b for _, b in held), sum(not b for _, b in held)) / len(held)  # the better constant answer
+
+
 def test_native_plans(make_docs, corpus):
     import contextlib
     import io
 
-    for df in (line_dedup.dedup_lines(make_docs(corpus)), quality_rules.features(make_docs(corpus))):
+    labelled = make_docs(corpus).selectExpr("concat('http://a.io/', doc_id) AS url", "doc_id % 2 = 0 AS blocked")
+    judged = url_rules.judge(labelled.selectExpr("1 AS page_id", "url"), labelled.limit(40))
+    for df in (line_dedup.dedup_lines(make_docs(corpus)), quality_rules.features(make_docs(corpus)), judged):
         with contextlib.redirect_stdout(io.StringIO()) as said:
             df.explain()
         assert "Arrow" not in said.getvalue() and "Python" not in said.getvalue()
