@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, text_of, trimmed
+from .common import save, scratch, text_of, trimmed
 
 LENGTH = 400
 #: Bytes of a document that are looked at in one go while anchors are picked.
@@ -117,7 +117,11 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Order of all suffixes from that of the leftmost S ones, by a scan of the buckets up for the others (L) and one
-    down for S. A bucket's entries are taken together, and those that they put in the same bucket after them."""
+    down for S.
+
+    Neighbouring buckets are scanned together as long as none of their entries puts another into one of them; a bucket
+    that does so to itself is scanned alone, and what it puts into itself after that.
+    """
     n, size = len(t), int(t.max()) + 1
     count = np.bincount(t, minlength=size)
     head = np.concatenate([[0], np.cumsum(count)[:-1]])
@@ -129,63 +133,71 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
     rank = np.arange(len(lms)) - (np.cumsum(many) - many)[first]
     sa[tail[first] - many[first] + rank] = lms
 
-    def put(block: np.ndarray, want_s: bool, at: np.ndarray, step: int) -> None:
+    def induced(block: np.ndarray, want_s: bool) -> np.ndarray:
         j = block - 1
         j = j[j >= 0]
-        j = j[is_s[j] == want_s]
+        return j[is_s[j] == want_s]
+
+    def put(j: np.ndarray, at: np.ndarray, step: int) -> None:
         if not len(j):
             return
         c = t[j]
         order = np.argsort(c, kind="stable")
         j, c = j[order], c[order]
-        found = np.bincount(c, minlength=size)
-        rank = np.arange(len(j)) - (np.cumsum(found) - found)[c]
-        sa[at[c] + step * rank] = j
-        at += step * found
-
-    at = head.copy()
-    for c in np.nonzero(count)[0]:
-        lo = head[c]
-        while lo < at[c]:
-            hi = at[c]
-            put(sa[lo:hi], False, at, 1)
-            lo = hi
-        put(sa[tail[c] - many[c] : tail[c]], False, at, 1)
-    at = tail - 1
-    for c in np.nonzero(count)[0][:0:-1]:
-        hi = tail[c] - 1
-        while hi > at[c]:
-            lo = at[c]
-            put(sa[lo + 1 : hi + 1][::-1], True, at, -1)
-            hi = lo
-        put(sa[head[c] : head[c] + many_l[c]][::-1], True, at, -1)
+        new = np.nonzero(np.concatenate([[True], c[1:] != c[:-1]]))[0]
+        found = np.diff(new, append=len(c))
+        sa[at[c] + step * (np.arange(len(j)) - np.repeat(new, found))] = j
+        at[c[new]] += step * found
+
+    at, c, want = head.copy(), 0, 256
+    while c < size:
+        end = max(c + 1, int(np.searchsorted(tail, head[c] + want, "right")))
+        j = induced(sa[head[c] : tail[end - 1]], False)
+        least = int(t[j].min()) if len(j) else size
+        if least >= end:
+            put(j, at, 1)
+            c, want = end, min(2 * want, 1 << 16)
+        elif least > c:
+            put(induced(sa[head[c] : head[least]], False), at, 1)
+            c, want = least, max(64, want // 2)
+        else:
+            lo = head[c]
+            while lo < at[c]:
+                hi = at[c]
+                put(induced(sa[lo:hi], False), at, 1)
+                lo = hi
+            put(induced(sa[tail[c] - many[c] : tail[c]], False), at, 1)
+            c += 1
+    at, c, want = tail - 1, size - 1, 256
+    while c > 0:  # the bucket of the sentinel alone puts nothing
+        end = min(c, max(1, int(np.searchsorted(head, tail[c] - want))))
+        j = induced(sa[head[end] : tail[c]][::-1], True)
+        most = int(t[j].max()) if len(j) else -1
+        if most < end:
+            put(j, at, -1)
+            c, want = end - 1, min(2 * want, 1 << 16)
+        elif most < c:
+            put(induced(sa[tail[most] : tail[c]][::-1], True), at, -1)
+            c, want = most, max(64, want // 2)
+        else:
+            hi = tail[c] - 1
+            while hi > at[c]:
+                lo = at[c]
+                put(induced(sa[lo + 1 : hi + 1][::-1], True), at, -1)
+                hi = lo
+            put(induced(sa[head[c] : head[c] + many_l[c]][::-1], True), at, -1)
+            c -= 1
     return sa
 
 
-def _ranks(names: np.ndarray, reach: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by their first reach names, by doubling ranks."""
-    rank, step = names.astype(np.int64), 1
-    while True:
-        later = np.zeros(len(rank), np.int64)
-        later[: len(rank) - step] = rank[step:] + 1 if step < len(rank) else 0
-        key = rank * (len(rank) + 2) + later
-        order = np.argsort(key, kind="stable")
-        fresh = np.empty(len(rank), np.int64)
-        ordered = key[order]
-        fresh[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        rank, step = fresh, 2 * step
-        if rank.max() == len(rank) - 1 or step >= reach or step >= len(rank):
-            return order
-
-
-def suffix_array(data: np.ndarray, reach: int) -> np.ndarray:
-    """Order of the suffixes of data (numbers from 1, with one 0 at the end) by their first reach numbers.
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of data (numbers from 1, with one 0 at the end).
 
     Induced sorting: suffixes are classified, the substrings between leftmost-smaller suffixes are sorted by one
-    induction and named, the string of names, a third as long or less, is sorted in turn, and a second induction
-    gives the order of all.
+    induction and named, the string of names, half as long or less, is sorted in turn the same way, and a second
+    induction gives the order of all.
     """
-    t = data.astype(np.int16)
+    t = data.astype(np.int32)
     is_s = _types(t)
     lms = np.nonzero(is_s[1:] & ~is_s[:-1])[0] + 1
     if len(lms) > 1:
@@ -198,13 +210,10 @@ def suffix_array(data: np.ndarray, reach: int) -> np.ndarray:
         size = end[order] - order
         sums = np.concatenate([[np.uint64(0)], np.cumsum((t.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(t)), dtype=np.uint64)])
         value = _mix((sums[end[order]] - sums[order]) * _powers(INVERSE, len(t))[order])
-        names = np.empty(len(t), np.int64)
+        names = np.empty(len(t), np.int32)
         names[order] = np.cumsum(np.concatenate([[0], (value[1:] != value[:-1]) | (size[1:] != size[:-1])]))
         string = names[lms]
-        if string.max() + 1 < len(lms):
-            lms = lms[_ranks(string, reach // 2 + 1)]
-        else:
-            lms = order
+        lms = order if string.max() + 1 == len(lms) else lms[suffix_array(string)]
     return _induce(t, is_s, lms)
 
 
@@ -252,9 +261,8 @@ def repeated(segments: list[bytes], many: np.ndarray, copies: np.ndarray, length
     t = np.zeros(int(starts[-1]) + 1, np.int16)
     t[:-1] = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.int16) + 2
     t[starts[1:] - 1] = 1
-    reach = 2 * length + int(sizes.max())  # the permuted prefixes take an order by all of a segment
-    sa = suffix_array(t, reach)
-    same = common_prefixes(t, sa, starts[:-1], reach)
+    sa = suffix_array(t)
+    same = common_prefixes(t, sa, starts[:-1], 2 * length + int(sizes.max()))
     valid = np.zeros(len(t), bool)
     owner = np.repeat(np.arange(len(segments)), many)
     places = starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
@@ -299,6 +307,8 @@ def _shards(length: int):
 SPANS = "id long, th long, lo int, hi int"
 #: Bytes of a shard, at which it ends with its key; segments of a key beyond which the key is refined.
 SHARD, MOST = 2 << 20, 2000
+#: Copies of a segment beyond which it is one of the common ones, and how many of those there can be.
+HOT, MOST_HOT = 1000, 50_000
 
 
 def _ends(rows: DataFrame, length: int) -> DataFrame:
@@ -337,11 +347,15 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     of a window has one kind.
     """
     made = save(docs.mapInArrow(trimmed(_anchors(length)), "id long, th long, start int, many int, place int, h long, s long"), "anchors")
-    kinds = made.groupBy("h", "s").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "start", "many", "place")).alias("x"))
-    kinds = kinds.withColumn("copies", F.least("copies", F.lit(2)).cast("long"))
+    kinds = made.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "start", "many", "place")).alias("x"))
+    kinds = kinds.withColumn("copies", F.least("n", F.lit(2)).cast("long"))
     groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 or most > 1")
-    groups = save(kinds.join(groups, "h").select("h", "s", "copies", "x", "kinds"), "kinds")
-    out = _ends(made.join(groups.where("copies > 1").select("h", "s"), ["h", "s"]), length)
+    groups = save(kinds.join(groups, "h").select("h", "s", "n", "copies", "x", "kinds"), "kinds")
+    # kinds so common that only MOST_HOT can be are sent to all tasks: no task then gets all rows of one
+    common = max(HOT, made.count() // MOST_HOT)
+    hot = F.broadcast(groups.where(F.col("n") > common).select("h", "s"))
+    rest = groups.where((F.col("n") > 1) & (F.col("n") <= common)).select("h", "s")
+    out = _ends(made.join(hot, ["h", "s"]), length).unionByName(_ends(made.join(hot, ["h", "s"], "left_anti").join(rest, ["h", "s"]), length))
     asked = groups.where("kinds > 1").select("x.id", "x.th", F.struct("h", "x.start", "x.many", "x.place", "copies").alias("a"))
     asked = asked.groupBy("id", "th").agg(F.collect_list("a").alias("asked"))
     key = [docs["id"].eqNullSafe(asked["id"]), docs["th"] == asked["th"]]
@@ -404,8 +418,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).cast("binary").alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    found = spans(rows.select("id", "th", "text"), length).groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("x"))
-    found = save(found.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "x.lo", "x.hi"), "spans")
+    with scratch(docs.sparkSession) as keep:
+        found = spans(rows.select("id", "th", "text"), length).groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("x"))
+        found = keep(save(found.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "x.lo", "x.hi"), "spans"))
     both = rows.join(found, rows["id"].eqNullSafe(found["_id"]) & (rows["th"] == found["_th"]), "left")
     out = both.select("id", "text", "lo", "hi").mapInArrow(trimmed(_finish), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)

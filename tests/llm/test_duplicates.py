@@ -106,9 +106,10 @@ def removed(docs):
     return Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())
 
 
-@pytest.mark.parametrize("most", [2, 2000])
-def test_suffix_dedup(make_docs, corpus, monkeypatch, most):
+@pytest.mark.parametrize(("most", "hot"), [(2, 3), (2000, 1000), (2000, 2)])
+def test_suffix_dedup(make_docs, corpus, monkeypatch, most, hot):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rnd = random.Random(5)
     noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
     passage = noise(450)
@@ -127,7 +128,9 @@ def test_suffix_array_and_prefixes():
         t = np.array([rnd.randrange(1, 1 + rnd.choice([2, 3, 5])) for _ in range(rnd.randrange(1, 60))] + [0])
         if trial % 3 == 0:
             t = np.array([*([1, 2, 2, 1, 3] * 12)[: rnd.randrange(1, 60)], 0])
-        sa = suffix_dedup.suffix_array(t, 400)
+        if trial % 3 == 1:
+            t = np.array([*[rnd.randrange(1, 500) for _ in range(rnd.randrange(1, 60))] * 3, 0])
+        sa = suffix_dedup.suffix_array(t)
         assert list(sa) == sorted(range(len(t)), key=lambda i: list(t[i:]))
         same = suffix_dedup.common_prefixes(t.astype(np.int16), sa, np.array([0]), 200)
         for a, b in zip(sa[1:], sa):
