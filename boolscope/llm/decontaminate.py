@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, text_of, trimmed
+from .common import save, scratch, text_of, trimmed
 
 #: Signs that are taken off both ends of a word.
 SIGNS = ".,;:!?\"'`()[]{}<>|#*$%&_~=+-/\\…“”‘’«»¿¡–—"
@@ -428,8 +428,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that leak an item."""
-    found = matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct()
-    found = save(found, "leaks")
+    with scratch(docs.sparkSession) as keep:
+        found = matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct()
+        found = keep(save(found, "leaks"))
     rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text_of(docs, text_col)).alias("th"))
     return rows.join(found, rows["id"].eqNullSafe(found["_id"]) & (rows["th"] == found["_th"]), "left_anti").select("row.*")
 

@@ -69,12 +69,57 @@ def test_links_of_dense_groups(spark, monkeypatch, cap):
     assert groups([label.get(f, f) for f in fps]) == groups(want)
 
 
-def test_one_of_each(make_docs, corpus):
-    docs = make_docs(corpus)
+def similar(a, b):
+    """Whether the five-word shingles of two texts have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in (a, b):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)} - {()})
+    return len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+
+
+def near_rows(rnd, groups, copies):
+    """Texts and copies of them with a few words changed, some above and some below the similarity."""
+    out = []
+    for g in range(groups):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(80, 300))]
+        for c in range(copies):
+            own = list(words)
+            for _ in range(rnd.choice([0, 1, 1, 2, 12]) if c else 0):
+                own[rnd.randrange(len(own))] = f"v{rnd.randrange(10**6)}"
+            out.append((1000 * g + c, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("cap", [1, 24])
+def test_one_of_each(make_docs, corpus, monkeypatch, cap):
+    monkeypatch.setattr(simhash, "CAP", cap)
+    rows = [*((None if i is None else i - 100, t) for i, t in corpus), *near_rows(random.Random(4), 25, 6), *((i + 500_000, t) for i, t in near_rows(random.Random(9), 1, 60))]
+    rows = [(i, t) for i, t in rows if i is None or i not in (-99, -98)] + [(-99, corpus[1][1]), (-98, corpus[2][1]), (-98, corpus[2][1])]
+    docs = make_docs(rows)
     out = simhash.one_of_each(docs)
     assert out.dtypes == docs.dtypes
-    group = roots([fingerprint(t) for _, t in corpus])
-    assert out.count() == len(set(group))
+    kept = {r["doc_id"] for r in out.collect()}
+    parent = {i: i for i in range(len(rows))}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if similar(rows[i][1], rows[j][1])]
+    for i, j in pairs:
+        parent[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (True, 0)), (doc is None, doc or 0))
+    first = {None if n else doc for n, doc in least.values()}
+    assert first <= kept  # nothing goes that no similar document stays for
+    assert len(kept) - len(first) <= 0.2 * (len(rows) - len(first))  # and most that has one goes
+    texts = {}
+    for doc, t in rows:
+        texts.setdefault(t or "", []).append((doc is None, doc or 0))
+    assert all(doc not in kept for same in texts.values() for n, doc in same if not n and (n, doc) != min(same))
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
