@@ -99,10 +99,22 @@ def crc32_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over batches that, when done, gives freed memory back to the system: worker processes outlive tasks."""
+#: Dictionaries that worker processes keep from task to task, by name.
+CACHES: dict[str, dict] = {}
+
+
+def release(but: str | None) -> None:
+    for name, kept in CACHES.items():
+        if name != but:
+            kept.clear()
+
+
+def trimmed(run: Callable[[Iterator], Iterator], cache: str | None = None) -> Callable[[Iterator], Iterator]:
+    """A function over batches that, when done, gives freed memory back to the system: worker processes outlive tasks.
+    What other functions keep in them, but for the named cache, goes first."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        release(cache)
         yield from run(batches)
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save, text_of, trimmed
+from .common import CACHES, save, text_of, trimmed
 
 LENGTH = 4096
 END = 2
@@ -157,7 +157,7 @@ class Words(dict):
 
 
 #: The words that a worker process knows, kept from task to task.
-_KNOWN: dict[tuple, Words] = {}
+_KNOWN: dict[tuple, Words] = CACHES.setdefault("words", {})
 
 
 def known_words(path: str, dims: int) -> Words:
@@ -262,7 +262,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, id_col:
     are ignored; an empty table gives an empty result. Whole texts are packed, however long.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-    made = rows.mapInArrow(trimmed(_tokenise(path or tokenizer_path(), DIMS, BITS)), "id long, n long, curve long, ids binary")
+    made = rows.mapInArrow(trimmed(_tokenise(path or tokenizer_path(), DIMS, BITS), "words"), "id long, n long, curve long, ids binary")
     low = F.pmod(F.xxhash64("id", "n"), F.lit(1 << LOW))
     made = save(made.select("id", "n", "ids", F.shiftleft("curve", LOW).bitwiseOR(low).alias("key")), "tokens")
     total = made.agg(F.sum("n")).first()[0] or 0

@@ -149,10 +149,12 @@ def _mixed(h: np.ndarray, round_: int) -> np.ndarray:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hashes = [shingles(t.as_py(), FINE) for t in b["text"]]
-        made = [np.array([majority(h if i == 0 else _mixed(h, i)) for h in hashes], np.uint64).view(np.int64) for i in range(PRINTS)]
-        yield pa.RecordBatch.from_arrays([b["id"], b["th"], *map(pa.array, made)], ["id", "th", *(f"f{i}" for i in range(PRINTS))])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            b = batch.slice(at, 500)
+            made = [[majority(h if i == 0 else _mixed(h, i)) for i in range(PRINTS)] for h in (shingles(t.as_py(), FINE) for t in b["text"])]
+            columns = np.array(made, np.uint64).reshape(-1, PRINTS).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([b["id"], b["th"], *map(pa.array, columns)], ["id", "th", *(f"f{i}" for i in range(PRINTS))])
 
 
 def _sets(width: int):
@@ -184,7 +186,8 @@ def _similar(least: float):
 
 def candidates(texts: DataFrame) -> DataFrame:
     """(u, v): pairs of texts th that share a variant of a segment of one of their fingerprints f0, f1 and so on."""
-    many_tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many_tasks = PRINTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = save(texts, "texts")  # else the next line's tasks are merged, as for a small table
     keys = F.concat(*(F.transform(_variants(F.col(f"f{i}")), lambda k: k + F.lit(i << 38)) for i in range(PRINTS)))  # noqa: B023
     keyed = texts.repartition(many_tasks, "th").select(F.explode(keys).alias("k"), F.col("th").alias("x"))
     groups = save(keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n >= 2"), "variants")
