@@ -138,6 +138,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 FINE, PRINTS = 2, 3
 #: Texts that share a variant of which all pairs are candidates; of more, those with the smallest and the largest.
 CAP = 24
+#: Pairs of a text beyond which it is one of the common ones, and how many of those there can be.
+HOT, MOST_HOT = 500, 50_000
 
 
 def _mixed(h: np.ndarray, round_: int) -> np.ndarray:
@@ -203,6 +205,19 @@ def candidates(texts: DataFrame) -> DataFrame:
     return two.unionByName(some).unionByName(ends).where("u <> v").distinct()
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, a, b): pairs with the hashes of both texts. Texts in more than HOT pairs, of which MOST_HOT can be at most,
+    have their pairs dealt to several tasks, each with a copy of the set."""
+    common, out, right = max(HOT, pairs.count() // MOST_HOT), pairs, {}
+    for key, name in (("u", "a"), ("v", "b")):
+        hot = F.broadcast(pairs.groupBy(key).agg(F.ceil(F.count("*") / common).cast("int").alias("parts")).where("parts > 1"))
+        parts = F.coalesce("parts", F.lit(1))
+        out = out.join(hot, key, "left").withColumn(f"{key}p", F.pmod(F.xxhash64("u", "v"), parts.cast("long")).cast("int")).drop("parts")
+        copies = sets.select(F.col("th").alias(key), F.col("hashes").alias(name)).join(hot, key, "left")
+        right[key] = copies.withColumn(f"{key}p", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return out.join(right["u"], ["u", "up"]).join(right["v"], ["v", "vp"]).select("u", "v", "a", "b")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies, that with the smallest id (null last), then hash of the text.
 
@@ -229,15 +244,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = save(texts.dropDuplicates(["th"]).mapInArrow(trimmed(_sets(width)), "th long, hashes binary"), "sets")
 
         def linked(some: DataFrame) -> DataFrame:
-            both = some.join(sets.select(F.col("th").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("th").alias("v"), F.col("hashes").alias("b")), "v")
-            return save(both.select("u", "v", "a", "b").mapInArrow(trimmed(_similar(similarity)), "u long, v long"), "links")
+            return save(_with_sets(some, sets).mapInArrow(trimmed(_similar(similarity)), "u long, v long"), "links")
 
         one = save(pairs.groupBy("v").agg(F.min("u").alias("u")), "one")
         links_ = linked(one)
         roots = save(connected(links_), "roots")
         at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}r"))
         rest = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("ur", "u") != F.coalesce("vr", "v")).select("u", "v")
-        rest = rest.join(one, ["u", "v"], "left_anti")
+        rest = save(rest.join(one, ["u", "v"], "left_anti"), "rest")
         roots = save(connected(links_.unionByName(linked(rest))), "roots")
         group = F.coalesce("root", "th")
         first = found.join(roots, found["th"] == roots["node"], "left").groupBy(group.alias("group"))

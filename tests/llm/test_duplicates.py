@@ -91,9 +91,10 @@ def near_rows(rnd, groups, copies):
     return out
 
 
-@pytest.mark.parametrize("cap", [1, 24])
-def test_one_of_each(make_docs, corpus, monkeypatch, cap):
+@pytest.mark.parametrize(("cap", "hot"), [(1, 500), (24, 3)])
+def test_one_of_each(make_docs, corpus, monkeypatch, cap, hot):
     monkeypatch.setattr(simhash, "CAP", cap)
+    monkeypatch.setattr(simhash, "HOT", hot)
     rows = [*((None if i is None else i - 100, t) for i, t in corpus), *near_rows(random.Random(4), 25, 6), *((i + 500_000, t) for i, t in near_rows(random.Random(9), 1, 60))]
     rows = [(i, t) for i, t in rows if i is None or i not in (-99, -98)] + [(-99, corpus[1][1]), (-98, corpus[2][1]), (-98, corpus[2][1])]
     docs = make_docs(rows)
