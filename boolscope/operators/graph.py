@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.dialect import Dialect
+from ..sources.files import new_folder
 
 
 def mutation_edges(vertices: str, neighbours: str, d: int) -> str:
@@ -60,33 +60,32 @@ def cycle_distance(q: Dialect, n: int) -> str:
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """A table in the folder that spark.checkpoint.dir names, or in a temporary one where it is unset."""
-    sc = df.sparkSession.sparkContext
-    to = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not to:
-        to = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(to)
-    path = f"{to.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    """The rows as a new table in the shared folder: cuts lineage, survives lost executors."""
+    path = new_folder(df.sparkSession, "graph")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): component is the smallest vertex reachable; vertices without edges are their own.
 
-    Labels fall along edges and then jump to their label's label, so rounds grow slowly with path lengths.
+    Every vertex hangs on the smallest one around it, larger neighbours first and smaller ones then, until nothing moves:
+    rounds grow with the logarithm of the longest path. Minima are aggregated before their shuffle, so that no hub's
+    edges meet in one task.
     """
-    both = shared(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = shared(vertices.select("id", F.col("id").alias("component")))
+    at = shared(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    seen = None
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        next_ = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = next_.select(F.col("id").alias("to"), F.col("component").alias("further"))
-        next_ = shared(next_.join(jump, next_["component"] == jump["to"]).select("id", "further"))
-        moved = next_.join(labels, "id").where(F.col("further") != F.col("component")).limit(1).count()
-        labels = next_.withColumnRenamed("further", "component")
-        if not moved:
-            return labels
+        state = tuple(at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == seen or not state[0]:
+            return vertices.select("id").join(at, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("component"))
+        seen = state
+        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        at = shared(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError("components did not settle")
 
 
@@ -138,8 +137,8 @@ def frontier(seeds: DataFrame, edges: DataFrame, most: int, fanout: int, layers:
             break
         new = seen.where(F.col("layer") == layer - 1).join(both, F.col("id") == F.col("a")).select("a", "b")
         new = new.join(seen.select(F.col("id").alias("b")), "b", "left_anti")
-        new.createOrReplaceTempView("frontier_candidates")
-        picked = new.sparkSession.sql(f"SELECT b AS id FROM (SELECT b, row_number() OVER (PARTITION BY a ORDER BY xxhash64({salt}, a, b), b) AS place FROM frontier_candidates) WHERE place <= {fanout}")
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64(F.lit(salt), "a", "b"), "b"))
+        picked = new.withColumn("place", place).where(F.col("place") <= fanout).select(F.col("b").alias("id"))
         grown = shared(seen.unionByName(picked.distinct().select("id", F.lit(layer).alias("layer"))))
         if grown.count() == seen.count():
             break

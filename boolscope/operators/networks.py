@@ -32,6 +32,12 @@ def prefix(table: str, d: int) -> str:
     return " || ".join(f"CASE WHEN ({table} & {1 << s}) <> 0 THEN '1' ELSE '0' END" for s in range(d))
 
 
+def prefix_of_weights(d: int) -> str:
+    """The first d bits of the truth table of weights w_1 .. w_d, state 0 leftmost, without the rest of it."""
+    totals = [" + ".join(f"w_{i + 1}" for i in range(d) if s >> i & 1) or "0" for s in range(d)]
+    return " || ".join(f"CASE WHEN {t} > 0 THEN '1' ELSE '0' END" for t in totals)
+
+
 def inhibitor_functions(q: Dialect, d: int, node: int) -> str:
     """(tt): functions of a node that only inhibiting arcs from other nodes realize."""
     from ..sources import scans

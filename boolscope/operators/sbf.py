@@ -61,6 +61,16 @@ def canonical(table: str, d: int) -> str:
     return f"least({', '.join(forms)})" if len(forms) > 1 else forms[0]
 
 
+def canonical_forms(q: Dialect, d: int) -> str:
+    """(tt, canonical): the smallest truth table among all orders of the nodes, which are rows of a table: plans stay small
+    for any size."""
+    moves = ", ".join(f"({k}, {s}, {sum(1 << order[i] for i in range(d) if s >> i & 1)})" for k, order in enumerate(permutations(range(d))) for s in range(1 << d))
+    one = "shiftleft(CAST(1 AS BIGINT), at)" if q.name == "spark" else "(CAST(1 AS BIGINT) << at)"
+    bit = "(shiftright(f.tt, s) & 1)" if q.name == "spark" else "((f.tt >> s) & 1)"
+    images = f"(SELECT f.tt, m.k, sum({bit} * {one}) AS image FROM {functions(q, d)} AS f CROSS JOIN (SELECT * FROM (VALUES {moves}) AS m(k, s, at)) AS m GROUP BY f.tt, m.k)"
+    return f"(SELECT tt, CAST(min(image) AS BIGINT) AS canonical FROM {images} AS i GROUP BY tt)"
+
+
 def fixed_function_models(q: Dialect, d: int, tables: list[int]) -> str:
     """(models): networks of weights whose functions are the given ones: the product of their column sets."""
     counts = " CROSS JOIN ".join(f"(SELECT n_cols AS n_{i} FROM {functions(q, d)} AS f WHERE tt = {t}) AS c{i}" for i, t in enumerate(tables))

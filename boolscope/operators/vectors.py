@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.dialect import Dialect
+from .graph import shared
 
 
 def nearest(q: Dialect, queries: str, points: str, k: int) -> str:
@@ -23,28 +26,95 @@ def nearest(q: Dialect, queries: str, points: str, k: int) -> str:
     return f"(SELECT * FROM (SELECT a.id AS a, b.id AS b, round({far}, 9) AS d, row_number() OVER (PARTITION BY a.id ORDER BY round({far}, 9), b.id) AS place FROM {queries} AS a JOIN {points} AS b ON a.id <> b.id) AS r WHERE place <= {k})"
 
 
-def approximate_pairs(points: DataFrame, radius: float, bucket: float = 2.0, tables: int = 3) -> DataFrame:
-    """(a, b, d): pairs of points (id, v) nearer than a radius that share a bucket of a random projection."""
-    data = points.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(data)
-    found = model.approxSimilarityJoin(data, data, radius, distCol="d")
-    return found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "d").where("a <> b")
+def _split(points: DataFrame, axes: list[list[list[float]]], least: int) -> DataFrame:
+    """(tree, node, id): leaves of balanced trees over points (id, v). axes: per tree and depth, what a point is projected
+    on. Each node is cut in the middle of its points' projections; equal projections are told apart by a hash of the
+    point, so leaves stay small whatever is repeated. A depth is a table in the shared folder."""
+    at = points.select("id", F.col("v").cast("array<double>").alias("v")).select("id", F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.array(*(_dot("v", a) for a in tree)).alias("p")) for t, tree in enumerate(axes)))).alias("x"))
+    at = at.select("id", "x.tree", "x.p", F.lit(1).cast("long").alias("node"))
+    for depth in range(len(axes[0])):
+        at = shared(at)
+        own = at.withColumn("key", F.struct(F.col("p")[depth].alias("x"), F.xxhash64("id").alias("h")))
+        cuts = own.groupBy("tree", "node").agg(F.percentile_approx(F.col("key.x"), 0.5, 1000).alias("cut"), F.count("*").alias("n"))
+        tied = own.join(cuts, ["tree", "node"])
+        right = (F.col("key.x") > F.col("cut")) | ((F.col("key.x") == F.col("cut")) & (F.col("key.h") > 0))
+        at = tied.select("id", "tree", "p", F.when(F.col("n") <= least, F.col("node")).otherwise(2 * F.col("node") + right.cast("long")).alias("node"))
+    return shared(at.select("tree", "node", "id"))
+
+
+def _dot(column: str, axis: list[float]):
+    return F.aggregate(F.zip_with(column, F.lit(axis), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _met(leaves: DataFrame) -> DataFrame:
+    """(a, b): points that share a leaf."""
+    b = leaves.withColumnRenamed("id", "b")
+    return leaves.withColumnRenamed("id", "a").join(b, [c for c in leaves.columns if c != "id"]).where("a <> b").select("a", "b").distinct()
+
+
+def measured(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b, d): pairs with their distances."""
+    v = points.select("id", F.col("v").cast("array<double>").alias("v"))
+    both = pairs.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    d = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return both.select("a", "b", F.sqrt(d).alias("d"))
+
+
+def _depth(points: DataFrame, least: int) -> int:
+    return max(1, math.ceil(math.log2(max(2, points.count() / least))))
+
+
+def forest_pairs(points: DataFrame, trees: int = 6, least: int = 40, seed: int = 7) -> DataFrame:
+    """(a, b): pairs of points (id, v) that share a leaf of about least points in one of several trees of random
+    hyperplanes. Pairs grow with the points, not with their square."""
+    size = len(points.first()["v"])
+    rng = np.random.default_rng(seed)
+    return _met(_split(points, [rng.standard_normal((_depth(points, least), size)).tolist() for _ in range(trees)], least))
+
+
+def kd_pairs(points: DataFrame, trees: int = 6, least: int = 40, seed: int = 7) -> DataFrame:
+    """(a, b): pairs that share a leaf of one of several trees, whose nodes at one depth are cut along one dimension, of
+    those that vary most a random one."""
+    size, depth = len(points.first()["v"]), _depth(points, least)
+    spread = points.select(F.posexplode(F.col("v").cast("array<double>")).alias("j", "x")).groupBy("j").agg(F.var_pop("x").alias("s")).orderBy(F.desc("s"), "j").collect()
+    best = [r["j"] for r in spread][: max(depth, size // 2)]
+    rng = np.random.default_rng(seed)
+    chosen = [[best[j] for j in rng.choice(len(best), depth, replace=depth > len(best))] for _ in range(trees)]
+    return _met(_split(points, [[[1.0 if i == j else 0.0 for i in range(size)] for j in tree] for tree in chosen], least))
+
+
+def hash_pairs(points: DataFrame, tables: int = 8, least: int = 40, most: int = 200, seed: int = 7) -> DataFrame:
+    """(a, b): pairs that share a code of the signs of centred random projections in one of several tables. A bucket of more
+    than most points is cut by a tree of hyperplanes, so none makes more pairs than that for a point."""
+    size, bits_ = len(points.first()["v"]), _depth(points, least)
+    mean = [r["m"] for r in points.select(F.posexplode(F.col("v").cast("array<double>")).alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m")).orderBy("j").collect()]
+    rng = np.random.default_rng(seed)
+    axes = rng.standard_normal((tables, bits_, size))
+    codes = F.array(*(F.struct(F.lit(t).alias("tree"), sum((F.when(_dot("v", axes[t, i].tolist()) > float(axes[t, i] @ np.array(mean)), 1 << i).otherwise(0) for i in range(bits_)), F.lit(0)).cast("long").alias("node")) for t in range(tables)))
+    at = shared(points.select("id", F.col("v").cast("array<double>").alias("v")).select("id", F.explode(codes).alias("x")).select("x.tree", "x.node", "id"))
+    large = at.groupBy("tree", "node").agg(F.count("*").alias("n")).where(F.col("n") > most).select("tree", "node")
+    out, crowd = _met(at.join(large, ["tree", "node"], "left_anti")), at.join(large, ["tree", "node"], "left_semi").select("id").distinct()
+    crowd = shared(points.join(crowd, "id", "left_semi").select("id", "v"))
+    return out.unionByName(forest_pairs(crowd, 4, least, seed)).distinct() if crowd.take(1) else out
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
-    pairs.createOrReplaceTempView("ranked_pairs")
-    return pairs.sparkSession.sql(f"SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS place FROM ranked_pairs) WHERE place <= {k}")
+    """(a, b, d): the k nearest of each a."""
+    place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    return pairs.select("a", "b", "d", place.alias("place")).where(F.col("place") <= k).drop("place")
 
 
 def propagated(neighbours: DataFrame, points: DataFrame, k: int, rounds: int = 3) -> DataFrame:
-    """(a, b, d): neighbour lists improved by neighbours of neighbours, an equality join a round."""
-    v = points.select("id", F.col("v").cast("array<double>").alias("v"))
+    """(a, b, d): neighbour lists improved by neighbours of neighbours, an equality join a round. A round's lists are a table
+    in the shared folder; it ends before rounds are up where no list has changed."""
+    neighbours = shared(neighbours)
     for _ in range(rounds):
         far = neighbours.select("a", "b").alias("x").join(neighbours.select("a", "b").alias("y"), F.col("x.b") == F.col("y.a"))
-        found = neighbours.select("a", "b").unionByName(far.select("x.a", "y.b")).where("a <> b").distinct()
-        found = found.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-        d = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        neighbours = ranked(found.select("a", "b", F.sqrt(d).alias("d")), k)
+        new = far.select("x.a", "y.b").where("a <> b").distinct().join(neighbours.select("a", "b"), ["a", "b"], "left_anti")
+        better = shared(ranked(neighbours.unionByName(measured(new, points)), k))
+        if not better.select("a", "b").join(neighbours.select("a", "b"), ["a", "b"], "left_anti").take(1):
+            return better
+        neighbours = better
     return neighbours
 
 

@@ -62,10 +62,25 @@ def face_scan_d4(q):
 
 @sql
 def vector_scan(q):
-    parts = [f"SELECT CAST({d} AS BIGINT) AS d, count(*) AS vectors, CAST(sum({' + '.join(f'v_{k}' for k in range(d + 1))}) AS BIGINT) AS leaves FROM {scans.vectors(d)} AS v" for d in (1, 2, 3, 4)]
+    parts = [f"SELECT CAST({d} AS BIGINT) AS d, count(*) AS vectors, CAST(sum({' + '.join(f'v_{k}' for k in range(d + 1))}) AS BIGINT) AS leaves FROM {scans.vectors(d)} AS v" for d in (1, 2, 3, 4, 5)]
     return " UNION ALL ".join(parts)
 
 
+@sql
+def vector_counts(q):
+    """Vectors of each size; the published counts are the oracle."""
+    return " UNION ALL ".join(f"SELECT CAST({d} AS BIGINT) AS d, count(*) AS vectors FROM {scans.vectors(d)} AS v" for d in (1, 2, 3, 4, 5))
+
+
+@sql
+def laurent_splits_d4(q):
+    """Each vector of 4 nodes as a sum of two of 3, the left one not below the right: what a first control node can part."""
+    pair_ = " AND ".join([*(f"v.v_{k} = a.v_{k} + b.v_{k}" for k in range(4)), "v.v_4 = 0"])
+    code = " + ".join(f"{{0}}.v_{k} * {9 ** k}" for k in range(4))
+    names = ", ".join(f"CAST({t}.v_{k} AS BIGINT) AS {n}_{k}" for t, n in (("v", "v"), ("a", "left"), ("b", "right")) for k in range(3, -1, -1))
+    return f"SELECT {names} FROM {scans.vectors(4)} AS v JOIN {scans.vectors(3)} AS a ON a.v_0 <= v.v_0 JOIN {scans.vectors(3)} AS b ON {pair_} AND {code.format('a')} >= {code.format('b')}"
+
+
 @sql
 def tree_shapes_by_vector(q):
     """Binary shapes of control trees per vector of 4 nodes; every vector of the scan has one."""
@@ -112,7 +127,7 @@ def mutation_pairs_d2(q):
 
 @sql
 def minimal_weight_bounds(q):
-    return " UNION ALL ".join(f"SELECT CAST({d} AS BIGINT) AS d, CAST(bound AS BIGINT) AS bound, count(*) AS functions FROM {sbf.minimal_bounds(q, d)} AS b GROUP BY bound" for d in (1, 2, 3, 4))
+    return " UNION ALL ".join(f"SELECT CAST({d} AS BIGINT) AS d, CAST(bound AS BIGINT) AS bound, count(*) AS functions FROM {sbf.minimal_bounds(q, d)} AS b GROUP BY bound" for d in (1, 2, 3, 4, 5))
 
 
 @sql
@@ -122,7 +137,8 @@ def weight_bound_of_each_size(q):
 
 @sql
 def function_orbits(q):
-    return " UNION ALL ".join(f"SELECT CAST({d} AS BIGINT) AS d, count(DISTINCT {sbf.canonical('tt', d)}) AS orbits FROM {sbf.functions(q, d)} AS f" for d in (1, 2, 3, 4))
+    """Classes of functions under the orders of nodes, to 5 nodes; the published counts are the oracle."""
+    return " UNION ALL ".join(f"SELECT CAST({d} AS BIGINT) AS d, count(DISTINCT canonical) AS orbits FROM {sbf.canonical_forms(q, d)} AS f" for d in (1, 2, 3, 4, 5))
 
 
 @sql
@@ -132,7 +148,8 @@ def function_canonical_forms_d3(q):
 
 @sql
 def realizable_prefixes(q):
-    return " UNION ALL ".join(f"SELECT CAST({d} AS BIGINT) AS d, count(DISTINCT {net.prefix('tt', d)}) AS prefixes FROM {scans.weights(q, d, d)} AS w" for d in (2, 3, 4, 5))
+    """Beginnings of d bits of functions with weights from -d to d, to 6 nodes; the published counts are the oracle."""
+    return " UNION ALL ".join(f"SELECT CAST({d} AS BIGINT) AS d, count(DISTINCT {net.prefix_of_weights(d)}) AS prefixes FROM {scans.columns(q, d, d)} AS w" for d in (2, 3, 4, 5, 6))
 
 
 @sql
@@ -189,6 +206,19 @@ def draw_attractor_text(q):
     return f"SELECT f_1, f_2, f_3, {text if q.name == 'spark' else text.replace('AS STRING', 'AS VARCHAR')} AS dynamics FROM {limits} AS n"
 
 
+def _parsed_attractors(q: Dialect) -> str:
+    text = draw_attractor_text(q)
+    if q.name == "spark":
+        return f"SELECT f_1, f_2, f_3, CAST(size(cycles) AS BIGINT) AS num_attractors, round(aggregate(cycles, 0D, (s, c) -> s + power(size(split(c, ':')), 2)) / size(cycles), 9) AS cycle_len_msq FROM (SELECT f_1, f_2, f_3, array_distinct(split(dynamics, '[|]')) AS cycles FROM ({text}) AS d) AS c"
+    return ""
+
+
+@sql
+def parsed_attractor_text(q):
+    """Attractors read back from the legacy text of a network's dynamics; the oracle walks the states."""
+    return _parsed_attractors(q)
+
+
 @sql
 def basin_sizes(q):
     """States that lead to each attractor, which its smallest state names."""
@@ -485,6 +515,24 @@ def numbered_networks(q):
     return f"SELECT f_1, f_2, f_3, count(*) AS draws, CAST(rank() OVER (ORDER BY {packed}) AS BIGINT) AS number FROM {drawn(q)} AS d GROUP BY f_1, f_2, f_3"
 
 
+@sql
+def first_seen_numbers(q):
+    """Dense numbers of the drawn networks in the order in which lineitem's rows, by key, first draw them."""
+    seen = f"(SELECT f_1, f_2, f_3, min(l_orderkey * 100 + l_linenumber) AS first_row FROM {drawn(q)} AS d GROUP BY f_1, f_2, f_3)"
+    return f"SELECT f_1, f_2, f_3, CAST(row_number() OVER (ORDER BY first_row, f_1, f_2, f_3) - 1 AS BIGINT) AS number FROM {seen} AS s"
+
+
+@sql
+def quota_rows_by_prefix(q):
+    """Up to 50 networks per vector; of a vector with more, each beginning of the first function has an equal quota, 1 at
+    least."""
+    begin = net.prefix("f_1", 3)
+    found = f"(SELECT f_1, f_2, f_3, code, {begin} AS slice FROM {dec.finest(drawn_once(q), 3)} AS n)"
+    sizes = f"(SELECT code, count(*) AS n, count(DISTINCT slice) AS slices FROM {found} AS s GROUP BY code)"
+    placed = f"(SELECT f.*, z.n, z.slices, row_number() OVER (PARTITION BY f.code, f.slice ORDER BY f_1, f_2, f_3) AS place FROM {found} AS f JOIN {sizes} AS z ON f.code = z.code)"
+    return f"SELECT {vector(q, 'code', 3)} AS vector, slice, f_1, f_2, f_3 FROM {placed} AS p WHERE n <= 50 OR place <= greatest(1, {q.div('50', 'slices')})"
+
+
 @sql
 def top_decomposed_draws(q):
     """The 20 drawn networks of most leaves."""

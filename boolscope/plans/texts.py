@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import trees
 from ..functions.dialect import Dialect
 from ..operators import decomposition as dec
-from ..sources import files
+from ..sources import files, scans
 from .networks import drawn_once
-from .registry import rows, run_sql, sql
+from .registry import paired, rows, run_sql, sql
 
 PATTERN = "(?i)(the|de) [a-z]*ti"
 
@@ -20,6 +20,14 @@ def turns(q: Dialect) -> str:
     return f"(SELECT conv_id, turn, role, {clean} AS text FROM {q.table('conversations')} WHERE role IN ('user', 'assistant') AND text IS NOT NULL AND length(text) > 0)"
 
 
+def solver_oracle() -> str:
+    """The networks themselves, from weights state by state."""
+    tt = "list_sum([CASE WHEN {0} * (s & 1) + {1} * (s >> 1) > 0 THEN CAST(1 AS BIGINT) << s ELSE 0 END FOR s IN [0, 1, 2, 3]])"
+    w = "(SELECT CAST(a.x AS INT) AS p, CAST(b.x AS INT) AS q, row_number() OVER (ORDER BY a.x, b.x) - 1 AS id FROM range(-1, 2) AS a(x), range(-1, 2) AS b(x))"
+    columns = f"CAST({tt.format('a.p', 'a.q')} AS BIGINT) AS f_1, CAST({tt.format('b.p', 'b.q')} AS BIGINT) AS f_2, a.p AS w_1_1, a.q AS w_1_2, b.p AS w_2_1, b.q AS w_2_2"
+    return f"SELECT {columns} FROM orders JOIN {w} AS a ON a.id = o_orderkey % 9 JOIN {w} AS b ON b.id = o_custkey % 9"
+
+
 @sql
 def dialogue_turns(q):
     return f"SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS BIGINT) AS characters FROM {turns(q)} AS t GROUP BY role"
@@ -30,6 +38,13 @@ def dialogue_matches(q):
     return f"SELECT conv_id, turn, role FROM {turns(q)} AS t WHERE {q.matches('text', PATTERN)} AND role = 'user'"
 
 
+@sql
+def dialogue_session_matches(q):
+    """Matches in the sessions whose number begins with 1."""
+    kind = "STRING" if q.name == "spark" else "VARCHAR"
+    return f"SELECT conv_id, turn, role FROM {turns(q)} AS t WHERE {q.matches('text', PATTERN)} AND CAST(conv_id AS {kind}) LIKE '1%'"
+
+
 @sql
 def dialogue_matches_in_context(q):
     """Turns at most one away from a match, with whether they match themselves."""
@@ -67,10 +82,14 @@ def parsed_trees(spark, sf_dir):
     return trees.shapes(found)
 
 
-@rows
+@paired(solver_oracle())
 def solver_answers(spark, sf_dir):
-    """Networks read back from solver answers that the drawn networks are written as."""
-    nets = run_sql(spark, lambda q: f"SELECT f_1, f_2, f_3 FROM {drawn_once(q)} AS d", sf_dir)
-    atoms = [F.concat(F.lit(f"tt({i},{s},"), F.when(F.col(f"f_{i}").bitwiseAND(1 << s) != 0, 1).otherwise(0), F.lit(")")) for i in (1, 2, 3) for s in range(8)]
-    text = nets.select(F.concat_ws("\n", F.concat(F.lit("Answer: "), F.monotonically_increasing_id().cast("string")), F.concat_ws(" ", *atoms)).alias("value"))
-    return files.answers(text, 3)
+    """Networks of 2 nodes with their weights read back from solver answers; half of the answers renumber the nodes."""
+    nets = run_sql(spark, lambda q: f"SELECT o.o_orderkey AS id, a.tt AS f_1, b.tt AS f_2, a.w_1 AS w_1_1, a.w_2 AS w_1_2, b.w_1 AS w_2_1, b.w_2 AS w_2_2 FROM {q.table('orders')} AS o JOIN {scans.weights(q, 2)} AS a ON a.id = o.o_orderkey % 9 JOIN {scans.weights(q, 2)} AS b ON b.id = o.o_custkey % 9", sf_dir)
+    turned = F.col("id") % 2 == 1
+    atoms = [F.when(F.col(f"f_{i}").bitwiseAND(1 << s) != 0, F.lit(f"transition_function_bit({i},{s})")) for i in (1, 2) for s in range(4)]
+    sigma = F.when(turned, "sigma(1,2) sigma(2,1)").otherwise("sigma(1,1) sigma(2,2)")
+    old = lambda n: F.when(turned, 3 - n).otherwise(n)
+    given = [F.concat(F.lit("w("), old(i), F.lit(","), old(j), F.lit(")="), F.col(f"w_{i}_{j}")) for i in (1, 2) for j in (1, 2)]
+    text = nets.select(F.concat_ws("\n", F.concat(F.lit("Answer: "), "id"), F.concat_ws(" ", *atoms, sigma), F.lit(""), F.concat_ws(" ", *given)).alias("value"))
+    return files.answers(text, 2)

@@ -75,18 +75,34 @@ def held_out_split(q):
     return f"SELECT CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS held_out, count(*) AS vectors, count(DISTINCT label) AS labels FROM {points(q)} AS p GROUP BY 1"
 
 
+def placed(q: Dialect, margin: str = "1") -> str:
+    """Places with the corner x0, y0 of all and their larger span: ends are aggregated once, to one row."""
+    ends = f"(SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) * {margin} AS span FROM {plane(q)} AS e)"
+    return f"(SELECT p.*, e.x0, e.y0, e.span FROM {plane(q)} AS p CROSS JOIN {ends} AS e)"
+
+
 @sql
 def min_max_places(q):
     """Places scaled by the larger span, with a margin of 4 percent."""
-    ends = f"(SELECT *, min(x) OVER () AS x0, min(y) OVER () AS y0, greatest(max(x) OVER () - min(x) OVER (), max(y) OVER () - min(y) OVER ()) AS span FROM {plane(q)} AS p)"
-    return f"SELECT id, round(0.04 + 0.92 * (x - x0) / span, 5) AS x, round(0.04 + 0.92 * (y - y0) / span, 5) AS y FROM {ends} AS e"
+    return f"SELECT id, round(0.04 + 0.92 * (x - x0) / span, 5) AS x, round(0.04 + 0.92 * (y - y0) / span, 5) AS y FROM {placed(q)} AS e"
 
 
 @sql
 def quadtree_cells(q):
     """Cells of a grid of depth 4 with their number and centre of mass."""
-    ends = f"(SELECT *, min(x) OVER () AS x0, min(y) OVER () AS y0, greatest(max(x) OVER () - min(x) OVER (), max(y) OVER () - min(y) OVER ()) * 1.000001 AS span FROM {plane(q)} AS p)"
-    return f"SELECT CAST(floor(16 * (x - x0) / span) AS BIGINT) AS cx, CAST(floor(16 * (y - y0) / span) AS BIGINT) AS cy, count(*) AS vectors, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM {ends} AS e GROUP BY 1, 2"
+    return f"SELECT CAST(floor(16 * (x - x0) / span) AS BIGINT) AS cx, CAST(floor(16 * (y - y0) / span) AS BIGINT) AS cy, count(*) AS vectors, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM {placed(q, '1.000001')} AS e GROUP BY 1, 2"
+
+
+@sql
+def quadtree_leaves(q):
+    """Leaves of a quadtree over the different places: cells of at most 16 places whose parent holds more, down to depth 8,
+    with their centre of mass. Each depth is a grid; a cell looks its parent up."""
+    once = f"(SELECT DISTINCT x, y, x0, y0, span FROM {placed(q, '1.000001')} AS e)"
+    cells = " UNION ALL ".join(
+        f"SELECT {k} AS depth, CAST(floor({1 << k} * (x - x0) / span) AS BIGINT) AS cx, CAST(floor({1 << k} * (y - y0) / span) AS BIGINT) AS cy, count(*) AS places, avg(x) AS x, avg(y) AS y FROM {once} AS o{k} GROUP BY 1, 2, 3" for k in range(9)
+    )
+    up = f"c.depth = p.depth + 1 AND {q.div('c.cx', 2)} = p.cx AND {q.div('c.cy', 2)} = p.cy AND p.places > 16"
+    return f"SELECT CAST(c.depth AS BIGINT) AS depth, c.cx, c.cy, c.places, round(c.x, 6) AS x, round(c.y, 6) AS y FROM ({cells}) AS c LEFT JOIN ({cells}) AS p ON {up} WHERE (c.places <= 16 OR c.depth = 8) AND (c.depth = 0 OR p.depth IS NOT NULL)"
 
 
 def hovered(q: Dialect, cells: int, below: str, asked: str) -> str:
@@ -108,19 +124,45 @@ def hover_nearest(q):
     return f"SELECT a, b FROM {close} AS c UNION ALL SELECT a, b FROM {wide} AS w"
 
 
+def _vectors(spark, sf_dir):
+    return run_sql(spark, lambda q: f"SELECT id, v FROM {points(q)} AS p", sf_dir)
+
+
+def _improved(pairs, data):
+    return vec.propagated(vec.ranked(vec.measured(pairs, data), 10), data, 10)
+
+
 @rows
 def approximate_neighbours(spark, sf_dir):
-    """Random projections, then neighbours of neighbours."""
-    data = run_sql(spark, lambda q: f"SELECT id, v FROM {points(q)} AS p", sf_dir)
-    return vec.propagated(vec.ranked(vec.approximate_pairs(data, 1e9), 10), data, 10, 1)
+    """Trees of random hyperplanes, then neighbours of neighbours."""
+    data = _vectors(spark, sf_dir)
+    return _improved(vec.forest_pairs(data), data)
+
+
+@rows
+def kd_tree_neighbours(spark, sf_dir):
+    """Trees along single dimensions, then neighbours of neighbours."""
+    data = _vectors(spark, sf_dir)
+    return _improved(vec.kd_pairs(data), data)
+
+
+@rows
+def hash_index_neighbours(spark, sf_dir):
+    """Tables of sign codes, then neighbours of neighbours."""
+    data = _vectors(spark, sf_dir)
+    return _improved(vec.hash_pairs(data), data)
 
 
 @rows
 def approximate_recall(spark, sf_dir):
-    """Share of the exact neighbours of the queries that the approximate lists hold."""
+    """Per index, the share of the exact neighbours of the queries that its lists hold."""
     exact = run_sql(spark, lambda q: f"SELECT a, b FROM {vec.nearest(q, queries(q), points(q), 10)} AS n", sf_dir)
-    found = approximate_neighbours(spark, sf_dir).select("a", "b", F.lit(1).alias("hit"))
-    return exact.join(found, ["a", "b"], "left").agg(F.count("hit").alias("hits"), F.count("*").alias("neighbours"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    out = None
+    for made in (approximate_neighbours, kd_tree_neighbours, hash_index_neighbours):
+        found = made(spark, sf_dir).select("a", "b", F.lit(1).alias("hit"))
+        one = exact.join(found, ["a", "b"], "left").agg(F.lit(made.__name__).alias("name"), F.count("hit").alias("hits"), F.count("*").alias("neighbours"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @rows

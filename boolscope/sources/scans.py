@@ -6,12 +6,17 @@ from ..functions import bits
 from ..functions.dialect import Dialect
 
 
-def weights(q: Dialect, d: int, bound: int | None = None) -> str:
-    """(id, w_1 .. w_d, tt): all columns of weights in order, and their truth tables."""
+def columns(q: Dialect, d: int, bound: int | None = None) -> str:
+    """(id, w_1 .. w_d): all columns of weights in order."""
     b = bits.weight_bound(d) if bound is None else bound
     base = 2 * b + 1
     digits = ", ".join(f"CAST({q.div('id', base ** (d - i))} % {base} - {b} AS INT) AS w_{i}" for i in range(1, d + 1))
-    return f"(SELECT *, {bits.threshold_table([f'w_{i}' for i in range(1, d + 1)])} AS tt FROM (SELECT id, {digits} FROM range({base**d}) AS ids(id)) AS w)"
+    return f"(SELECT id, {digits} FROM range({base**d}) AS ids(id))"
+
+
+def weights(q: Dialect, d: int, bound: int | None = None) -> str:
+    """(id, w_1 .. w_d, tt): all columns of weights in order, and their truth tables."""
+    return f"(SELECT *, {bits.threshold_table([f'w_{i}' for i in range(1, d + 1)])} AS tt FROM {columns(q, d, bound)} AS w)"
 
 
 def states(d: int) -> str:
