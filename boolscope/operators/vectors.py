@@ -34,7 +34,7 @@ def _split(points: DataFrame, axes: list[list[list[float]]], least: int) -> Data
     at = at.select("id", "x.tree", "x.p", F.lit(1).cast("long").alias("node"))
     for depth in range(len(axes[0])):
         at = shared(at)
-        own = at.withColumn("key", F.struct(F.col("p")[depth].alias("x"), F.xxhash64("id").alias("h")))
+        own = at.withColumn("key", F.struct(F.col("p")[depth].alias("x"), F.xxhash64(F.lit(depth), "id").alias("h")))
         cuts = own.groupBy("tree", "node").agg(F.percentile_approx(F.col("key.x"), 0.5, 1000).alias("cut"), F.count("*").alias("n"))
         tied = own.join(cuts, ["tree", "node"])
         right = (F.col("key.x") > F.col("cut")) | ((F.col("key.x") == F.col("cut")) & (F.col("key.h") > 0))
@@ -64,7 +64,7 @@ def _depth(points: DataFrame, least: int) -> int:
     return max(1, math.ceil(math.log2(max(2, points.count() / least))))
 
 
-def forest_pairs(points: DataFrame, trees: int = 6, least: int = 40, seed: int = 7) -> DataFrame:
+def forest_pairs(points: DataFrame, trees: int = 8, least: int = 25, seed: int = 7) -> DataFrame:
     """(a, b): pairs of points (id, v) that share a leaf of about least points in one of several trees of random
     hyperplanes. Pairs grow with the points, not with their square."""
     size = len(points.first()["v"])
@@ -72,7 +72,7 @@ def forest_pairs(points: DataFrame, trees: int = 6, least: int = 40, seed: int =
     return _met(_split(points, [rng.standard_normal((_depth(points, least), size)).tolist() for _ in range(trees)], least))
 
 
-def kd_pairs(points: DataFrame, trees: int = 6, least: int = 40, seed: int = 7) -> DataFrame:
+def kd_pairs(points: DataFrame, trees: int = 8, least: int = 25, seed: int = 7) -> DataFrame:
     """(a, b): pairs that share a leaf of one of several trees, whose nodes at one depth are cut along one dimension, of
     those that vary most a random one."""
     size, depth = len(points.first()["v"]), _depth(points, least)
@@ -83,7 +83,7 @@ def kd_pairs(points: DataFrame, trees: int = 6, least: int = 40, seed: int = 7)
     return _met(_split(points, [[[1.0 if i == j else 0.0 for i in range(size)] for j in tree] for tree in chosen], least))
 
 
-def hash_pairs(points: DataFrame, tables: int = 8, least: int = 40, most: int = 200, seed: int = 7) -> DataFrame:
+def hash_pairs(points: DataFrame, tables: int = 4, least: int = 40, most: int = 200, seed: int = 7) -> DataFrame:
     """(a, b): pairs that share a code of the signs of centred random projections in one of several tables. A bucket of more
     than most points is cut by a tree of hyperplanes, so none makes more pairs than that for a point."""
     size, bits_ = len(points.first()["v"]), _depth(points, least)
@@ -104,18 +104,25 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("a", "b", "d", place.alias("place")).where(F.col("place") <= k).drop("place")
 
 
-def propagated(neighbours: DataFrame, points: DataFrame, k: int, rounds: int = 3) -> DataFrame:
-    """(a, b, d): neighbour lists improved by neighbours of neighbours, an equality join a round. A round's lists are a table
-    in the shared folder; it ends before rounds are up where no list has changed."""
-    neighbours = shared(neighbours)
+def propagated(neighbours: DataFrame, points: DataFrame, k: int, rounds: int = 3, wide: int = 25) -> DataFrame:
+    """(a, b, d): neighbour lists improved by neighbours of neighbours, in either direction, an equality join a round.
+
+    Lists of wide are kept until the end, and of those who have a point in their lists its wide nearest, so that points which
+    are near to many don't gather rows. A round's lists are a table in the shared folder; it ends before rounds are up where no
+    list has changed.
+    """
+    neighbours = shared(ranked(neighbours, wide))
     for _ in range(rounds):
-        far = neighbours.select("a", "b").alias("x").join(neighbours.select("a", "b").alias("y"), F.col("x.b") == F.col("y.a"))
-        new = far.select("x.a", "y.b").where("a <> b").distinct().join(neighbours.select("a", "b"), ["a", "b"], "left_anti")
-        better = shared(ranked(neighbours.unionByName(measured(new, points)), k))
+        back = ranked(neighbours.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), wide)
+        both = shared(neighbours.select("a", "b", "d").unionByName(back).groupBy("a", "b").agg(F.min("d").alias("d")))
+        near = ranked(both, wide).select("a", "b")
+        far = near.alias("x").join(near.alias("y"), F.col("x.b") == F.col("y.a"))
+        new = far.select("x.a", "y.b").where("a <> b").distinct().join(both.select("a", "b"), ["a", "b"], "left_anti")
+        better = shared(ranked(both.unionByName(measured(new, points)), wide))
         if not better.select("a", "b").join(neighbours.select("a", "b"), ["a", "b"], "left_anti").take(1):
-            return better
+            break
         neighbours = better
-    return neighbours
+    return ranked(neighbours, k)
 
 
 def _betas(pdf: pd.DataFrame, perplexity: float) -> pd.DataFrame:

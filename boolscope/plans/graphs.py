@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -204,6 +206,64 @@ def layout_divergence_d2(q):
     return f"SELECT round(sum(ns * ln(ns / lp)), 6) AS divergence FROM {p} AS p"
 
 
+# --- graphs of the 32,768 networks of 3 nodes
+
+
+def cube_nets(q: Dialect) -> str:
+    return f"(SELECT f_1 * 65536 + f_2 * 256 + f_3 AS id, f_1, f_2, f_3 FROM {every(q, 3)} AS n)"
+
+
+def cube_edges(q: Dialect) -> str:
+    return graph.mutation_edges(cube_nets(q), sbf.neighbours(q, 3), 3)
+
+
+def cube_cycles(q: Dialect) -> str:
+    """(id, s, size, seq): for each state of each network of 3 nodes the cycle that it leads to, twice around."""
+    limits = f"(SELECT *, f_1 * 65536 + f_2 * 256 + f_3 AS id, {dyn.limit_states(q, 3)} AS lim FROM {dyn.with_cycles(q, every(q, 3), 3)} AS c)"
+    steps = [f"t_{k}" for k in range(1, 9)]
+    each = f"SELECT id, s, {q.at('cycle', 'at')} AS size, {q.array(['at', *(f'CAST({q.at(t, "at")} AS BIGINT)' for t in steps), *(f'CAST({q.at(t, q.at("t_8", "at"))} AS BIGINT)' for t in steps[:7])])} AS seq"
+    return "(" + each + f" FROM (SELECT n.*, CAST({q.at('lim', 's')} AS BIGINT) AS at, s FROM {limits} AS n CROSS JOIN range(8) AS states(s)) AS l)"
+
+
+def cube_distances(q: Dialect) -> str:
+    """(a, b, dda): distances by attractors of all networks of 3 nodes that a mutation parts."""
+    return f"(SELECT e.a, e.b, CAST(sum({graph.cycle_distance(q, 8)}) AS BIGINT) AS dda FROM {cube_edges(q)} AS e JOIN {cube_cycles(q)} AS x ON x.id = e.a JOIN {cube_cycles(q)} AS y ON y.id = e.b AND y.s = x.s GROUP BY e.a, e.b)"
+
+
+@sql
+def mutation_degrees_d3(q):
+    return f"SELECT degree, count(*) AS networks FROM {graph.degrees(cube_edges(q))} AS d GROUP BY degree"
+
+
+@rows
+def attractor_distances_of_mutations_d3(spark, sf_dir):
+    """Distances by attractors along all 451,584 mutation edges of 3 nodes; tests hold single edges against the definition."""
+    return run_sql(spark, lambda q: f"SELECT dda, count(*) AS edges FROM {cube_distances(q)} AS d GROUP BY dda", sf_dir)
+
+
+@rows
+def edge_similarities_d3(spark, sf_dir):
+    """exp(-distance) along mutation edges, scaled so that all add up to the number of vertices; a row per vertex and kind of
+    distance."""
+    return run_sql(spark, lambda q: f"SELECT a, dda, count(*) AS edges, round(sum(exp(-CAST(dda AS DOUBLE))) * 32768 / max(total), 9) AS similarity FROM {cube_distances(q)} AS d CROSS JOIN (SELECT sum(exp(-CAST(dda AS DOUBLE))) AS total FROM {cube_distances(q)} AS t) AS t GROUP BY a, dda", sf_dir)
+
+
+@sql
+def negative_table_d2(q):
+    """Vertices by their weight in negative sampling, with the ends of their ranges of the running sum."""
+    weights = f"(SELECT id, power(CAST(degree AS DOUBLE), 0.75) AS w FROM {graph.degrees(pair_edges(q))} AS d)"
+    return f"SELECT id, round(coalesce(sum(w) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS lo, round(sum(w) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING), 9) AS hi FROM {weights} AS w"
+
+
+@rows
+def negative_draws_d2(spark, sf_dir):
+    """20,000 vertices drawn by their weights: a number is looked up in the running sums."""
+    table = F.broadcast(run_sql(spark, negative_table_d2, sf_dir))  # 36 rows
+    total = table.agg(F.max("hi")).first()[0]
+    draws = spark.range(20_000).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 40)) / (1 << 40) * total).alias("u"))
+    return draws.join(table, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).groupBy("id").agg(F.count("*").alias("drawn"))
+
+
 # --- sampling and iterative operators
 
 
@@ -211,23 +271,30 @@ def _table(spark, d: int):
     return run_sql(spark, lambda q: f"SELECT * FROM {sbf.functions(q, d)} AS f", "")
 
 
+def _view(df) -> str:
+    """The rows as a table in the shared folder, by a name of its own."""
+    name = f"drawn_{uuid.uuid4().hex}"
+    graph.shared(df).createOrReplaceTempView(name)
+    return name
+
+
 @rows
 def variety_sample_d4(spark, sf_dir):
     """10,000 different networks of 4 nodes with their statistics."""
     names = ", ".join(f"f_{i}" for i in range(1, 5))
-    graph.variety_draws(spark, _table(spark, 4), 4, 10_000).createOrReplaceTempView("variety_sample")
-    return run_sql(spark, lambda q: f"SELECT {names}, genotype_count, robustness_mean, robustness_std, evolvability FROM {net.with_statistics('variety_sample', sbf.statistics(q, 4), 4)} AS n", sf_dir)
+    draws = _view(graph.variety_draws(spark, _table(spark, 4), 4, 10_000))
+    return run_sql(spark, lambda q: f"SELECT {names}, genotype_count, robustness_mean, robustness_std, evolvability FROM {net.with_statistics(draws, sbf.statistics(q, 4), 4)} AS n", sf_dir)
 
 
 @rows
 def variety_rows_d4(spark, sf_dir):
     """100,000 different networks of 4 nodes as result rows: finest vectors, cycles and all statistics."""
     draws = graph.variety_draws(spark, _table(spark, 4), 4, 100_000)  # a total order ends in one partition; deal it out again
-    graph.shared(draws.repartition(spark.sparkContext.defaultParallelism, "f_1", "f_2")).createOrReplaceTempView("variety_rows")
+    drawn = _view(draws.repartition(spark.sparkContext.defaultParallelism, "f_1", "f_2"))
 
     def text(q: Dialect) -> str:
         names = ", ".join(f"f_{i}" for i in range(1, 5))
-        cycles = f"(SELECT {names}, num_attractors, cycle_len_msq FROM {dyn.with_attractors(q, 'variety_rows', 4)} AS c)"
+        cycles = f"(SELECT {names}, num_attractors, cycle_len_msq FROM {dyn.with_attractors(q, drawn, 4)} AS c)"
         vectors = f"(SELECT {names}, num_attractors, cycle_len_msq, code FROM {dec.finest(cycles, 4)} AS v)"
         bitstrings = ", ".join(q.bits(f"f_{i}", 16) + f" AS f_{i}" for i in range(1, 5))
         return f"SELECT {vector(q, 'code', 4)} AS vector, {bitstrings}, cycle_len_msq, num_attractors, genotype_count, robustness_std, robustness_mean, evolvability FROM {net.with_statistics(vectors, sbf.statistics(q, 4), 4)} AS s"
@@ -244,8 +311,8 @@ def genotype_sample_d3(spark, sf_dir):
 def prototype_sample_d3(spark, sf_dir):
     """Networks of one vector's class: two functions are forced to projections, and the vector then checked."""
     forced = graph.variety_draws(spark, _table(spark, 3), 3, 2_000).select(F.lit(bits.projection(3, 3)).cast("long").alias("f_3"), "f_1", F.lit(bits.projection(3, 2)).cast("long").alias("f_2"))
-    forced.distinct().createOrReplaceTempView("prototypes")
-    return run_sql(spark, lambda q: f"SELECT f_1, f_2, f_3 FROM {dec.finest('prototypes', 3)} AS n WHERE code = {4 * bits.leaf_code(3, 1)}", sf_dir)
+    prototypes = _view(forced.distinct())
+    return run_sql(spark, lambda q: f"SELECT f_1, f_2, f_3 FROM {dec.finest(prototypes, 3)} AS n WHERE code = {4 * bits.leaf_code(3, 1)}", sf_dir)
 
 
 @rows

@@ -44,8 +44,3 @@ def paired(oracle: str):
         return made
 
     return register
-
-
-from . import graphs, networks, oracles, storage, texts, vectors  # noqa: E402, F401  these register their queries
-
-ORACLES |= {name: text for name, text in oracles.ORACLES.items() if name in QUERIES}

@@ -129,7 +129,7 @@ def _vectors(spark, sf_dir):
 
 
 def _improved(pairs, data):
-    return vec.propagated(vec.ranked(vec.measured(pairs, data), 10), data, 10)
+    return vec.propagated(vec.measured(pairs, data), data, 10)
 
 
 @rows
