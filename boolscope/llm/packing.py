@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ BUCKET_TOKENS, MAX_BUCKETS = 3_000_000, 100_000
 #: Leading bits of the curve by which running sums over its cells are dealt to tasks.
 TOP = 12
 #: Words that a worker process keeps the tokens of, and signs that end a word.
-CACHE, SIGNS = 600_000, ".,;:!?\"()[]{}#*$%&|"
+CACHE, SIGNS = 1_000_000, ".,;:!?\"()[]{}#*$%&|"
 #: Runs without white space as the tokenizer takes it: unlike Python's, U+001C to U+001F are none.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 RUNS = re.compile("[^" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in SEPARATORS) + "]+")
@@ -118,13 +119,10 @@ class Words(dict):
         new, self.new = self.new, []
         if not new:
             return
-        cores, tails = [], []
-        for w in new:
-            core = w.rstrip(SIGNS)
-            if not core or not core[-1].isalpha():
-                core = w
-            cores.append(core.lower() if core.isascii() else core)
-            tails.append(w[len(core) :])
+        cut = [w.rstrip(SIGNS) for w in new]
+        cut = [c if c and c[-1].isalpha() else w for c, w in zip(cut, new)]
+        tails = [w[len(c) :] for c, w in zip(cut, new)]
+        cores = [c.lower() if c.isascii() else c for c in cut]
         self._add_cores([w for w in {*cores, *tails} if w not in self.cores])
         both = np.empty(2 * len(new), np.int64)
         both[::2], both[1::2] = list(map(self.cores.__getitem__, cores)), list(map(self.cores.__getitem__, tails))
@@ -152,8 +150,8 @@ class Words(dict):
             self.cores.update(zip(other, range(len(self.cores), len(self.cores) + len(other))))
             self.core_table.append(np.array([i for ids in made for i in ids], np.int64), np.array([len(ids) for ids in made]))
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        return np.array(list(map(self.__getitem__, words)), np.int64)
+    def rows(self, words: Iterable[str], many: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, many)
 
 
 #: The words that a worker process knows, kept from task to task.
@@ -178,15 +176,19 @@ def _tokenise(path: str, dims: int, bits: int):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part, known = b.slice(at, 500), known_words(path, dims)
-                texts = [known.rows(split(t.as_py())) for t in part["text"]]
+                texts = [split(t.as_py()) for t in part["text"]]
+                words = np.cumsum([0, *map(len, texts)])
+                rows = known.rows(chain.from_iterable(texts), int(words[-1]))
                 known.learn()
-                ids, cells = [], np.zeros((len(texts), dims))
-                for i, rows in enumerate(texts):
-                    tokens = np.append(known.table.tokens(rows), np.uint16(END))
-                    cells[i] = (known.vectors[rows].sum(0, dtype=np.float64) + known.projection[END]) / len(tokens)
-                    ids.append(tokens.astype("<u2").tobytes())
+                flat, ends = known.table.tokens(rows), np.concatenate([[0], np.cumsum(known.table.sizes(rows))])[words]
+                sums = np.concatenate([np.zeros((1, dims)), np.cumsum(known.vectors[rows], axis=0, dtype=np.float64)])[words]
+                sizes = np.diff(ends) + 1
+                cells = (np.diff(sums, axis=0) + known.projection[END]) / sizes[:, None]
+                flat = np.insert(flat.astype("<u2", copy=False), ends[1:], END).tobytes()
+                at_ = 2 * np.concatenate([[0], np.cumsum(sizes)])
+                ids = [flat[x:y] for x, y in zip(at_[:-1].tolist(), at_[1:].tolist())]
                 grid = np.clip(((np.arctan(4 * cells) / np.pi + 0.5) * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(hilbert(grid, bits)), pa.array(ids, pa.binary())], ["id", "n", "curve", "ids"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(sizes, pa.int64()), pa.array(hilbert(grid, bits)), pa.array(ids, pa.binary())], ["id", "n", "curve", "ids"])
 
     return run
 

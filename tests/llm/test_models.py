@@ -188,7 +188,7 @@ def test_packing_ids_of_all_white_space_and_control_characters():
     tokenizer, known = Tokenizer.from_file(packing.tokenizer_path()), packing.known_words(packing.tokenizer_path(), packing.DIMS)
     odd = [chr(c) for c in range(0x3001) if chr(c).isspace() or not chr(c).isprintable()]
     texts = [f"a{c}b{c} {c}Xy.{c}{c}z" for c in odd] + ["".join(odd), "a" + "b".join(odd), "it's\x1cgone\x1d 12 \x1e"]
-    rows = [known.rows(packing.split(t)) for t in texts]
+    rows = [known.rows(w, len(w)) for w in map(packing.split, texts)]
     known.learn()
     assert [known.table.tokens(r).tolist() for r in rows] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
