@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_crf, line_dedup, packing, quality_rules, simhash, suffix_dedup, toxicity, url_rules, warc
+from . import decontaminate, language_crf, line_dedup, packing, piece_encoding, quality_rules, simhash, suffix_dedup, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_url_rules": url_rules.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_packing": packing.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op12_piece_encoding": piece_encoding.query,
 }
 
 ORACLES = {
