@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_crf, line_dedup, packing, piece_encoding, quality_rules, simhash, suffix_dedup, toxicity, url_rules, warc
+from . import decontaminate, language_crf, line_dedup, merkle, packing, piece_encoding, quality_rules, simhash, suffix_dedup, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_url_rules": url_rules.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_packing": packing.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_merkle": merkle.query,
     "op12_piece_encoding": piece_encoding.query,
 }
 
 ORACLES = {
     "op2_warc": warc.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
