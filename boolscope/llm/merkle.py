@@ -69,21 +69,25 @@ class Store:
             out = out.unionByName(self.level(k).where("n = 1").select("tree", "digest"))
         return out
 
-    def groups(self, above: DataFrame) -> DataFrame:
-        """(tree, parent, below, steps): per group of leaves its digests, and the steps from its parent to the root and on
-        through above (tree, steps). A lone leaf has a group without digests.
+    def groups(self, above: DataFrame | None = None) -> DataFrame:
+        """(tree, parent, below, steps): per group of leaves its digests, and the steps from its parent to the root and, where
+        above (tree, steps) is given, on through it. A lone leaf has a group without digests.
 
         Levels are read from the top down. A level's nodes meet their parents' steps by a merge on the coordinate, and hand on
         to each child the digests left and right of it. Leaves themselves are not touched.
         """
+
+        def up(ends: DataFrame) -> DataFrame:
+            return ends.withColumn("steps", F.array().cast(STEPS)) if above is None else ends.join(above, "tree")
+
         at = None
         for k in range(self.height, 0, -1):
             nodes = self.level(k)
-            here = nodes.where("n = 1").join(above, "tree").select("tree", F.col("pos").alias("parent"), "below", "steps")
+            here = up(nodes.where("n = 1")).select("tree", F.col("pos").alias("parent"), "below", "steps")
             if at is not None:
                 here = here.unionByName(nodes.select("tree", F.col("pos").alias("parent"), "below").hint("merge").join(at, ["tree", "parent"]))
             at = save(here, "steps") if k == 1 else save(here.select("tree", F.posexplode("below").alias("i", "digest"), "parent", "below", "steps").select("tree", (F.col("parent") * FANOUT + F.col("i")).alias("parent"), F.concat(F.array(beside(F.col("below"), F.col("i"))), "steps").alias("steps")), "steps")
-        lone = self.level(0).where("n = 1").join(above, "tree").select("tree", F.lit(0).cast("long").alias("parent"), F.array().cast("array<string>").alias("below"), "steps")
+        lone = up(self.level(0).where("n = 1")).select("tree", F.lit(0).cast("long").alias("parent"), F.array().cast("array<string>").alias("below"), "steps")
         return lone if at is None else at.unionByName(lone)
 
 
@@ -149,9 +153,8 @@ def prove(docs: DataFrame, changed: Column | None = None, columns: tuple[str, ..
         store = build(placed(rows, ["id", "digest", "now", "row"]).drop("row"))
         subroots = save(store.roots(), "subroots")
         top = build(placed(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["name"]))
-        none = docs.sparkSession.range(1).select(F.lit("").alias("tree"), F.array().cast(STEPS).alias("steps"))
         root = top.roots().select("tree", F.col("digest").alias("root"))
-        above = met(top, none).join(root, "tree").select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "root", "steps")
+        above = with_groups(top.level(0), top.groups()).join(root, "tree").select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "root", "steps")
         above = keep(save(above, "above"))
         groups = keep(save(store.groups(above.select("tree", "steps")), "groups"))
     found = with_groups(store.level(0), groups).join(above.select("tree", "subroot", "root"), "tree")
@@ -160,13 +163,9 @@ def prove(docs: DataFrame, changed: Column | None = None, columns: tuple[str, ..
 
 def with_groups(leaves: DataFrame, groups: DataFrame) -> DataFrame:
     """leaves with steps: those of its group, after the digests beside the leaf in it."""
-    met_ = leaves.withColumn("parent", F.floor(F.col("pos") / FANOUT)).join(groups, ["tree", "parent"])
+    met = leaves.withColumn("parent", F.floor(F.col("pos") / FANOUT)).join(groups, ["tree", "parent"])
     own = F.when(F.size("below") > 0, F.array(beside(F.col("below"), (F.col("pos") % FANOUT).cast("int")))).otherwise(F.array().cast(STEPS))
-    return met_.withColumn("steps", F.concat(own, "steps")).drop("parent", "below")
-
-
-def met(store: Store, above: DataFrame) -> DataFrame:
-    return with_groups(store.level(0), store.groups(above))
+    return met.withColumn("steps", F.concat(own, "steps")).drop("parent", "below")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
