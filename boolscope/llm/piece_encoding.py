@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from .piece_model import PieceModel
 MODEL = "piece_bpe_32k.model"
 #: Bytes of text that a task holds in the forms between text and ids at a time (one text at least), and words that a
 #: worker process keeps the ids of.
-SLICE, KEPT_WORDS = 2 << 20, 500_000
+SLICE, KEPT_WORDS = 2 << 20, 1_000_000
 
 
 def model_path(name: str = MODEL) -> str:
@@ -33,24 +34,40 @@ class _Words:
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.first, self.ids, self.sizes = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.first, self.ids, self.sizes = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def add(self, words: set[str]) -> None:
-        if len(self.numbers) + len(words) > KEPT_WORDS:
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words in a row, the normalised bytes that each stands for, and how many ids each word has."""
+        if len(self.numbers) > KEPT_WORDS:
             self.clear()
-        new = [w for w in words if w not in self.numbers]
-        made = [self.model.encode(w) for w in new]
-        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(ids) for ids, _ in made], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, np.array([i for ids, _ in made for i in ids], np.int32)])
-        self.sizes = np.concatenate([self.sizes, np.array([s for _, sizes in made for s in sizes], np.int64)])
-
-    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words in a row, and the normalised bytes that each stands for."""
-        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        start, n = self.first[number], self.first[number + 1] - self.first[number]
+        number = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            number[missing] = self.add([words[i] for i in missing.tolist()])
+        start = self.first[number]
+        n = self.first[number + 1] - start
         at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.ids[at], self.sizes[at]
+        return self.ids[at], self.sizes[at], n
+
+    def add(self, words: list[str]) -> list[int]:
+        """Numbers of words that were not met before, of which some may be the same."""
+        ids, counts, exact, out, known = [], [], [], [], self.numbers
+        for word in words:
+            if (number := known.get(word)) is None:
+                number = known[word] = len(known)
+                own, sizes = self.model.encode(word)
+                if sizes is not None:
+                    exact.append((len(ids), sizes))
+                ids += own
+                counts.append(len(own))
+            out.append(number)
+        new = np.array(ids, np.int32)
+        sizes = self.model.sizes[new]
+        for at, own in exact:
+            sizes[at : at + len(own)] = own
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts, dtype=np.int64)])
+        self.ids, self.sizes = np.concatenate([self.ids, new]), np.concatenate([self.sizes, sizes])
+        return out
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -74,19 +91,16 @@ def _encode(path: str, decoded: bool):
         for part in (s for b in batches for s in _slices(b)):
             normal = [known.model.normalise(t.as_py()) for t in part["text"]]
             words = [known.model.words.findall(text.decode()) for text, _ in normal]
-            known.add({w for ws in words for w in ws})
-            columns = [[], [], [], []]
-            for (_, place), ws in zip(normal, words):
-                ids, sizes = known.encoded(ws)
-                end = np.cumsum(sizes)
-                columns[0].append(ids)
-                columns[1].append(place[end - sizes].astype(np.int32))
-                # a piece that stands for none of the character ends where it begins
-                columns[2].append(place[end].astype(np.int32))
-                columns[3].append(library.decode(ids.tolist()) if decoded and len(ids) else "" if decoded else None)
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in columns[0]])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c))) for c in columns[:3]]
-            yield pa.RecordBatch.from_arrays([part["row"], *lists, pa.array(columns[3], pa.string())], ["row", "ids", "begins", "ends", "decoded"])
+            ids, sizes, per_word = known.encoded([w for ws in words for w in ws])
+            # where each text's ids begin; texts' places follow each other, with one more a text for its end
+            first = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum([0, *map(len, words)])]
+            place = np.concatenate([np.asarray(place, np.int32) for _, place in normal])
+            end = np.cumsum(sizes, dtype=np.int64) + np.repeat(np.arange(len(words)), np.diff(first))
+            offsets = pa.array(first, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c, pa.int32())) for c in (ids, place[end - sizes], place[end])]
+            flat, to = ids.tolist() if decoded else [], first.tolist()
+            back = [library.decode(flat[a:b]) if decoded and b > a else "" if decoded else None for a, b in zip(to, to[1:])]
+            yield pa.RecordBatch.from_arrays([part["row"], *lists, pa.array(back, pa.string())], ["row", "ids", "begins", "ends", "decoded"])
 
     return run
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 
@@ -13,6 +15,8 @@ PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK, REPLACEMENT = "▁", b"\xef\xbf\xbd"
 MARK_BYTES = MARK.encode()
+#: Signs of a word up to which its merges are found by looking at all of it each time.
+SHORT = 48
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -98,7 +102,9 @@ class PieceModel:
     unused, raise: their merges follow other rules."""
 
     def __init__(self, data: bytes):
-        self.ids, self.scores, self.bytes_, self.unknown = {}, {}, {}, 0
+        self.ids: dict[str, int] = {}
+        self.costs: dict[str, float] = {}  # scores, negated
+        self.bytes_, self.unknown = {}, 0
         trainer, spec = {}, {}
         number = 0
         for field, value in fields(data):
@@ -106,7 +112,8 @@ class PieceModel:
                 p = dict(fields(value))
                 piece, kind = p[1].decode(), p.get(3, NORMAL)
                 if kind == NORMAL:
-                    self.ids[piece], self.scores[piece] = number, float(np.frombuffer(p.get(2, b"\0\0\0\0"), "<f4")[0])
+                    self.ids[piece] = number
+                    self.costs[piece] = -float(np.frombuffer(p.get(2, b"\0\0\0\0"), "<f4")[0])
                 elif kind == BYTE:
                     self.bytes_[int(piece[3:5], 16)] = number
                 elif kind == UNKNOWN:
@@ -125,9 +132,16 @@ class PieceModel:
         self.map = CharacterMap(spec.get(2, b""))
         self.prefix, self.squeeze, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
         space = MARK if self.escape else " "
-        #: Merges never join a word to the white space after it, unless a piece holds white space after another sign.
-        apart = not any(space in p.lstrip(space) for p in self.ids)
-        self.words = re.compile(f"{space}*[^{space}]+|{space}+" if apart else "(?s:.+)")
+        # no merge joins a word to the white space after it, unless a piece holds white space after another sign, nor
+        # anything to a sign that is in no piece of several signs
+        met = {c for p in self.ids if len(p) > 1 for c in p} - {space}
+        kept = re.escape("".join(sorted(met)))
+        apart = met and not any(space in p.lstrip(space) for p in self.ids)
+        self.words = re.compile(f"{space}*[{kept}]+|{space}+|(?s:.)" if apart else "(?s:.+)")
+        #: Bytes that each id stands for, where it stands for itself.
+        self.sizes = np.zeros(number, np.int32)
+        for p, i in self.ids.items():
+            self.sizes[i] = len(p.encode())
 
     def _parts(self, data: bytes) -> Iterator[tuple[int, int, bytes | None]]:
         """(start, end, replacement or None) of stretches that tile the bytes: keys of the map by longest prefix, the rest."""
@@ -186,14 +200,30 @@ class PieceModel:
 
     def merged(self, word: str) -> list[str]:
         """The word's pieces: of neighbours that make a piece, those of the best score merge first, then the leftmost."""
+        if len(word) > SHORT:
+            return self._merged_long(word)
+        parts, get, none = list(word), self.costs.get, math.inf
+        costs = [get(a + b, none) for a, b in pairwise(parts)]
+        while costs and (best := min(costs)) != none:
+            i = costs.index(best)
+            parts[i] = both = parts[i] + parts.pop(i + 1)
+            del costs[i]
+            if i:
+                costs[i - 1] = get(parts[i - 1] + both, none)
+            if i < len(costs):
+                costs[i] = get(both + parts[i + 1], none)
+        return parts
+
+    def _merged_long(self, word: str) -> list[str]:
+        """The same by a heap of what can merge, for words without end."""
         parts: list[str | None] = list(word)
         n = len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap: list[tuple[float, int, int, str]] = []
 
         def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (score := self.scores.get(both := parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (-score, i, j, both))
+            if i >= 0 and j >= 0 and (cost := self.costs.get(both := parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (cost, i, j, both))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -208,16 +238,18 @@ class PieceModel:
             offer(i, after[i])
         return [p for p in parts if p is not None]
 
-    def encode(self, word: str) -> tuple[list[int], list[int]]:
-        """Ids of a normalised word, and the bytes of it that each stands for. Of a character without a piece the last byte's
-        id stands for all of it, as in the library."""
-        ids, sizes = [], []
-        for piece in self.merged(word):
+    def encode(self, word: str) -> tuple[list[int], list[int] | None]:
+        """The ids of a normalised word, and the bytes of it that each stands for, or None where sizes tells. Of a character
+        without a piece the last byte's id stands for all of it, as in the library."""
+        parts = self.merged(word)
+        ids = list(map(self.ids.get, parts))
+        if None not in ids:
+            return ids, None
+        out: list[tuple[int, int]] = []
+        for piece, i in zip(parts, ids):
             raw = piece.encode()
-            if (found := self.ids.get(piece)) is not None or not self.bytes_:
-                ids.append(self.unknown if found is None else found)
-                sizes.append(len(raw))
+            if i is not None or not self.bytes_:
+                out.append((self.unknown if i is None else i, len(raw)))
             else:
-                ids += [self.bytes_[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-        return ids, sizes
+                out += [*((self.bytes_[b], 0) for b in raw[:-1]), (self.bytes_[raw[-1]], len(raw))]
+        return [i for i, _ in out], [n for _, n in out]
