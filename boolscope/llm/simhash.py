@@ -134,9 +134,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- near copies by similarity -------------------------------------------------------------------------------------
 
-#: Words per shingle of the fingerprints that find candidates, and fingerprints per text.
-FINE, PRINTS = 2, 3
-#: Texts that share a variant of which all pairs are candidates; of more, those with the smallest and the largest.
+#: Words per shingle of the fingerprints that find candidates, fingerprints per text, and least hashes of shingles per text.
+FINE, PRINTS, LEAST = 2, 3, 4
+#: Texts that share a key of which all pairs are candidates; those that share one with more are searched exactly.
 CAP = 24
 #: Pairs of a text beyond which it is one of the common ones, and how many of those there can be.
 HOT, MOST_HOT = 500, 50_000
@@ -150,13 +150,25 @@ def _mixed(h: np.ndarray, round_: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _least(h: np.ndarray) -> list[int]:
+    """The least of the hashes of a text's runs of five words, made of those of its pairs of words h; of the pairs where
+    there are fewer."""
+    if len(h) > 3:
+        h = _mixed(_mixed(h[:-3], 1) ^ _mixed(h[2:-1], 2) ^ _mixed(h[3:], 3), 4)
+    return np.unique(h)[:LEAST].view(np.int64).tolist()
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             b = batch.slice(at, 500)
-            made = [[majority(h if i == 0 else _mixed(h, i)) for i in range(PRINTS)] for h in (shingles(t.as_py(), FINE) for t in b["text"])]
+            made, least = [], []
+            for t in b["text"]:
+                h = shingles(t.as_py(), FINE)
+                made.append([majority(h if i == 0 else _mixed(h, i)) for i in range(PRINTS)])
+                least.append(_least(h))
             columns = np.array(made, np.uint64).reshape(-1, PRINTS).view(np.int64).T
-            yield pa.RecordBatch.from_arrays([b["id"], b["th"], *map(pa.array, columns)], ["id", "th", *(f"f{i}" for i in range(PRINTS))])
+            yield pa.RecordBatch.from_arrays([b["id"], b["th"], *map(pa.array, columns), pa.array(least, pa.list_(pa.int64()))], ["id", "th", *(f"f{i}" for i in range(PRINTS)), "least"])
 
 
 def _sets(width: int):
@@ -170,6 +182,14 @@ def _sets(width: int):
     return run
 
 
+def _as_longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            made = [np.frombuffer(h.as_buffer(), np.int64) for h in part["hashes"]]
+            yield pa.RecordBatch.from_arrays([part["th"], pa.array(made, pa.list_(pa.int64()))], ["th", "hashes"])
+
+
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,23 +206,81 @@ def _similar(least: float):
     return run
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """(u, v): pairs of texts th that share a variant of a segment of one of their fingerprints f0, f1 and so on."""
+def _keyed(texts: DataFrame) -> DataFrame:
+    """(k, x): the keys of each text th: variants of the segments of its fingerprints f0, f1 and so on, and its least hashes."""
+    variants = (F.transform(_variants(F.col(f"f{i}")), lambda k: k + F.lit(i << 38)) for i in range(PRINTS))  # noqa: B023
+    least = F.transform("least", lambda h: h.bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62)))
+    return texts.select(F.explode(F.concat(*variants, least)).alias("k"), F.col("th").alias("x"))
+
+
+def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v): pairs of texts th that share a key which at most CAP texts have; (th): the texts that share one with more.
+
+    Texts are distinct and have th, f0, f1 and so on, and least. A null th isn't compared; an empty table gives two empty ones.
+    """
     many_tasks = PRINTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = save(texts, "texts")  # else the next line's tasks are merged, as for a small table
-    keys = F.concat(*(F.transform(_variants(F.col(f"f{i}")), lambda k: k + F.lit(i << 38)) for i in range(PRINTS)))  # noqa: B023
-    keyed = texts.repartition(many_tasks, "th").select(F.explode(keys).alias("k"), F.col("th").alias("x"))
+    keyed = _keyed(texts.repartition(many_tasks, "th"))
     groups = save(keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n >= 2"), "variants")
     two = groups.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    large = groups.where("n > 2")
-    if large.count() <= BROADCAST_KEYS // 2:  # 32 bytes each; else both sides are shuffled
+    large = groups.where("n > 2").select("k", "n")
+    if large.count() <= BROADCAST_KEYS:  # 16 bytes each; else both sides are shuffled
         large = F.broadcast(large)
     members = save(keyed.join(large, "k"), "members")
     some = members.where(F.col("n") <= CAP).groupBy("k").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     some = some.select(F.explode("xs").alias("u"), "xs").select("u", F.explode(F.filter("xs", lambda b: b > F.col("u"))).alias("v"))
-    many = members.where(F.col("n") > CAP)
-    ends = many.select(F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("x").alias("v")), F.struct(F.col("x").alias("u"), F.col("hi").alias("v")))).alias("p")).select("p.*")
-    return two.unionByName(some).unionByName(ends).where("u <> v").distinct()
+    return two.unionByName(some).where("u <> v").distinct(), members.where(F.col("n") > CAP).select(F.col("x").alias("th")).distinct()
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(x, token, early): per set th the elements of which two sets of this similarity share one at least: the rarest ones, as many as a
+    similar set may lack and one more; only those that several sets have.
+
+    Elements are ranked by the number of sets that have them, so what many sets share comes last. early tells the
+    elements before which so few others come that a set of the same size may lack them all: if sets share nothing before
+    an element that is early in neither, they aren't similar, for the larger one would have to lack more.
+    An empty set has the element 0.
+    """
+    tokens = sets.select("th", F.explode(F.when(F.size("hashes") > 0, F.col("hashes")).otherwise(F.array(F.lit(0).cast("long")))).alias("token"))
+    tokens = save(tokens.withColumn("side", F.xxhash64("token")), "tokens")
+    # one more key than was grouped by: the join then shuffles both sides, so that a hot element can be split
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).withColumn("side", F.xxhash64("token"))
+    ranked = tokens.join(often, ["token", "side"]).groupBy("th").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
+    size = F.size("all")
+    near = lambda share: F.floor(size * (1 - share) + 1e-9).cast("int") + 1
+    kept = F.transform(F.slice("all", F.lit(1), near(F.lit(similarity))), lambda t, i: F.struct(t["token"].alias("token"), t["n"].alias("n"), (i < near(F.lit(2 * similarity / (1 + similarity)))).alias("early")))
+    return ranked.select(F.col("th").alias("x"), F.inline(F.filter(kept, lambda t: t["n"] > 1))).drop("n")
+
+
+def crowded(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From prefixes: (u, v), pairs that share an element which at most CAP sets have there; (x, token, early) of the others,
+    where one of the sets has it early."""
+    found = save(found, "prefixes")
+    of = found.groupBy("token").agg(F.count("*").alias("n"), F.max("early").alias("any")).where("n > 1").withColumn("side", F.xxhash64("token"))
+    both = save(found.withColumn("side", F.xxhash64("token")).join(of, ["token", "side"]).drop("side"), "shared")
+    some = both.where(F.col("n") <= CAP).groupBy("token").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    some = some.select(F.explode("xs").alias("u"), "xs").select("u", F.explode(F.filter("xs", lambda b: b > F.col("u"))).alias("v"))
+    return some.distinct(), both.where((F.col("n") > CAP) & F.col("any")).select("x", "token", "early")
+
+
+def stars(hot: DataFrame) -> DataFrame:
+    """(u, v): of each element the least set that has it early, with all others that have it."""
+    centre = hot.where("early").groupBy("token").agg(F.min("x").alias("c"))
+    return hot.join(centre, "token").where("x <> c").select(F.least("x", "c").alias("u"), F.greatest("x", "c").alias("v")).distinct()
+
+
+def apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): the pairs of sets that share an element, early in one of them, and that roots (node, root) don't connect.
+
+    Of each element's sets those in the component that has most of them are only paired with the others, so where a
+    star has connected a group there is nothing left.
+    """
+    at = save(hot.join(roots, hot["x"] == roots["node"], "left").select("x", "token", "early", F.coalesce("root", "x").alias("root")), "hot")
+    most = at.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
+    most = most.where("roots > 1").select("token", F.col("m.root").alias("major"))
+    at = at.join(most, "token")
+    few = at.where("root <> major").select("token", F.col("x").alias("y"), F.col("root").alias("other"), F.col("early").alias("too"))
+    return few.join(at, "token").where("root <> other AND (early OR too)").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -224,12 +302,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two texts are near copies if their sets of shingles of width words (A-Z lower-cased; of all words where there are
     fewer) have a Jaccard similarity of similarity or more; groups are what such pairs connect. Candidates are texts
     that have, in one of PRINTS fingerprints over shingles of FINE words, a 32-bit segment that differs by one bit at
-    most: deletion variants, as in links(). Each candidate pair is then decided by the sets themselves, so texts that are
-    less alike are never linked but through others. Fingerprints of this few bits find about four in five pairs of
-    similarity 0.8 to 0.9, and nearly all above 0.95; what they miss stays.
+    most: deletion variants, as in links(); or one of the LEAST least hashes of runs of five words in common, as fingerprints of this
+    few bits miss texts with a part added or cut off. Each candidate pair is then decided by the sets themselves, so
+    texts that are less alike are never linked but through others. Of pairs of similarity 0.8 the least hashes alone miss
+    one in 600.
 
-    Of variants that more than CAP texts share, each text is compared with the smallest and largest of them only;
-    first each text with one partner, then, of the other pairs, those that are not connected by then. Equal texts are
+    Texts of which more than CAP share a key, as under a common opening, are searched for all similar pairs without a miss: by the rarest
+    elements of their sets (prefixes), so that what they all share finds nothing. Where many share even such an element, each is
+    compared with the least of them, and then all pairs that aren't connected by that are compared.
+
+    First each text is compared with one partner, then, of the other pairs, those that are not connected by then. Equal texts are
     one text before any search. Null and empty texts are equal. Rows that repeat an id are documents of their own. Extra
     columns stay; an empty table gives an empty result. Whole texts are read.
     """
@@ -237,22 +319,32 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("th", F.xxhash64("text"))
     longs = ", ".join(f"f{i} long" for i in range(PRINTS))
     with scratch(docs.sparkSession) as keep:
-        found = save(rows.select("id", "th", "text").mapInArrow(trimmed(_prints), f"id long, th long, {longs}"), "fingerprints")
-        pairs = save(candidates(found.dropDuplicates(["th"])), "pairs")
-        asked = pairs.select("u").union(pairs.select("v")).distinct()
+        found = save(rows.select("id", "th", "text").mapInArrow(trimmed(_prints), f"id long, th long, {longs}, least array<long>"), "fingerprints")
+        pairs, many = candidates(found.dropDuplicates(["th"]))
+        pairs, many = save(pairs, "pairs"), save(many, "many")
+        asked = pairs.select("u").union(pairs.select("v")).union(many).distinct()
         texts = rows.join(asked, rows["th"] == asked["u"], "left_semi").select("th", "text")
         sets = save(texts.dropDuplicates(["th"]).mapInArrow(trimmed(_sets(width)), "th long, hashes binary"), "sets")
 
         def linked(some: DataFrame) -> DataFrame:
             return save(_with_sets(some, sets).mapInArrow(trimmed(_similar(similarity)), "u long, v long"), "links")
 
+        hot = None
+        if not many.isEmpty():
+            these = sets.join(many, "th", "left_semi").mapInArrow(trimmed(_as_longs), "th long, hashes array<long>")
+            more, hot = crowded(prefixes(these, similarity))
+            hot = save(hot, "hot")
+            pairs = save(pairs.unionByName(more).unionByName(stars(hot)).distinct(), "pairs")
         one = save(pairs.groupBy("v").agg(F.min("u").alias("u")), "one")
         links_ = linked(one)
-        roots = save(connected(links_), "roots")
-        at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}r"))
-        rest = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("ur", "u") != F.coalesce("vr", "v")).select("u", "v")
-        rest = save(rest.join(one, ["u", "v"], "left_anti"), "rest")
-        roots = save(connected(links_.unionByName(linked(rest))), "roots")
+        for last in (False, True):
+            roots = save(connected(links_), "roots")
+            if last and hot is None:
+                break
+            rest = apart(hot, roots) if last else pairs.join(one, ["u", "v"], "left_anti")
+            links_ = links_.unionByName(linked(_unconnected(rest, roots)))
+        if hot is not None:
+            roots = save(connected(links_), "roots")
         group = F.coalesce("root", "th")
         first = found.join(roots, found["th"] == roots["node"], "left").groupBy(group.alias("group"))
         first = first.agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), "th")).alias("x"))
@@ -261,6 +353,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return kept.dropDuplicates(["id", "th"]).select("row.*")
 
 
+def _unconnected(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends have different roots."""
+    at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}r"))
+    out = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left").where(F.coalesce("ur", "u") != F.coalesce("vr", "v"))
+    return save(out.select("u", "v"), "rest")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

@@ -91,16 +91,8 @@ def near_rows(rnd, groups, copies):
     return out
 
 
-@pytest.mark.parametrize(("cap", "hot"), [(1, 500), (24, 3)])
-def test_one_of_each(make_docs, corpus, monkeypatch, cap, hot):
-    monkeypatch.setattr(simhash, "CAP", cap)
-    monkeypatch.setattr(simhash, "HOT", hot)
-    rows = [*((None if i is None else i - 100, t) for i, t in corpus), *near_rows(random.Random(4), 25, 6), *((i + 500_000, t) for i, t in near_rows(random.Random(9), 1, 60))]
-    rows = [(i, t) for i, t in rows if i is None or i not in (-99, -98)] + [(-99, corpus[1][1]), (-98, corpus[2][1]), (-98, corpus[2][1])]
-    docs = make_docs(rows)
-    out = simhash.one_of_each(docs)
-    assert out.dtypes == docs.dtypes
-    kept = {r["doc_id"] for r in out.collect()}
+def smallest_of_groups(rows):
+    """The smallest id (null last) of each group of near copies, by comparing all pairs."""
     parent = {i: i for i in range(len(rows))}
 
     def find(x):
@@ -108,15 +100,82 @@ def test_one_of_each(make_docs, corpus, monkeypatch, cap, hot):
             x = parent[x]
         return x
 
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if similar(rows[i][1], rows[j][1])]
-    for i, j in pairs:
-        parent[find(i)] = find(j)
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(rows[i][1], rows[j][1]):
+                parent[find(i)] = find(j)
     least = {}
     for i, (doc, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), (True, 0)), (doc is None, doc or 0))
-    first = {None if n else doc for n, doc in least.values()}
-    assert first <= kept  # nothing goes that no similar document stays for
-    assert len(kept) - len(first) <= 0.2 * (len(rows) - len(first))  # and most that has one goes
+    return {None if n else doc for n, doc in least.values()}
+
+
+def family_rows(rnd, families, copies, opening, own):
+    """Families of near copies that all have an opening of so many words and then as many of the family's."""
+    first, out = [f"o{rnd.randrange(3000)}" for _ in range(opening)], []
+    for f in range(families):
+        words = [f"f{f}x{rnd.randrange(3000)}" for _ in range(own)]
+        for c in range(copies):
+            last = list(words)
+            if c:
+                last[rnd.randrange(own)] = f"c{f}x{c}"
+            out.append((100 * f + c, " ".join(first + last)))
+    return out
+
+
+@pytest.mark.parametrize(("opening", "own", "cap"), [(200, 60, 24), (200, 60, 1), (300, 30, 5), (300, 12, 5), (0, 80, 3)])
+def test_families_under_one_opening(make_docs, monkeypatch, opening, own, cap):
+    """Each family keeps one text, however many texts share what they have in common."""
+    monkeypatch.setattr(simhash, "CAP", cap)
+    rows = family_rows(random.Random(opening + own), 12, 5, opening, own)
+    kept = {r["doc_id"] for r in simhash.one_of_each(make_docs(rows)).collect()}
+    assert kept == smallest_of_groups(rows)
+
+
+def test_texts_with_a_part_added_or_cut_off(make_docs):
+    rnd, rows = random.Random(8), []
+    for g in range(60):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(40, 300))]
+        n = len(words)
+        cut = words[: n - int(n * rnd.uniform(0.05, 0.18))]
+        more = words + [f"a{rnd.randrange(10**6)}" for _ in range(int(n * rnd.uniform(0.05, 0.22)))]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(cut)), (10 * g + 2, " ".join(more))]
+    kept = {r["doc_id"] for r in simhash.one_of_each(make_docs(rows)).collect()}
+    first = smallest_of_groups(rows)
+    assert first <= kept and len(kept - first) <= 1
+
+
+@pytest.mark.parametrize("cap", [1, 4, 100])
+def test_rarest_elements_find_all_similar_sets(spark, monkeypatch, cap):
+    monkeypatch.setattr(simhash, "CAP", cap)
+    rnd, sets = random.Random(cap), {}
+    for g in range(8):
+        base = rnd.sample(range(10_000), rnd.choice([1, 3, 10, 40]))
+        for c in range(9):
+            own = set(base) - set(rnd.sample(base, rnd.randrange(1 + len(base) // 6))) | set(rnd.sample(range(60), rnd.randrange(1 + len(base) // 5)))
+            sets[100 * g + c] = sorted(own)
+    sets |= {1000 + i: sorted({*range(100, 140), *rnd.sample(range(60), 6)}) for i in range(12)} | {2000: [], 2001: []}
+    df = spark.createDataFrame([(k, v) for k, v in sets.items()], "th long, hashes array<long>")
+    some, hot = simhash.crowded(simhash.prefixes(df, 0.8))
+    none = spark.createDataFrame([], "node long, root long")
+    got = {tuple(r) for x in (some, simhash.stars(hot), simhash.apart(hot, none)) for r in x.select("u", "v").collect()}
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    assert {(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])} <= got
+    assert len(got) < len(sets) ** 2 / 4
+
+
+@pytest.mark.parametrize(("cap", "hot"), [(1, 500), (24, 3)])
+def test_one_of_each(make_docs, corpus, monkeypatch, cap, hot):
+    monkeypatch.setattr(simhash, "CAP", cap)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rows = [*((None if i is None else i - 100, t) for i, t in corpus), *near_rows(random.Random(4), 25, 6), *((i + 500_000, t) for i, t in near_rows(random.Random(9), 1, 60))]
+    rows = [(i, t) for i, t in rows if i is None or i not in (-99, -98)] + [(-99, corpus[1][1]), (-98, corpus[2][1]), (-98, corpus[2][1])]
+    docs = make_docs(rows)
+    out = simhash.one_of_each(docs)
+    assert out.dtypes == docs.dtypes
+    kept = {r["doc_id"] for r in out.collect()}
+    first = smallest_of_groups(rows)
+    assert first == kept
     texts = {}
     for doc, t in rows:
         texts.setdefault(t or "", []).append((doc is None, doc or 0))
