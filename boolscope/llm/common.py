@@ -9,8 +9,11 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from itertools import pairwise
 from weakref import WeakKeyDictionary
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,19 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             remove(spark, p)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What is run inside passes at most so many rows at a time between the JVM and Python: whole texts then take a few MB in
+    either, and the JVM keeps less memory of its own for them. The setting is restored."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -99,14 +115,34 @@ def crc32_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def slices(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Rows that follow each other and have about so many bytes in the column together, one row at least."""
+    sizes = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in batch[column]), np.int64, batch.num_rows)
+    part = np.cumsum(sizes) // size
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in pairwise(at):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 #: Dictionaries that worker processes keep from task to task, by name.
 CACHES: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Give freed memory back to the system."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
 def release(but: str | None) -> None:
-    for name, kept in CACHES.items():
-        if name != but:
-            kept.clear()
+    others = [kept for name, kept in CACHES.items() if name != but and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        give_back()
 
 
 def trimmed(run: Callable[[Iterator], Iterator], cache: str | None = None) -> Callable[[Iterator], Iterator]:
@@ -116,9 +152,6 @@ def trimmed(run: Callable[[Iterator], Iterator], cache: str | None = None) -> Ca
     def wrapped(batches: Iterator) -> Iterator:
         release(cache)
         yield from run(batches)
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library, which has no such call
-            pass
+        give_back()
 
     return wrapped

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHES, text_of, trimmed
+from .common import CACHES, slices, text_of, trimmed
 from .piece_model import PieceModel
 
 MODEL = "piece_bpe_32k.model"
@@ -70,14 +70,6 @@ class _Words:
         return out
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = np.fromiter((len(t.as_buffer()) for t in batch["text"]), np.int64, batch.num_rows)
-    part = np.cumsum(sizes) // SLICE
-    for at in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(part)) + 1):
-        if len(at):
-            yield batch.slice(int(at[0]), len(at))
-
-
 def _encode(path: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -88,7 +80,7 @@ def _encode(path: str, decoded: bool):
                 data = f.read()
             kept.update(path=path, words=_Words(PieceModel(data)), library=sentencepiece.SentencePieceProcessor(model_proto=data))
         known, library = kept["words"], kept["library"]
-        for part in (s for b in batches for s in _slices(b)):
+        for part in (s for b in batches for s in slices(b, SLICE)):
             normal = [known.model.normalise(t.as_py()) for t in part["text"]]
             words = [known.model.words.findall(text.decode()) for text, _ in normal]
             ids, sizes, per_word = known.encoded([w for ws in words for w in ws])

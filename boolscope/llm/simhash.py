@@ -138,6 +138,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 FINE, PRINTS, LEAST = 2, 3, 4
 #: Texts that share a key of which all pairs are candidates; those that share one with more are searched exactly.
 CAP = 24
+#: Sets of a block where all sets of a group are compared.
+BLOCK = 256
 #: Pairs of a text beyond which it is one of the common ones, and how many of those there can be.
 HOT, MOST_HOT = 500, 50_000
 
@@ -233,10 +235,10 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(x, token, early): per set th the elements of which two sets of this similarity share one at least: the rarest ones, as many as a
+    """(x, token, at, early): per set th the elements of which two sets of this similarity share one at least: the rarest ones, as many as a
     similar set may lack and one more; only those that several sets have.
 
-    Elements are ranked by the number of sets that have them, so what many sets share comes last. early tells the
+    Elements are ranked by the number of sets that have them, so what many sets share comes last; at is the place in that order. early tells the
     elements before which so few others come that a set of the same size may lack them all: if sets share nothing before
     an element that is early in neither, they aren't similar, for the larger one would have to lack more.
     An empty set has the element 0.
@@ -248,39 +250,69 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     ranked = tokens.join(often, ["token", "side"]).groupBy("th").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
     size = F.size("all")
     near = lambda share: F.floor(size * (1 - share) + 1e-9).cast("int") + 1
-    kept = F.transform(F.slice("all", F.lit(1), near(F.lit(similarity))), lambda t, i: F.struct(t["token"].alias("token"), t["n"].alias("n"), (i < near(F.lit(2 * similarity / (1 + similarity)))).alias("early")))
+    kept = F.transform(F.slice("all", F.lit(1), near(F.lit(similarity))), lambda t, i: F.struct(t["token"].alias("token"), t["n"].alias("n"), i.alias("at"), (i < near(F.lit(2 * similarity / (1 + similarity)))).alias("early")))
     return ranked.select(F.col("th").alias("x"), F.inline(F.filter(kept, lambda t: t["n"] > 1))).drop("n")
 
 
 def crowded(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From prefixes: (u, v), pairs that share an element which at most CAP sets have there; (x, token, early) of the others,
+    """From prefixes: (u, v), pairs that share an element which at most CAP sets have there; (x, token, at, early) of the others,
     where one of the sets has it early."""
     found = save(found, "prefixes")
     of = found.groupBy("token").agg(F.count("*").alias("n"), F.max("early").alias("any")).where("n > 1").withColumn("side", F.xxhash64("token"))
     both = save(found.withColumn("side", F.xxhash64("token")).join(of, ["token", "side"]).drop("side"), "shared")
     some = both.where(F.col("n") <= CAP).groupBy("token").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     some = some.select(F.explode("xs").alias("u"), "xs").select("u", F.explode(F.filter("xs", lambda b: b > F.col("u"))).alias("v"))
-    return some.distinct(), both.where((F.col("n") > CAP) & F.col("any")).select("x", "token", "early")
+    return some.distinct(), both.where((F.col("n") > CAP) & F.col("any")).select("x", "token", "at", "early")
 
 
 def stars(hot: DataFrame) -> DataFrame:
-    """(u, v): of each element the least set that has it early, with all others that have it."""
-    centre = hot.where("early").groupBy("token").agg(F.min("x").alias("c"))
-    return hot.join(centre, "token").where("x <> c").select(F.least("x", "c").alias("u"), F.greatest("x", "c").alias("v")).distinct()
+    """(u, v): of each element the set in whose order it comes first, with all others that have it. Of copies of a text, that is
+    the one with the fewest changes."""
+    centre = hot.where("early").groupBy("token").agg(F.min(F.struct("at", "x")).alias("c"))
+    return hot.join(centre, "token").select("x", F.col("c.x").alias("c")).where("x <> c").select(F.least("x", "c").alias("u"), F.greatest("x", "c").alias("v")).distinct()
+
+
+def _blocks(similarity: float):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        sets = [np.frombuffer(h.as_buffer(), "<u8") for h in t["hashes"].chunk(0)] if t.num_rows else []
+        few, root, x = (np.asarray(t[c]) for c in ("few", "root", "x"))
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.array(list(map(len, sets)))
+        ends = np.cumsum(sizes)
+        out_u, out_v = [], []
+        for i in np.flatnonzero(few):
+            mark = np.zeros(len(names), np.int32)
+            mark[flat[ends[i] - sizes[i] : ends[i]]] = 1
+            sums = np.concatenate([[0], np.cumsum(mark[flat])])
+            both = sums[ends] - sums[ends - sizes]
+            hit = np.flatnonzero((both >= similarity * (sizes[i] + sizes - both)) & (root != root[i]) & ~few)
+            out_u.append(np.minimum(x[i], x[hit]))
+            out_v.append(np.maximum(x[i], x[hit]))
+        return pa.table({"u": np.concatenate(out_u or [x[:0]]), "v": np.concatenate(out_v or [x[:0]])})
+
+    return run
 
 
-def apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): the pairs of sets that share an element, early in one of them, and that roots (node, root) don't connect.
+def apart(hot: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs of similar sets among those that share such elements and that roots (node, root) don't connect.
 
-    Of each element's sets those in the component that has most of them are only paired with the others, so where a
-    star has connected a group there is nothing left.
+    Sets that elements connect make a group. Of each group those in the component that has most of them are only compared with the
+    others, so where a star has connected a group there is nothing left. Both sides are dealt to blocks of BLOCK sets about, and
+    a task compares a block with a block: sets are copied once for each block of the other side, pairs are never rows.
     """
-    at = save(hot.join(roots, hot["x"] == roots["node"], "left").select("x", "token", "early", F.coalesce("root", "x").alias("root")), "hot")
-    most = at.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
-    most = most.where("roots > 1").select("token", F.col("m.root").alias("major"))
-    at = at.join(most, "token")
-    few = at.where("root <> major").select("token", F.col("x").alias("y"), F.col("root").alias("other"), F.col("early").alias("too"))
-    return few.join(at, "token").where("root <> other AND (early OR too)").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    groups = save(connected(stars(hot)), "groups").select(F.col("node").alias("x"), F.col("root").alias("group"))
+    at = save(groups.join(roots, F.col("x") == F.col("node"), "left").select("x", "group", F.coalesce("root", "x").alias("root")), "hot")
+    by_root = at.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group")
+    by_root = by_root.agg(F.max_by("root", "n").alias("major"), F.count("*").alias("roots"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")).where("roots > 1")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
+    at = at.join(by_root.select("group", "major", blocks("all").alias("right"), blocks("others").alias("left")), "group")
+    deal = lambda n: F.pmod(F.xxhash64("x"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    few = at.where("root <> major").select("x", "root", "group", F.lit(True).alias("few"), deal("left").alias("l"), each("right").alias("r"))
+    every = at.select("x", "root", "group", F.lit(False).alias("few"), each("left").alias("l"), deal("right").alias("r"))
+    rows = few.unionByName(every).join(sets.withColumnRenamed("th", "x"), "x")
+    return rows.groupBy("group", "l", "r").applyInArrow(_blocks(similarity), "u long, v long").distinct()
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -309,7 +341,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts of which more than CAP share a key, as under a common opening, are searched for all similar pairs without a miss: by the rarest
     elements of their sets (prefixes), so that what they all share finds nothing. Where many share even such an element, each is
-    compared with the least of them, and then all pairs that aren't connected by that are compared.
+    compared with the one that has the fewest rarer ones, and then all that isn't connected by that is compared, block by block.
 
     First each text is compared with one partner, then, of the other pairs, those that are not connected by then. Equal texts are
     one text before any search. Null and empty texts are equal. Rows that repeat an id are documents of their own. Extra
@@ -341,8 +373,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             roots = save(connected(links_), "roots")
             if last and hot is None:
                 break
-            rest = apart(hot, roots) if last else pairs.join(one, ["u", "v"], "left_anti")
-            links_ = links_.unionByName(linked(_unconnected(rest, roots)))
+            new = save(apart(hot, roots, sets, similarity), "links") if last else linked(_unconnected(pairs.join(one, ["u", "v"], "left_anti"), roots))
+            links_ = links_.unionByName(new)
         if hot is not None:
             roots = save(connected(links_), "roots")
         group = F.coalesce("root", "th")

@@ -158,9 +158,13 @@ def test_rarest_elements_find_all_similar_sets(spark, monkeypatch, cap):
     df = spark.createDataFrame([(k, v) for k, v in sets.items()], "th long, hashes array<long>")
     some, hot = simhash.crowded(simhash.prefixes(df, 0.8))
     none = spark.createDataFrame([], "node long, root long")
-    got = {tuple(r) for x in (some, simhash.stars(hot), simhash.apart(hot, none)) for r in x.select("u", "v").collect()}
+    monkeypatch.setattr(simhash, "BLOCK", 5)
+    binary = spark.createDataFrame([(k, np.array(v, "<u8").tobytes()) for k, v in sets.items()], "th long, hashes binary")
+    found = [tuple(r) for r in simhash.apart(hot, none, binary, 0.8).collect()] if not hot.isEmpty() else []
+    got = {tuple(r) for x in (some, simhash.stars(hot)) for r in x.select("u", "v").collect()} | set(found)
     alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
     assert {(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])} <= got
+    assert all(alike(sets[a], sets[b]) for a, b in found) and (found or cap == 100)
     assert len(got) < len(sets) ** 2 / 4
 
 
