@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from boolscope.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from boolscope.llm.common import remove, save, saved_path
+from boolscope.llm.common import remove, save, saved_path, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,21 +24,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id: texts whose five-word shingles have a
-    Jaccard similarity of 0.8 or more, found by deletion variants of several fingerprints.
+    Jaccard similarity of 0.8 or more, found by deletion variants of several fingerprints and by least hashes.
 
     The operator's own query keeps its contract, three words and two bits of one fingerprint.
     """
-    return simhash.one_of_each(docs)
+    with small_batches(spark):
+        return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak an item of the benchmark go."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with small_batches(spark):
+        return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack(docs)
+    with small_batches(spark):
+        return packing.pack(docs)
 
 
 STAGES = [
