@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Words per shingle of the fingerprints that find candidates, fingerprints per text, and least hashes of shingles per text.
 FINE, PRINTS, LEAST = 2, 3, 4
 #: Texts that share a key of which all pairs are candidates; those that share one with more are searched exactly.
-CAP = 24
+CAP = 4
 #: Sets of a block where all sets of a group are compared.
 BLOCK = 256
 #: Pairs of a text beyond which it is one of the common ones, and how many of those there can be.
