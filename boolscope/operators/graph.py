@@ -56,6 +56,42 @@ def cycle_distance(q: Dialect, n: int) -> str:
     return f"CASE WHEN x.size >= y.size THEN {turned('x', 'y')} ELSE {turned('y', 'x')} END"
 
 
+def profiles(q: Dialect, cycles: str) -> str:
+    """(profile, networks): the different lists of the cycles that states lead to, state 0 first, with the number of networks
+    that have each. cycles: id, s, size, seq, as cycle_distance takes them; a cycle is named by its states."""
+    own = f"(SELECT id, s, concat_ws(':', slice(seq, 1, CAST(size AS INT))) AS cycle FROM {cycles} AS c)"
+    lists = f"(SELECT id, transform(array_sort(collect_list(struct(s, cycle))), x -> x.cycle) AS profile FROM {own} AS o GROUP BY id)"
+    return f"(SELECT profile, count(*) AS networks FROM {lists} AS l GROUP BY profile)"
+
+
+def cycle_table(q: Dialect, cycles: str) -> str:
+    """(cycle, size, seq): the dictionary of the cycles that occur. Their number is bounded by the states, not by the networks."""
+    return f"(SELECT DISTINCT concat_ws(':', slice(seq, 1, CAST(size AS INT))) AS cycle, CAST(size AS INT) AS size, seq FROM {cycles} AS c)"
+
+
+def close_profiles(found: DataFrame, table: DataFrame, n: int, most: int) -> DataFrame:
+    """(a, b, dda): pairs of different profiles, a before b, whose distances add up to most at most over the n states.
+
+    Different cycles are at least 1 apart, so of a pair within most, at most so many states have different cycles: of most + 1
+    runs of states one is the same in both. Profiles are joined by equal runs, and only those pairs are measured; each pair of
+    cycles among them is measured once, whatever the number of profiles and states it stands for.
+    """
+    ends = [-(-i * n // (most + 1)) for i in range(most + 2)]  # longer ones first: state 0 is the same in all
+    runs = F.array(*(F.concat_ws("|", F.lit(str(i)), F.slice("profile", a + 1, b - a)) for i, (a, b) in enumerate(zip(ends, ends[1:]))))
+    keyed = shared(found.select(F.concat_ws("|", "profile").alias("name"), F.explode(runs).alias("run")))
+    x, y = keyed.select("run", F.col("name").alias("a")), keyed.select("run", F.col("name").alias("b"))
+    pairs = shared(x.join(y, "run").where("a < b").select("a", "b").distinct())
+    states = pairs.select("a", "b", F.inline(F.arrays_zip(F.split("a", "[|]").alias("p"), F.split("b", "[|]").alias("q")))).where("p <> q")
+    states = shared(states.groupBy("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.count("*").alias("times")))
+    one, other = (table.select(F.col("cycle").alias(k), F.struct("size", "seq").alias(r)) for k, r in (("p", "x"), ("q", "y")))
+    apart = states.select("p", "q").distinct().join(one, "p").join(other, "q")
+    apart = apart.selectExpr("p", "q", "IF(x.size >= y.size, x, y) AS l", "IF(x.size >= y.size, y, x) AS k")
+    # as cycle_distance, with lambdas: unrolled, the text outgrows code generation
+    turned = "aggregate(sequence(0, l.size - 1), 0, (sum, i) -> sum + bit_count(l.seq[i + r] ^ IF(i < k.size, k.seq[i], 0)))"
+    apart = shared(apart.selectExpr("p", "q", f"CAST(array_min(transform(sequence(0, l.size - 1), r -> {turned})) AS BIGINT) AS d"))
+    return states.join(apart, ["p", "q"]).groupBy("a", "b").agg(F.sum(F.col("times") * F.col("d")).alias("dda")).where(F.col("dda") <= most)
+
+
 # --- iterative operators
 
 

@@ -13,6 +13,7 @@ from ..operators import dynamics as dyn
 from ..operators import graph
 from ..operators import networks as net
 from ..operators import sbf
+from . import oracles
 from .networks import drawn_once, every, vector
 from .registry import paired, rows, run_sql, sql
 
@@ -217,9 +218,9 @@ def cube_edges(q: Dialect) -> str:
     return graph.mutation_edges(cube_nets(q), sbf.neighbours(q, 3), 3)
 
 
-def cube_cycles(q: Dialect) -> str:
-    """(id, s, size, seq): for each state of each network of 3 nodes the cycle that it leads to, twice around."""
-    limits = f"(SELECT *, f_1 * 65536 + f_2 * 256 + f_3 AS id, {dyn.limit_states(q, 3)} AS lim FROM {dyn.with_cycles(q, every(q, 3), 3)} AS c)"
+def cube_cycles(q: Dialect, networks: str | None = None) -> str:
+    """(id, s, size, seq): for each state of each network of 3 nodes (default: all) the cycle that it leads to, twice around."""
+    limits = f"(SELECT *, f_1 * 65536 + f_2 * 256 + f_3 AS id, {dyn.limit_states(q, 3)} AS lim FROM {dyn.with_cycles(q, networks or every(q, 3), 3)} AS c)"
     steps = [f"t_{k}" for k in range(1, 9)]
     each = f"SELECT id, s, {q.at('cycle', 'at')} AS size, {q.array(['at', *(f'CAST({q.at(t, "at")} AS BIGINT)' for t in steps), *(f'CAST({q.at(t, q.at("t_8", "at"))} AS BIGINT)' for t in steps[:7])])} AS seq"
     return "(" + each + f" FROM (SELECT n.*, CAST({q.at('lim', 's')} AS BIGINT) AS at, s FROM {limits} AS n CROSS JOIN range(8) AS states(s)) AS l)"
@@ -241,6 +242,24 @@ def attractor_distances_of_mutations_d3(spark, sf_dir):
     return run_sql(spark, lambda q: f"SELECT dda, count(*) AS edges FROM {cube_distances(q)} AS d GROUP BY dda", sf_dir)
 
 
+@paired(oracles.CLOSE_ATTRACTORS)
+def close_attractors_of_draws(spark, sf_dir):
+    """All pairs of drawn networks whose attractors are at most 2 apart: how many at each distance."""
+    cycles = graph.shared(run_sql(spark, lambda q: f"SELECT * FROM {cube_cycles(q, drawn_once(q))} AS c", sf_dir))
+    name = _view(cycles)
+    try:
+        found = graph.shared(run_sql(spark, lambda q: f"SELECT * FROM {graph.profiles(q, name)} AS p", sf_dir))
+        table = graph.shared(run_sql(spark, lambda q: f"SELECT * FROM {graph.cycle_table(q, name)} AS t", sf_dir))
+    finally:
+        spark.catalog.dropTempView(name)
+    size = found.select(F.concat_ws("|", "profile").alias("name"), "networks")
+    apart = graph.close_profiles(found, table, 8, 2)
+    for end in ("a", "b"):
+        apart = apart.join(size.select(F.col("name").alias(end), F.col("networks").alias(f"n_{end}")), end)
+    pairs = apart.select("dda", (F.col("n_a") * F.col("n_b")).alias("pairs")).unionByName(found.select(F.lit(0).cast("bigint").alias("dda"), F.expr("networks * (networks - 1) DIV 2").alias("pairs")))
+    return pairs.groupBy("dda").agg(F.sum("pairs").alias("pairs"))
+
+
 @rows
 def edge_similarities_d3(spark, sf_dir):
     """exp(-distance) along mutation edges, scaled so that all add up to the number of vertices; a row per vertex and kind of

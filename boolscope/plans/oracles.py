@@ -76,6 +76,28 @@ _GENOTYPES_2 = f"""{_columns(2, 1)},
     networks AS (SELECT DISTINCT f_1, f_2 FROM genotypes)"""
 
 
+def _close(most: int) -> str:
+    """SQL that counts pairs of draws by the distance of their attractors: cycles by walks, a matrix of the distances of all
+    cycles, and profiles met state by state while the sum stays small."""
+    turned = "list_min([list_sum([bit_count(xor(x.seq[(i + r) % len(x.seq) + 1], CASE WHEN i < len(y.seq) THEN y.seq[i + 1] ELSE 0 END)) FOR i IN range(len(x.seq))]) FOR r IN range(len(x.seq))])"
+    steps = ["at_0 AS (SELECT u.p AS u, u.c AS uc, v.p AS v, v.c AS vc, u.n * v.n AS pairs, d.d AS dda FROM numbered_profiles AS u JOIN matrix AS d ON d.a = u.c[1] JOIN numbered_profiles AS v ON v.c[1] = d.b AND u.p < v.p)"]
+    steps += [f"at_{s} AS (SELECT u, uc, v, vc, pairs, dda + d.d AS dda FROM at_{s - 1} JOIN matrix AS d ON d.a = uc[{s + 1}] AND d.b = vc[{s + 1}] AND dda + d.d <= {most})" for s in range(1, 8)]
+    return f"""WITH RECURSIVE {_columns(3, 2)}, {_DRAWS}, {_walks(3)},
+    ends AS (SELECT f_1, f_2, f_3, s, t AS c FROM walks WHERE k = 8),
+    least AS (SELECT f_1, f_2, f_3, s AS c, min(t) AS m FROM walks GROUP BY ALL),
+    seqs AS (SELECT w.f_1, w.f_2, w.f_3, w.s AS m, list_prepend(any_value(w.s), coalesce(list(w.t ORDER BY w.k) FILTER (WHERE w.k < c.length), [])) AS seq FROM walks AS w JOIN cyclic AS c USING (f_1, f_2, f_3, s) GROUP BY w.f_1, w.f_2, w.f_3, w.s),
+    dictionary AS (SELECT seq, row_number() OVER (ORDER BY seq) AS id FROM (SELECT DISTINCT seq FROM seqs)),
+    each AS (SELECT f_1, f_2, f_3, list(d.id ORDER BY e.s) AS c FROM ends AS e JOIN least AS l USING (f_1, f_2, f_3, c) JOIN seqs AS q USING (f_1, f_2, f_3, m) JOIN dictionary AS d USING (seq) GROUP BY ALL),
+    numbered_profiles AS (SELECT c, count(*) AS n, row_number() OVER (ORDER BY c) AS p FROM each GROUP BY c),
+    halves AS (SELECT x.id AS a, y.id AS b, {turned} AS d FROM dictionary AS x, dictionary AS y WHERE len(x.seq) >= len(y.seq)),
+    matrix AS (SELECT a, b, min(d) AS d FROM (SELECT a, b, d FROM halves UNION ALL SELECT b, a, d FROM halves) GROUP BY a, b HAVING min(d) <= {most}),
+    {", ".join(steps)}
+    SELECT CAST(dda AS BIGINT) AS dda, CAST(sum(pairs) AS BIGINT) AS pairs FROM (SELECT dda, pairs FROM at_7 UNION ALL SELECT 0, n * (n - 1) // 2 FROM numbered_profiles) GROUP BY dda"""
+
+
+CLOSE_ATTRACTORS = _close(2)
+
+
 def _counts(name: str, values: list[int], first: int) -> str:
     rows = ", ".join(f"({d}, {n})" for d, n in enumerate(values, first))
     return f"SELECT CAST(d AS BIGINT) AS d, CAST(n AS BIGINT) AS {name} FROM (VALUES {rows}) AS published(d, n)"
