@@ -12,7 +12,7 @@ from ..operators import decomposition as dec
 from ..operators import dynamics as dyn
 from ..operators import graph
 from ..operators import networks as net
-from ..operators import sbf
+from ..operators import sampling, sbf
 from . import oracles
 from .networks import drawn_once, every, vector
 from .registry import paired, rows, run_sql, sql
@@ -286,6 +286,27 @@ def negative_draws_d2(spark, sf_dir):
 # --- sampling and iterative operators
 
 
+def _draw_weights(q: Dialect) -> str:
+    """(id, w): drawn networks with their weights in negative sampling."""
+    return f"SELECT id, power(CAST(degree AS DOUBLE), 0.75) AS w FROM {graph.degrees(graph.mutation_edges(triples(q), sbf.neighbours(q, 3), 3))} AS d"
+
+
+@paired(f"""WITH {oracles._columns(3, 2)}, {oracles._neutral(3)}, {oracles._DRAWS},
+    near AS ({" UNION ALL ".join(f"SELECT x.f_1, x.f_2, x.f_3 FROM networks AS x JOIN neighbours AS n ON n.src = x.f_{k} JOIN networks AS y ON {' AND '.join(f'y.f_{j} = ' + ('n.dst' if j == k else f'x.f_{j}') for j in (1, 2, 3))}" for k in (1, 2, 3))})
+    SELECT f_1 * 65536 + f_2 * 256 + f_3 AS id, round(power(count(*), 0.75), 6) AS w FROM near GROUP BY f_1, f_2, f_3""")
+def alias_table_of_draws(spark, sf_dir):
+    """The weights of the drawn networks as an alias table gives them back."""
+    return sampling.masses(sampling.alias_table(run_sql(spark, _draw_weights, sf_dir), 2_000)).select("id", F.round("w", 6).alias("w"))
+
+
+@rows
+def negative_draws_of_draws(spark, sf_dir):
+    """As many draws by these weights as there are drawn networks, by an alias table: how often each comes."""
+    weights = graph.shared(run_sql(spark, _draw_weights, sf_dir))
+    table = graph.shared(sampling.alias_table(weights, 2_000))
+    return sampling.draws(spark, table, weights.count(), 11).groupBy("id").agg(F.count("*").alias("drawn"))
+
+
 def _table(spark, d: int):
     return run_sql(spark, lambda q: f"SELECT * FROM {sbf.functions(q, d)} AS f", "")
 
