@@ -10,8 +10,9 @@ class Dialect:
 
     name = "spark"
 
-    def __init__(self, tables: str = "", spark: SparkSession | None = None):
-        self.tables, self.spark = tables, spark
+    def __init__(self, tables: str = "", spark: SparkSession | None = None, drawn: bool = False):
+        """drawn: queries over all networks of three nodes run over those that lineitem's rows draw."""
+        self.tables, self.spark, self.drawn = tables, spark, drawn
 
     def named(self, name: str, text: str) -> str:
         """A small relation that depends on nothing but its name: kept in memory for the session, where there is one."""

@@ -11,7 +11,7 @@ from ..operators import dynamics as dyn
 from ..operators import networks as net
 from ..operators import sbf
 from ..sources import scans
-from .registry import sql
+from .registry import over_draws, sql
 
 F3 = ["f_1", "f_2", "f_3"]
 
@@ -34,6 +34,8 @@ def drawn_pairs(q: Dialect) -> str:
 
 
 def every(q: Dialect, d: int) -> str:
+    if q.drawn and d == 3:
+        return drawn_once(q)
     return scans.all_networks(sbf.functions(q, d), d)
 
 
@@ -661,3 +663,13 @@ def network_rows_valid(q):
     """Rows whose bitstrings have one bit per state."""
     rows = f"(SELECT {q.bits('f_1', 8)} AS a, CASE WHEN f_2 = 0 THEN '0' ELSE {q.bits('f_2', 8)} END AS b FROM {drawn_once(q)} AS d)"
     return f"SELECT CASE WHEN length(a) = 8 AND length(b) = 8 THEN 1 ELSE 0 END AS valid, count(*) AS networks FROM {rows} AS r GROUP BY 1"
+
+
+# --- the same over the networks that are drawn
+
+for _text in (
+    fixed_function_networks_d3, attractor_histogram_d3, genotype_total_d3, robustness_by_constants_d3, slices_of_first_function_d3, prefix_slice_d3, decomposition_census_d3, tree_counts_d3,
+    labelled_trees_by_vector_d3, free_trees_by_vector_d3, fixed_tree_d3, fixed_tree_difference_d3, tree_in_any_order_d3, free_only_networks_d3, greedy_trees_d3, invariant_faces_d3, closed_control_d3,
+    undecomposable_leaves_d3, unrealizable_faces_d3, core_networks_d3, finest_ties_d3, equal_sets_d3, labels_required_d3, spearman_of_statistics_d3,
+):
+    over_draws(_text)

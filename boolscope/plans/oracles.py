@@ -145,3 +145,6 @@ ORACLES = {
     "vector_counts": _counts("vectors", [2, 4, 10, 36, 202], 1),
 }
 ORACLES["parsed_attractor_text"] = ORACLES["draw_attractors"]
+# networks that rows draw in the place of all
+ORACLES["attractor_histogram_of_draws"] = ORACLES["attractor_histogram_d3"].replace(_ALL, _DRAWS)
+ORACLES["spearman_of_statistics_of_draws"] = ORACLES["spearman_of_statistics_d3"].replace(f"{_neutral(3)},", f"{_neutral(3)}, {_DRAWS},").replace("FROM table_ AS a, table_ AS b, table_ AS c)", "FROM networks JOIN table_ AS a ON a.tt = f_1 JOIN table_ AS b ON b.tt = f_2 JOIN table_ AS c ON c.tt = f_3)")

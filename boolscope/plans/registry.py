@@ -29,6 +29,14 @@ def sql(text: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
     return text
 
 
+def over_draws(text: Callable[[Dialect], str]) -> None:
+    """Register a query over all networks of three nodes once more, over the different ones that a table's rows draw."""
+    name = text.__name__.removesuffix("_d3") + "_of_draws"
+    assert name not in QUERIES
+    QUERIES[name] = lambda spark, sf_dir: spark.sql(text(Dialect(sf_dir, spark, True)))
+    ORACLES[name] = text(Oracle(drawn=True))
+
+
 def rows(made: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Register a query that SQL can't express: iterative, random, or by a Python function."""
     QUERIES[made.__name__] = made
