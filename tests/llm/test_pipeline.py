@@ -25,5 +25,5 @@ def test_stages(spark, make_docs, corpus, tmp_path):
 
 
 def test_registry():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 13))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
