@@ -54,17 +54,24 @@ def _uniform(*of: Column | int) -> Column:
 
 
 def draws(spark: SparkSession, table: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(draw, id): n draws with replacement. A bucket is drawn first, by an alias table of the buckets, then a slot of it; both are
-    found by equality joins. The same seed gives the same draws."""
+    """(draw, id): n draws with replacement, by ``picked``."""
+    asked = spark.range(n).select(F.col("id").alias("draw"))
+    return picked(asked, table, seed).select("draw", F.col("picked").alias("id"))
+
+
+def picked(asked: DataFrame, table: DataFrame, seed: int = 0) -> DataFrame:
+    """asked with picked, a draw with replacement for each row, by its number in the column draw. A bucket is drawn first, by an alias
+    table of the buckets, then a slot of it; both are found by equality joins. The same seed and numbers give the same draws."""
     totals = table.groupBy("bucket").agg(F.max("total").alias("w"), F.max("slots").alias("of_bucket"))
     top = alias_table(totals.select(F.col("bucket").alias("id"), "w"), 1 << 62)
     many = top.count()
+    kept = asked.columns
     if not many:
-        return spark.createDataFrame([], "draw long, id long")
-    top = top.select(F.col("slot").alias("k"), F.col("id").alias("first"), F.col("other").alias("second"), F.col("share").alias("p"))
-    asked = spark.range(n).select(F.col("id").alias("draw"), F.floor(_uniform(seed, 1, F.col("id")) * many).alias("k"))
-    asked = asked.join(top, "k").select("draw", F.when(_uniform(seed, 2, F.col("draw")) < F.col("p"), F.col("first")).otherwise(F.col("second")).alias("bucket"))
+        return asked.select(*kept, F.lit(None).cast("long").alias("picked")).limit(0)
+    top = top.select(F.col("slot").alias("k_top"), F.col("id").alias("first"), F.col("other").alias("second"), F.col("share").alias("p_top"))
+    asked = asked.withColumn("k_top", F.floor(_uniform(seed, 1, F.col("draw")) * many)).join(top, "k_top")
+    asked = asked.select(*kept, F.when(_uniform(seed, 2, F.col("draw")) < F.col("p_top"), F.col("first")).otherwise(F.col("second")).alias("bucket"))
     asked = asked.join(totals.select("bucket", "of_bucket"), "bucket")
-    asked = asked.select("draw", "bucket", F.floor(_uniform(seed, 3, F.col("draw")) * F.col("of_bucket")).alias("slot"))
+    asked = asked.select(*kept, "bucket", F.floor(_uniform(seed, 3, F.col("draw")) * F.col("of_bucket")).alias("slot"))
     found = asked.join(table.select("bucket", "slot", "id", "other", "share"), ["bucket", "slot"])
-    return found.select("draw", F.when(_uniform(seed, 4, F.col("draw")) < F.col("share"), F.col("id")).otherwise(F.col("other")).alias("id"))
+    return found.select(*kept, F.when(_uniform(seed, 4, F.col("draw")) < F.col("share"), F.col("id")).otherwise(F.col("other")).alias("picked"))

@@ -10,7 +10,7 @@ from ..functions import bits
 from ..functions.dialect import Dialect
 from ..operators import decomposition as dec
 from ..operators import dynamics as dyn
-from ..operators import graph
+from ..operators import graph, layout
 from ..operators import networks as net
 from ..operators import sampling, sbf
 from . import oracles
@@ -407,3 +407,21 @@ def hulls_of_vectors(spark, sf_dir):
     from .networks import _scatter
 
     return graph.hulls(run_sql(spark, lambda q: f"SELECT {vector(q, 'code', 3)} AS kind, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {_scatter(q)} AS p", sf_dir))
+
+
+def _graph_of_draws(spark, sf_dir):
+    """The drawn networks and the edges of their mutation graph, written once."""
+    vertices = graph.shared(run_sql(spark, lambda q: f"SELECT id FROM {triples(q)} AS t", sf_dir))
+    return vertices, graph.shared(run_sql(spark, lambda q: f"SELECT a, b, 1.0D AS weight FROM {graph.mutation_edges(triples(q), sbf.neighbours(q, 3), 3)} AS e", sf_dir))
+
+
+@rows
+def sampled_layout_of_draws(spark, sf_dir):
+    """Places of the drawn networks by descent with sampled vertices pushed away, in rounds."""
+    return layout.descent(*_graph_of_draws(spark, sf_dir), rounds=20)[0]
+
+
+@rows
+def spring_layout_of_draws(spark, sf_dir):
+    """Places of the drawn networks by springs and repulsion through cells, in rounds."""
+    return layout.spring(*_graph_of_draws(spark, sf_dir), rounds=12)[0]
