@@ -138,8 +138,25 @@ def settled(at: DataFrame, step: Callable[[DataFrame, int], DataFrame], rate: fl
     return at, moves
 
 
-def spring(vertices: DataFrame, edges: DataFrame, rounds: int = 30, seed: int = 1) -> tuple[DataFrame, list[float]]:
-    """Positions by attraction along edges, by the squared distance, and repulsion between all, by its inverse, through cells.
+def smoothed(at: DataFrame, both: DataFrame, rounds: int) -> DataFrame:
+    """Positions after as many rounds of half a step to the neighbours' mean, each time centred, x and y made uncorrelated, and scaled to
+    a variance of 1: what changes least along edges is left, so a layout need not untangle it. both: a, b, weight, from either end."""
+    load = both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("load"))
+    pull = lambda at: _along(both, at, lambda r2: F.lit(-0.5)).join(load, "id")
+    for k in range(rounds + 1):
+        if k:
+            to = pull(at).select("id", *((F.col(f"f{c}") / F.col("load")).alias(f"f{c}") for c in "xy"))
+            at = at.join(to, "id", "left").select("id", *((F.col(c) + F.coalesce(f"f{c}", F.lit(0.0))).alias(c) for c in "xy"))
+        at = shared(at)
+        mx, my, vx, xy = (v or 0.0 for v in at.agg(F.avg("x"), F.avg("y"), F.var_pop("x"), F.covar_pop("x", "y")).first())
+        at = at.select("id", (F.col("x") - mx).alias("x"), (F.col("y") - my - (F.col("x") - mx) * (xy / vx if vx else 0.0)).alias("y"))
+        sx, sy = (v or 1.0 for v in at.agg(F.stddev_pop("x"), F.stddev_pop("y")).first())
+        at = at.select("id", (F.col("x") / sx).alias("x"), (F.col("y") / sy).alias("y"))
+    return at
+
+
+def spring(vertices: DataFrame, edges: DataFrame, rounds: int = 30, seed: int = 1, smooth: int = 10) -> tuple[DataFrame, list[float]]:
+    """Positions, from smoothed ones, by attraction along edges, by the squared distance, and repulsion between all, by its inverse, through cells.
 
     edges: a, b, weight; the unit of length is the one at which n points fill the unit square.
     """
@@ -152,7 +169,8 @@ def spring(vertices: DataFrame, edges: DataFrame, rounds: int = 30, seed: int =
         push = repulsion(at).select("id", *((F.col(f) * (unit * unit)).alias(f) for f in ("fx", "fy")))
         return pull.unionByName(push).groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
 
-    return settled(scattered(vertices, seed), step, 0.1, rounds)
+    start = smoothed(scattered(vertices, seed), both, smooth).select("id", (F.col("x") / 4).alias("x"), (F.col("y") / 4).alias("y"))
+    return settled(start, step, 0.05, rounds)
 
 
 def negatives(vertices: DataFrame, edges: DataFrame, each: int, rounds: int, seed: int) -> DataFrame:
@@ -165,8 +183,8 @@ def negatives(vertices: DataFrame, edges: DataFrame, each: int, rounds: int, see
     return sampling.picked(asked, table, seed).where("a <> picked").select("round", "a", F.col("picked").alias("b"), "weight")
 
 
-def descent(vertices: DataFrame, edges: DataFrame, rounds: int = 30, each: int = 8, push: float = 1.0, seed: int = 1) -> tuple[DataFrame, list[float]]:
-    """Positions by descent on the edges' likelihood under the kernel 1 / (1 + squared distance), with sampled vertices pushed away.
+def descent(vertices: DataFrame, edges: DataFrame, rounds: int = 30, each: int = 8, push: float = 0.2, seed: int = 1, smooth: int = 10) -> tuple[DataFrame, list[float]]:
+    """Positions, from smoothed ones, by descent on the edges' likelihood under the kernel 1 / (1 + squared distance), with sampled vertices pushed away.
 
     All vertices move at once, each by its mean gradient, so a hub moves no farther than others. edges: a, b, weight.
     """
@@ -180,4 +198,4 @@ def descent(vertices: DataFrame, edges: DataFrame, rounds: int = 30, each: int =
         total = pull.unionByName(away).groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
         return total.join(load, "id", "left").select("id", *((F.col(f) / F.coalesce("load", F.lit(1.0))).alias(f) for f in ("fx", "fy")))
 
-    return settled(scattered(vertices, seed).select("id", F.col("x") * 4, F.col("y") * 4).toDF("id", "x", "y"), step, 1.0, rounds)
+    return settled(smoothed(scattered(vertices, seed), both, smooth), step, 0.2, rounds)

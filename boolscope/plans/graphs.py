@@ -418,10 +418,10 @@ def _graph_of_draws(spark, sf_dir):
 @rows
 def sampled_layout_of_draws(spark, sf_dir):
     """Places of the drawn networks by descent with sampled vertices pushed away, in rounds."""
-    return layout.descent(*_graph_of_draws(spark, sf_dir), rounds=20)[0]
+    return layout.descent(*_graph_of_draws(spark, sf_dir), rounds=10)[0]
 
 
 @rows
 def spring_layout_of_draws(spark, sf_dir):
     """Places of the drawn networks by springs and repulsion through cells, in rounds."""
-    return layout.spring(*_graph_of_draws(spark, sf_dir), rounds=12)[0]
+    return layout.spring(*_graph_of_draws(spark, sf_dir), rounds=6)[0]
