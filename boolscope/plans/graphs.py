@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..functions.dialect import Dialect
+from ..operators import clusters
 from ..operators import decomposition as dec
 from ..operators import dynamics as dyn
 from ..operators import graph, layout
@@ -425,3 +426,37 @@ def sampled_layout_of_draws(spark, sf_dir):
 def spring_layout_of_draws(spark, sf_dir):
     """Places of the drawn networks by springs and repulsion through cells, in rounds."""
     return layout.spring(*_graph_of_draws(spark, sf_dir), rounds=6)[0]
+
+
+@rows
+def communities_of_draws(spark, sf_dir):
+    """The drawn networks' communities by modularity of their mutation graph."""
+    return clusters.communities(_graph_of_draws(spark, sf_dir)[1])[0]
+
+
+@rows
+def systems_of_draws(spark, sf_dir):
+    """Each drawn network's sun and its hops to it."""
+    return clusters.systems(*_graph_of_draws(spark, sf_dir))
+
+
+@rows
+def system_links_of_draws(spark, sf_dir):
+    """Links between the suns of the drawn networks, with the mean length of the ways between them: the next coarser graph."""
+    vertices, edges = _graph_of_draws(spark, sf_dir)
+    found = graph.shared(clusters.systems(vertices, edges))
+    return clusters.between_suns(edges.withColumn("length", F.lit(1.0)), found)
+
+
+def _id(n: str) -> str:
+    return f"{n}.f_1 * 65536 + {n}.f_2 * 256 + {n}.f_3"
+
+
+@paired(f"""WITH {oracles._columns(3, 2)}, {oracles._neutral(3)}, {oracles._DRAWS},
+    e AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {_id('x')} AS a, {_id('y')} AS b FROM networks AS x JOIN neighbours AS n ON n.src = x.f_{k} JOIN networks AS y ON {' AND '.join(f'y.f_{j} = ' + ('n.dst' if j == k else f'x.f_{j}') for j in (1, 2, 3))}" for k in (1, 2, 3))}),
+    two AS (SELECT DISTINCT x.a, y.b FROM e AS x JOIN e AS y ON y.a = x.b WHERE x.a <> y.b)
+    SELECT a AS id, CAST(1 AS BIGINT) AS hops, count(*) AS reached FROM e GROUP BY a
+    UNION ALL SELECT two.a, 2, count(*) FROM two ANTI JOIN e ON e.a = two.a AND e.b = two.b GROUP BY two.a""")
+def hops_of_draws(spark, sf_dir):
+    """How many others each drawn network reaches in one and in two mutations, and no fewer."""
+    return clusters.hops_from_all(*_graph_of_draws(spark, sf_dir), 2)
