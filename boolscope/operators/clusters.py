@@ -124,15 +124,15 @@ def communities(edges: DataFrame, levels: int = 10, rounds: int = 12, salt: int
 # --- hops from every vertex
 
 
-#: Sources of a row of bits: 16 numbers of 64.
-WORDS = 16
+#: Sources of a row of bits: 4 numbers of 64.
+WORDS = 4
 
 
 def hops_from_all(vertices: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """(id, hops, reached): for each vertex how many others are that many hops away, up to most.
 
-    Sources are dealt to blocks of 1,024 places by a hash of theirs; a row holds the bits of a block's sources that reach a vertex. A
-    round merges the rows of a vertex's neighbours by bit-or, so an edge carries 1,024 searches at once. Sources that share a place are
+    Sources are dealt to blocks of 256 places by a hash of theirs; a row holds the bits of a block's sources that reach a vertex. A
+    round merges the rows of a vertex's neighbours by bit-or, so an edge carries 256 searches at once. Sources that share a place are
     told apart by a number, which makes a block of its own.
     """
     both = shared(both_ways(edges.select("a", "b", F.lit(1.0).alias("weight"))).select("a", "b").distinct())
