@@ -50,6 +50,9 @@ class Dialect:
     def least_of(self, xs: str) -> str:
         return f"array_min({xs})"
 
+    def ascending(self, xs: str) -> str:
+        return f"array_sort({xs})"
+
     def joined(self, items: str, sep: str) -> str:
         return f"array_join({items}, '{sep}')"
 
@@ -121,6 +124,9 @@ class Oracle(Dialect):
     def least_of(self, xs: str) -> str:
         return f"list_min({xs})"
 
+    def ascending(self, xs: str) -> str:
+        return f"list_sort({xs})"
+
     def joined(self, items: str, sep: str) -> str:
         return f"array_to_string({items}, '{sep}')"
 

@@ -42,6 +42,29 @@ def finest(networks: str, d: int, guarded: bool = False, alias: str = "code", va
     return out
 
 
+def finest_packed(networks: str, d: int) -> str:
+    """networks with code, that of the finest vector, for sizes whose faces are too many for columns (243 for 5 nodes).
+
+    Spark SQL only. The faces of a dimension are an array, made from the one before by a constant table: of each face
+    its possible splits, with what they ask of a node's function and the places of both halves.
+    """
+    at = {}
+    for k in range(d + 1):
+        at |= {f.name: i + 1 for i, f in enumerate(f for f in bits.faces(d) if f.dim == k)}
+    start = ", ".join([f"CAST({bits.leaf_code(d, 0)} AS BIGINT)"] * (1 << d))
+    names = ", ".join(f"f_{i}" for i in range(1, d + 1))
+    out = f"(SELECT *, array({start}) AS faces_0, array({names}) AS nodes FROM {networks} AS n)"
+    for k in range(1, d + 1):
+        table = []
+        for face in (f for f in bits.faces(d) if f.dim == k):
+            splits = [f"named_struct('node', {n}, 'mask', CAST({face.mask} AS BIGINT), 'want', CAST({bits.projection(d, n) & face.mask} AS BIGINT), 'low', {at[face.with_node(n, 0).name]}, 'high', {at[face.with_node(n, 1).name]})" for n in face.free]
+            table.append(f"array({', '.join(splits)})")
+        finer = f"CASE WHEN (element_at(nodes, x.node) & x.mask) = x.want THEN element_at(faces_{k - 1}, x.low) + element_at(faces_{k - 1}, x.high) END"
+        best = f"aggregate(splits, CAST({bits.leaf_code(d, k)} AS BIGINT), (m, x) -> greatest(m, {finer}))"
+        out = f"(SELECT * EXCEPT (faces_{k - 1}), transform(array({', '.join(table)}), splits -> {best}) AS faces_{k} FROM {out} AS layer_{k})"
+    return f"(SELECT * EXCEPT (faces_{d}, nodes), element_at(faces_{d}, 1) AS code FROM {out} AS packed)"
+
+
 def with_valid_faces(networks: str, d: int) -> str:
     """networks with valid, the mask of the faces, by their number, that are realizable."""
     known = _known(d)
