@@ -13,15 +13,17 @@ from pyspark.sql.window import Window
 
 from .common import crc32_mod, text_of, trimmed
 
-#: Labelled documents learned from per language, about, and languages told apart: those with most documents.
-MAX_LABELLED, MAX_LANGUAGES = 400, 200
-#: Bytes of text learned from per language.
-LEARN_BYTES = 2 << 20
+#: Labelled texts learned from, about: per language, and in all, shared out where there are many languages.
+MAX_LABELLED, MAX_ROWS = 400, 80_000
+#: Bytes of text learned from: per language, and in all.
+LEARN_BYTES, LEARN_ALL = 2 << 20, 400 << 20
 #: Whole texts are learned from; a text's words are cut into chains of this many for learning only.
 CHAIN = 64
 BITS, LEXICON = 16, 2_000
 #: Words that a task keeps the scores of, and words in a padded block.
 CACHE, BLOCK = 150_000, 200_000
+#: Words times languages that are held at once for one text, and for texts that are read together.
+CELLS, TOGETHER = 2_000_000, 40_000_000
 UNKNOWN = "und"
 
 
@@ -156,7 +158,12 @@ class Scores(dict):
     """Row of each word in a table of scores; row 0 is for words without a letter."""
 
     def __init__(self, model: Model):
-        self.model, self.table = model, np.ones((1, len(model.languages)), np.float32)
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.table = np.ones((1, len(self.model.languages)), np.float32)
 
     def add(self, texts: list[list[str]]) -> None:
         new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in self]
@@ -169,28 +176,84 @@ class Scores(dict):
             self.table = np.concatenate([self.table, self.model.word_scores([cores[i] for i in part]).astype(np.float32)])
 
 
+def long_sums(cores: list[str], model: Model) -> np.ndarray:
+    """Sums of the word marginals of one chain, of any length, in blocks.
+
+    The way forward keeps its state at the blocks' borders only; the way back goes forward through each block once more.
+    """
+    step, moves = max(1, CELLS // len(model.languages)), np.exp(model.moves - model.moves.max())
+    starts = range(0, len(cores), step)
+
+    def rows(at: int) -> np.ndarray:
+        part = cores[at : at + step]
+        place = {w: i for i, w in enumerate(dict.fromkeys(part))}
+        return model.word_scores(list(place))[[place[w] for w in part]]
+
+    def ahead(a: np.ndarray | None, block: np.ndarray) -> np.ndarray:
+        out = np.empty_like(block)
+        for j, s in enumerate(block):
+            a = s if a is None else (a @ moves) * s
+            out[j] = a = a / a.sum()
+        return out
+
+    borders: list[np.ndarray | None] = [None]
+    for at in starts[:-1]:
+        borders.append(ahead(borders[-1], rows(at))[-1].copy())
+    sums, right = np.zeros(len(model.languages)), None
+    for at in reversed(starts):
+        block = rows(at)
+        left = ahead(borders.pop(), block)
+        for j in range(len(block) - 1, -1, -1):
+            b = np.ones(len(sums)) if right is None else moves @ right
+            b /= b.sum()
+            here = left[j] * b
+            sums += here / here.sum()
+            right = block[j] * b
+    return sums
+
+
 def predict(texts: list[str], model: Model, scores: Scores) -> list[tuple[str, float]]:
     """The language with the largest sum of word marginals, and its share of that sum."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-    split = [words(t) for t in texts]
-    scores.add(split)
-    rows = [np.array(list(map(scores.__getitem__, t)), np.int64) for t in split]
-    rows = [r[r > 0] for r in rows]
-    order = sorted((i for i, r in enumerate(rows) if len(r)), key=lambda i: -len(rows[i]))
-    moves, at = np.exp(model.moves - model.moves.max()).astype(np.float32), 0
-    while at < len(order):
-        part = order[at : at + max(1, BLOCK // len(rows[order[at]]))]
-        at += len(part)
-        sizes = np.array([len(rows[i]) for i in part])
-        mask = np.arange(sizes[0]) < sizes[:, None]
-        grid = np.zeros(mask.shape, np.int64)
-        grid[mask] = np.concatenate([rows[i] for i in part])
-        got, _ = forward_backward(scores.table[grid], moves, sizes)
-        got[~mask] = 0
-        sums = got.sum(1, dtype=np.float64)
-        for i, s in zip(part, sums):
-            best = int(s.argmax())
-            out[i] = (model.languages[best], float(min(1.0, s[best] / s.sum())))
+    k, moves = len(model.languages), np.exp(model.moves - model.moves.max()).astype(np.float32)
+
+    def named(sums: np.ndarray) -> tuple[str, float]:
+        best = int(sums.argmax())
+        return model.languages[best], float(min(1.0, sums[best] / sums.sum()))
+
+    def together(split: dict[int, list[str]]) -> None:
+        scores.add(list(split.values()))
+        rows = {i: np.array(list(map(scores.__getitem__, t)), np.int64) for i, t in split.items()}
+        rows = {i: r[r > 0] for i, r in rows.items()}
+        order, at = sorted((i for i, r in rows.items() if len(r)), key=lambda i: -len(rows[i])), 0
+        while at < len(order):
+            part = order[at : at + max(1, min(BLOCK, CELLS // k) // len(rows[order[at]]))]
+            at += len(part)
+            sizes = np.array([len(rows[i]) for i in part])
+            mask = np.arange(sizes[0]) < sizes[:, None]
+            grid = np.zeros(mask.shape, np.int64)
+            grid[mask] = np.concatenate([rows[i] for i in part])
+            got, _ = forward_backward(scores.table[grid], moves, sizes)
+            got[~mask] = 0
+            for i, s in zip(part, got.sum(1, dtype=np.float64)):
+                out[i] = named(s)
+        if max(len(scores) / CACHE, len(scores) * k / TOGETHER) > 1:
+            scores.forget()
+
+    held, size = {}, 0
+    for i, text in enumerate(texts):
+        found = words(text)
+        if len(found) * k > CELLS:
+            cores = [c for w in found if has_letter(c := w.strip(STRIP))]
+            if cores:
+                out[i] = named(long_sums(cores, model))
+            continue
+        held[i] = found
+        size += len(found) * k
+        if size > TOGETHER:
+            together(held)
+            held, size = {}, 0
+    together(held)
     return out
 
 
@@ -200,31 +263,31 @@ def _predict(model: Model):
         for b in batches:
             for at in range(0, b.num_rows, 400):
                 part = b.slice(at, 400)
-                if len(scores) > CACHE:
-                    scores = Scores(model)
                 found = predict(part["text"].to_pylist(), model, scores)
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], ["id", "lang_pred", "score"])
 
     return run
 
 
-def labelled_sample(docs: DataFrame, most: int = MAX_LABELLED, most_bytes: int = LEARN_BYTES) -> list[tuple[str, str]]:
+def labelled_sample(docs: DataFrame, most: int = MAX_LABELLED, most_bytes: int = LEARN_BYTES, rows: int = MAX_ROWS, all_bytes: int = LEARN_ALL) -> list[tuple[str, str]]:
     """(text, lang) of about the given number of distinct texts per language, chosen by their hashes, and of so many
-    bytes a language at most: texts beyond that stay out, but each language has its shortest one at least.
+    bytes a language at most: texts beyond that stay out, but each language has its shortest chosen one at least.
 
-    Texts and counts are distinct, so copies of a text are one row however many there are. Null texts and languages are
-    ignored; of more than MAX_LANGUAGES languages, those with the most texts are learned.
+    The sample is bounded by rows and bytes in all: where there are many languages, each gets its share of these.
+    Every language is learned, however rare. Texts and counts are distinct, so copies of a text are one row however
+    many there are. Null texts and languages are ignored.
     """
-    rows = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("th"))
-    texts = rows.groupBy("lang", "th").agg(F.max(F.octet_length("text")).alias("size"))
-    found = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    h, keep = F.pmod(F.xxhash64("th"), F.lit(1 << 20)), F.lit(False)
-    for r in found:
-        keep = keep | ((F.col("lang") == r["lang"]) & (h < round(min(1.0, most / r["count"]) * (1 << 20))))
+    labelled = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("th"))
+    texts = labelled.groupBy("lang", "th").agg(F.max(F.octet_length("text")).alias("size"))
+    counts = texts.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("th").alias("h"), "th")).alias("least"))
+    languages = max(1, counts.count())
+    most, most_bytes = max(1, min(most, rows // languages)), min(most_bytes, all_bytes // languages)
+    h = F.pmod(F.xxhash64("th"), F.lit(1 << 20))
+    kept = texts.join(counts, "lang").where((h < F.round(F.least(F.lit(1.0), most / F.col("n")) * (1 << 20))) | (F.col("th") == F.col("least.th")))
     by = Window.partitionBy("lang")  # of about most rows each
-    sized = texts.where(keep).select("lang", "th", F.sum("size").over(by.orderBy("size", "th").rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), F.row_number().over(by.orderBy("size", "th")).alias("at"))
+    sized = kept.select("lang", "th", F.sum("size").over(by.orderBy("size", "th").rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), F.row_number().over(by.orderBy("size", "th")).alias("at"))
     chosen = sized.where((F.col("sum") <= most_bytes) | (F.col("at") == 1)).select("lang", "th")
-    got = rows.join(F.broadcast(chosen), ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).collect()
+    got = labelled.join(F.broadcast(chosen), ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["th"]))]
 
 
@@ -233,7 +296,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     A null text, or one without a letter, is und with score 0; so is every text if the model knows no language. Null
     and repeated ids are returned as they are, extra columns are ignored, an empty table gives an empty result. A text
-    is one chain of its words, however long.
+    is one chain of its words, however long; a very long one is worked through in blocks, with the same result.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     if not model.languages:

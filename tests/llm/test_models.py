@@ -77,6 +77,37 @@ def test_language_of_mixed_texts(spark):
     assert {r["lang_pred"] for r in empty.collect()} == {"und"}
 
 
+def test_long_texts_in_blocks(spark, monkeypatch):
+    """Blocks of one text have the sums of its whole chain; predictions don't depend on how texts are put together."""
+    rnd = random.Random(5)
+    model = language_crf.learn([(prose(rnd, EN, 60), "en") for _ in range(40)] + [(prose(rnd, DE, 60), "de") for _ in range(40)])
+    texts = [prose(rnd, EN, 300) + " 12 -- " + prose(rnd, DE, 200), prose(rnd, DE, 900), "", "1 2 " * 500, prose(rnd, EN, 3)]
+    whole = language_crf.predict(texts, model, language_crf.Scores(model))
+    cores = [w.strip(language_crf.STRIP) for w in language_crf.words(texts[0]) if language_crf.has_letter(w)]
+    scores, moves = model.word_scores(cores)[None], np.exp(model.moves - model.moves.max())
+    want = language_crf.forward_backward(scores, moves, np.array([len(cores)]))[0][0].sum(0)
+    for cells in (2, 14, 2 * len(cores), 10_000):
+        monkeypatch.setattr(language_crf, "CELLS", cells)
+        assert np.allclose(language_crf.long_sums(cores, model), want)
+    for cells, together in ((40, 100), (700, 1), (2_000, 10_000)):
+        monkeypatch.setattr(language_crf, "CELLS", cells)
+        monkeypatch.setattr(language_crf, "TOGETHER", together)
+        got = language_crf.predict(texts, model, language_crf.Scores(model))
+        assert [x[0] for x in got] == [x[0] for x in whole] and np.allclose([x[1] for x in got], [x[1] for x in whole], atol=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the rows of a sample allow many texts of: each has one at least, also beside a very common one."""
+    rows = [(i, f"common words {i} here", "zz") for i in range(3000)] + [(i, f"word{i} of{i % 300} lang{i % 300}", f"l{i % 300}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = Counter(x[1] for x in language_crf.labelled_sample(docs, rows=602))
+    assert len(got) == 301 and sum(got.values()) <= 1.5 * 602
+    assert set(Counter(x[1] for x in language_crf.labelled_sample(docs, rows=5)).values()) <= {1, 2, 3, 4, 5} and len(language_crf.labelled_sample(docs, rows=5)) >= 301
+    model = language_crf.learn(language_crf.labelled_sample(docs, 3), rounds=4)
+    assert len(model.languages) == 301
+    assert language_crf.identify(docs.limit(5), model).count() == 5
+
+
 def test_lcs():
     rnd = random.Random(1)
     for _ in range(50):
