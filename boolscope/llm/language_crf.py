@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc32_mod, text_of, trimmed
+from .common import crc32_mod, save, scratch, text_of, trimmed
 
 #: Labelled texts learned from, about: per language, and in all, shared out where there are many languages.
 MAX_LABELLED, MAX_ROWS = 400, 80_000
@@ -20,6 +20,8 @@ LEARN_BYTES, LEARN_ALL = 2 << 20, 400 << 20
 #: Whole texts are learned from; a text's words are cut into chains of this many for learning only.
 CHAIN = 64
 BITS, LEXICON = 16, 2_000
+#: Languages whose counts are sent to all tasks; more are joined by language.
+MOST_SENT = 100_000
 #: Words that a task keeps the scores of, and words in a padded block.
 CACHE, BLOCK = 150_000, 200_000
 #: Words times languages that are held at once for one text, and for texts that are read together.
@@ -280,14 +282,16 @@ def labelled_sample(docs: DataFrame, most: int = MAX_LABELLED, most_bytes: int =
     labelled = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("th"))
     texts = labelled.groupBy("lang", "th").agg(F.max(F.octet_length("text")).alias("size"))
     counts = texts.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("th").alias("h"), "th")).alias("least"))
-    languages = max(1, counts.count())
-    most, most_bytes = max(1, min(most, rows // languages)), min(most_bytes, all_bytes // languages)
-    h = F.pmod(F.xxhash64("th"), F.lit(1 << 20))
-    kept = texts.join(counts, "lang").where((h < F.round(F.least(F.lit(1.0), most / F.col("n")) * (1 << 20))) | (F.col("th") == F.col("least.th")))
-    by = Window.partitionBy("lang")  # of about most rows each
-    sized = kept.select("lang", "th", F.sum("size").over(by.orderBy("size", "th").rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), F.row_number().over(by.orderBy("size", "th")).alias("at"))
-    chosen = sized.where((F.col("sum") <= most_bytes) | (F.col("at") == 1)).select("lang", "th")
-    got = labelled.join(F.broadcast(chosen), ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).collect()
+    with scratch(docs.sparkSession):
+        counts = save(counts, "languages")
+        languages = max(1, counts.count())
+        most, most_bytes = max(1, min(most, rows // languages)), min(most_bytes, all_bytes // languages)
+        h, sent = F.pmod(F.xxhash64("th"), F.lit(1 << 20)), F.broadcast(counts) if languages <= MOST_SENT else counts
+        kept = texts.join(sent, "lang").where((h < F.round(F.least(F.lit(1.0), most / F.col("n")) * (1 << 20))) | (F.col("th") == F.col("least.th")))
+        by = Window.partitionBy("lang")  # of about most rows each
+        sized = kept.select("lang", "th", F.sum("size").over(by.orderBy("size", "th").rowsBetween(Window.unboundedPreceding, 0)).alias("sum"), F.row_number().over(by.orderBy("size", "th")).alias("at"))
+        chosen = sized.where((F.col("sum") <= most_bytes) | (F.col("at") == 1)).select("lang", "th")
+        got = labelled.join(F.broadcast(chosen), ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["th"]))]
 
 
