@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
 from ..functions import bits
 from ..functions.dialect import Dialect
 from .dynamics import _columns
@@ -65,6 +72,28 @@ def finest_packed(networks: str, d: int) -> str:
     return f"(SELECT * EXCEPT (faces_{d}, nodes), element_at(faces_{d}, 1) AS code FROM {out} AS packed)"
 
 
+def with_finest(networks: DataFrame, d: int) -> DataFrame:
+    """networks with code, as finest_packed, by whole columns of a batch instead of row by row: each face of each layer is a
+    column of numbers, and a split that a network lacks counts as 0."""
+    layers = [[(f.name, bits.leaf_code(d, k), [(n, f.mask, bits.projection(d, n) & f.mask, f.with_node(n, 0).name, f.with_node(n, 1).name) for n in f.free]) for f in bits.faces(d) if f.dim == k] for k in range(d + 1)]
+    schema = T.StructType([*networks.schema.fields, T.StructField("code", T.LongType())])
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [batch.column(f"f_{i}").to_numpy() for i in range(1, d + 1)]
+            finer: dict[str, np.ndarray] = {}
+            for layer in layers:
+                below, finer = finer, {}
+                for name, leaf, splits in layer:
+                    best = np.full(batch.num_rows, leaf, np.int64)
+                    for n, mask, want, low, high in splits:
+                        np.maximum(best, (below[low] + below[high]) * ((nodes[n - 1] & mask) == want), out=best)
+                    finer[name] = best
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best)], [*batch.schema.names, "code"])
+
+    return networks.mapInArrow(coded, schema)
+
+
 def with_valid_faces(networks: str, d: int) -> str:
     """networks with valid, the mask of the faces, by their number, that are realizable."""
     known = _known(d)

@@ -87,3 +87,17 @@ def test_packed_faces(spark):
     spark.createDataFrame(sorted(rows), ", ".join(f"f_{i} long" for i in range(1, 6))).createOrReplaceTempView("networks_of_five")
     got = {tuple(r)[:5]: r["code"] for r in spark.sql(dec.finest_packed("networks_of_five", 5)[1:-1]).collect()}
     assert got == {t: finest(t, 5, 0, 0) for t in rows} and len(set(got.values())) > 20
+
+
+def test_vectors_by_batches_equal_those_by_arrays(spark, tmp_path):
+    """Columns of a batch give what arrays give row by row, and the query's plan has no lambda a row."""
+    from boolscope.plans import registry
+
+    rows = "xxhash64(id, {i}) & 4294967295"
+    made = spark.range(300).selectExpr(*(f"CASE WHEN id % 7 = {i} THEN CAST({bits.projection(5, i)} AS BIGINT) ELSE {rows.format(i=i)} & {rows.format(i=i + 9)} END AS f_{i}" for i in range(1, 6)))
+    made.createOrReplaceTempView("networks_by_batches")
+    want = {tuple(r)[:5]: r["code"] for r in spark.sql(dec.finest_packed("networks_by_batches", 5)[1:-1]).collect()}
+    assert {tuple(r)[:5]: r["code"] for r in dec.with_finest(made, 5).collect()} == want and len(set(want.values())) > 1
+    spark.range(60).selectExpr("id AS l_orderkey", "id * 7 AS l_partkey", "id % 5 AS l_suppkey", "CAST(id % 5 + 1 AS INT) AS l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    plan = registry.QUERIES["vectors_of_draws_d5"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "MapInArrow" in plan
