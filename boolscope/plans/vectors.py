@@ -128,29 +128,33 @@ def _vectors(spark, sf_dir):
     return run_sql(spark, lambda q: f"SELECT id, v FROM {points(q)} AS p", sf_dir)
 
 
-def _improved(pairs, data):
-    return vec.propagated(vec.measured(pairs, data), data, 10)
+#: Trees or tables of an index, and points of a leaf.
+TREES, LEAF = 16, 4096
+
+
+def _improved(leaves, data):
+    return vec.propagated(vec.leaf_lists(leaves, data), data, 10, 2)
 
 
 @rows
 def approximate_neighbours(spark, sf_dir):
     """Trees of random hyperplanes, then neighbours of neighbours."""
     data = _vectors(spark, sf_dir)
-    return _improved(vec.forest_pairs(data), data)
+    return _improved(vec.forest_leaves(data, TREES, LEAF), data)
 
 
 @rows
 def kd_tree_neighbours(spark, sf_dir):
     """Trees along single dimensions, then neighbours of neighbours."""
     data = _vectors(spark, sf_dir)
-    return _improved(vec.kd_pairs(data), data)
+    return _improved(vec.kd_leaves(data, TREES, LEAF), data)
 
 
 @rows
 def hash_index_neighbours(spark, sf_dir):
     """Tables of sign codes, then neighbours of neighbours."""
     data = _vectors(spark, sf_dir)
-    return _improved(vec.hash_pairs(data), data)
+    return _improved(vec.hash_leaves(data, TREES, LEAF, 4 * LEAF), data)
 
 
 @rows

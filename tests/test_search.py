@@ -121,3 +121,16 @@ def test_exact_neighbours_hold_no_pairs(spark, tmp_path):
     for name in ("nearest_vectors", "classifier_accuracy", "perplexity_weights"):
         plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "zip_with" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("index", [vec.forest_leaves, vec.kd_leaves, vec.hash_leaves])
+def test_leaves_measure_their_own_pairs(clustered, index):
+    """Lists from leaves find neighbours, and what a shuffle carries is a vector a leaf, not two vectors a pair."""
+    x, points = clustered
+    lists = vec.leaf_lists(index(points, 8, 60), points)
+    assert "zip_with" not in lists._jdf.queryExecution().executedPlan().toString()
+    rows = vec.propagated(lists, points, 10, 1).collect()
+    assert all(abs(r["d"] - np.sqrt(((x[r["a"]] - x[r["b"]]) ** 2).sum())) < 1e-9 and r["a"] != r["b"] for r in rows[::50])
+    found, d = {(r["a"], r["b"]) for r in rows}, ((x[:, None] - x[None]) ** 2).sum(2) + np.diag([np.inf] * len(x))
+    asked = [i for i in range(0, len(x), 10) if not 100 <= i < 180]
+    assert sum((i, int(j)) in found for i in asked for j in np.argsort(d[i])[:10]) >= 0.9 * 10 * len(asked)
