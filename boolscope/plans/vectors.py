@@ -133,7 +133,7 @@ TREES, LEAF = 16, 4096
 
 
 def _improved(leaves, data):
-    return vec.propagated(vec.leaf_lists(leaves, data), data, 10, 2)
+    return vec.propagated(vec.leaf_lists(leaves, data), data, 10)
 
 
 @rows
